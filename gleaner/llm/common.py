@@ -51,6 +51,18 @@ def range_bucket(df: DataFrame, col: str, buckets: int) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(col).cast("double"))), F.lit(0))
 
 
+def kept_in_worker(key: tuple, make):
+    """What make() gives, made once in a Python worker and kept for its later tasks."""
+    import sys
+    import types
+
+    module = sys.modules.setdefault("gleaner_kept", types.ModuleType("gleaner_kept"))
+    held = module.__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it holds `most` words, so memory stays bounded."""
 

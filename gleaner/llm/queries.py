@@ -6,20 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, sharding
+from . import fingerprints, packing, secrets, sharding
 from .common import table
 
 
+def tokenizer() -> str:
+    """Where this machine has the vocabulary file; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.imatch(table(spark, sf_dir, "documents"))
+
+
+def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_ownership": op3_secret_ownership,
+    "op4_imatch": op4_imatch,
+    "op6_bounded_packing": op6_bounded_packing,
     "op8_byte_shards": op8_byte_shards,
 }
 SQL: dict[str, str] = {}
