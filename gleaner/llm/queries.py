@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, secrets, sharding
+from . import fingerprints, language, packing, secrets, sharding
 from .common import table
 
 
@@ -33,10 +33,15 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_ownership": op3_secret_ownership,
     "op4_imatch": op4_imatch,
     "op6_bounded_packing": op6_bounded_packing,
     "op8_byte_shards": op8_byte_shards,
+    "op10_family_svm": op10_family_svm,
 }
 SQL: dict[str, str] = {}
