@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, packing, secrets, sharding
+from . import fingerprints, html, language, packing, secrets, sharding
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_min_cut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_imatch": op4_imatch,
     "op6_bounded_packing": op6_bounded_packing,
     "op8_byte_shards": op8_byte_shards,
+    "op9_min_cut_html": op9_min_cut_html,
     "op10_family_svm": op10_family_svm,
 }
 SQL: dict[str, str] = {}
