@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html, language, packing, secrets, sharding
+from . import fingerprints, html, language, neardup, packing, secrets, sharding
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_fast_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_fast_sketch_neardup": op2_fast_sketch_neardup,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_imatch": op4_imatch,
     "op6_bounded_packing": op6_bounded_packing,
