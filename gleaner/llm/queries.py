@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html, language, neardup, packing, secrets, sharding
+from . import fingerprints, html, language, neardup, packing, secrets, sharding, substrings
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_fast_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_substrings": op1_cover_substrings,
     "op2_fast_sketch_neardup": op2_fast_sketch_neardup,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_imatch": op4_imatch,
