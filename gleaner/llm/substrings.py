@@ -128,7 +128,7 @@ def _with_partner(rows: DataFrame, keys: list[str], partner: Column) -> DataFram
     Merge joined, since either side may be large. The last condition is always true; naming every column in it, and
     asking for no nulls (there are none), keeps both sides alike, so that they share one shuffle.
     """
-    rows = rows.dropna()
+    rows = rows.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in rows.columns)))
     rest = [c for c in rows.columns if c not in keys]
     same = [F.col(f"mine.{k}") == F.col(f"other.{k}") for k in keys]
     unlike = functools.reduce(operator.or_, (F.col(f"mine.{c}") != F.col(f"other.{c}") for c in rest))
