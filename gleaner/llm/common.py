@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 import uuid
 
@@ -51,6 +53,20 @@ def range_bucket(df: DataFrame, col: str, buckets: int) -> Column:
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(col).cast("double"))), F.lit(0))
 
 
+def with_partner(rows: DataFrame, keys: list[str], partner: Column) -> DataFrame:
+    """The rows for which another row of equal keys meets the condition.
+
+    Merge joined, since either side may be large. The last condition is always true; naming every column in it, and
+    asking for no nulls (there are none), keeps both sides alike, so that they share one shuffle.
+    """
+    rows = rows.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in rows.columns)))
+    rest = [c for c in rows.columns if c not in keys]
+    same = [F.col(f"mine.{k}") == F.col(f"other.{k}") for k in keys]
+    unlike = functools.reduce(operator.or_, (F.col(f"mine.{c}") != F.col(f"other.{c}") for c in rest))
+    on = functools.reduce(operator.and_, [*same, partner, unlike])
+    return rows.alias("mine").join(rows.alias("other").hint("merge"), on, "left_semi")
+
+
 def kept_in_worker(key: tuple, make):
     """What make() gives, made once in a Python worker and kept for its later tasks."""
     import sys

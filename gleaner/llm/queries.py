@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html, language, neardup, packing, secrets, sharding, substrings
+from . import decontaminate, fingerprints, html, language, neardup, packing, secrets, sharding, substrings, suffixes
 from .common import table
 
 
@@ -33,10 +33,18 @@ def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.imatch(table(spark, sf_dir, "documents"))
 
 
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op7_suffix_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fast_sketch_neardup": op2_fast_sketch_neardup,
     "op3_secret_ownership": op3_secret_ownership,
     "op4_imatch": op4_imatch,
+    "op5_string_tiling": op5_string_tiling,
     "op6_bounded_packing": op6_bounded_packing,
+    "op7_suffix_collections": op7_suffix_collections,
     "op8_byte_shards": op8_byte_shards,
     "op9_min_cut_html": op9_min_cut_html,
     "op10_family_svm": op10_family_svm,

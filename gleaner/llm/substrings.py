@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, WordHashes, covered, kept_in_worker, staged
+from .common import Windows, WordHashes, covered, kept_in_worker, staged, with_partner
 
 # Perfect difference sets. Any two residues can be shifted by one amount so that both lie in the set.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -122,20 +120,6 @@ def _cut(length: int):
     return run
 
 
-def _with_partner(rows: DataFrame, keys: list[str], partner: Column) -> DataFrame:
-    """The rows for which another row of equal keys meets the condition.
-
-    Merge joined, since either side may be large. The last condition is always true; naming every column in it, and
-    asking for no nulls (there are none), keeps both sides alike, so that they share one shuffle.
-    """
-    rows = rows.where(functools.reduce(operator.and_, (F.col(c).isNotNull() for c in rows.columns)))
-    rest = [c for c in rows.columns if c not in keys]
-    same = [F.col(f"mine.{k}") == F.col(f"other.{k}") for k in keys]
-    unlike = functools.reduce(operator.or_, (F.col(f"mine.{c}") != F.col(f"other.{c}") for c in rest))
-    on = functools.reduce(operator.and_, [*same, partner, unlike])
-    return rows.alias("mine").join(rows.alias("other").hint("merge"), on, "left_semi")
-
-
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Remove each word that lies in a window of `length` words that also starts in a document of smaller id.
 
@@ -160,13 +144,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     known = plain.where(F.col("doc_id").isNotNull())
     anchors = known.select("doc_id", "text").mapInArrow(_anchor_rows(length), f"anchor long, doc_id {kind}")
-    shared = _with_partner(anchors, ["anchor"], F.col("other.doc_id") != F.col("mine.doc_id"))
+    shared = with_partner(anchors, ["anchor"], F.col("other.doc_id") != F.col("mine.doc_id"))
     shared = shared.groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set("anchor").alias("shared"))
     look = every.where("not copy").select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key")).distinct().join(shared, F.col("l_id") == F.col("s_id"))
     candidates = staged(known.join(look, (F.col("doc_id") == F.col("l_id")) & (F.col("text_key") == F.col("l_key"))).select("doc_id", "text_key", "text", "shared"), "candidates")
 
     windows = candidates.mapInArrow(_window_rows(length), f"h1 long, h2 long, doc_id {kind}, text_key long, start int")
-    again = _with_partner(windows, ["h1", "h2"], F.col("other.doc_id") < F.col("mine.doc_id"))
+    again = with_partner(windows, ["h1", "h2"], F.col("other.doc_id") < F.col("mine.doc_id"))
     again = again.groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key")).agg(F.collect_set("start").alias("starts"))
     hit = candidates.join(again, (F.col("doc_id") == F.col("a_id")) & (F.col("text_key") == F.col("a_key"))).select("doc_id", "text_key", "text", "starts")
     cut = hit.mapInArrow(_cut(length), f"c_id {kind}, c_key long, c_removed long, c_sha binary, kept string").dropDuplicates(["c_id", "c_key"])
