@@ -19,7 +19,7 @@ class DuplicateName(ValueError):
 
 def lines(c: Column) -> Column:
     """Trimmed lines of a text."""
-    return F.transform(F.split(c, "\n"), F.trim)
+    return F.transform(F.split(c, "\n"), lambda line: F.trim(line))
 
 
 def split_tag(c: Column) -> Column:
@@ -42,7 +42,7 @@ def read_sidecars(spark: SparkSession, folder: str, check: bool = True) -> DataF
     if check and not (twice := media.groupBy("base").count().where("count > 1")).isEmpty():
         raise DuplicateName(twice.first().base)
     pattern = "*.{" + ",".join(SIDECARS) + "}.txt"
-    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
     texts = texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("base"), "value").withColumn("kind", kind)
     name = F.regexp_replace("base", r"\.(" + "|".join(SIDECARS) + r")\.txt$", "")
     sides = texts.select(name.alias("name"), "kind", "value").groupBy("name").pivot("kind", SIDECARS).agg(F.first("value"))
@@ -82,7 +82,7 @@ def write_backup(parts: list[DataFrame], folder: str) -> None:
 
 def read_backup(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Items of a backup: either lines as written here, or one JSON array whose items stand between delimiters."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     body = F.trim("value")
     array = body.startswith("[")
     inside = F.split(F.regexp_replace(body, r"^\[|\]$", ""), f',"{DELIMITER}",')
