@@ -24,6 +24,10 @@ def odd_spaces(text: str) -> bool:
     return bool(_ODD.search(text)) or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[:1] in " \n" or text[-1:] in " \n"
 
 
+# Sequences are numbered within parts: partitions first, then, from MERGED on, the groups of leftovers of each level.
+MERGED, GROUPS = 1 << 30, 1 << 20
+
+
 class Ids(dict):
     """Token ids of texts as little-endian 32-bit bytes, from a byte-level BPE file of the tokenizers library.
 
@@ -177,7 +181,7 @@ def _merge(size: int, level: int, id_type: pa.DataType):
             room, n = bins.by_room.pop(i)
             bins.held[n] += windows[k]
             insort(bins.by_room, (room - used[k], n))
-        part = -(1 + key[0].as_py() + level * (1 << 20))
+        part = MERGED + level * GROUPS + key[0].as_py()
         # What is half empty can still be put together with that of other groups.
         for room, n in bins.by_room:
             out += _rows(bins.held[n], part, seq, 2 * room >= size)
@@ -212,12 +216,11 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, open_windows: int =
     groups = (rest.agg(F.max("part")).first()[0] or 0) + 1
     while groups > 1 or level == 0:
         groups = -(-groups // fan_in)
-        number = F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.col("part") - max(level - 1, 0) * (1 << 20))
+        number = F.when(F.col("part") < MERGED, F.col("part")).otherwise(F.col("part") % GROUPS)
         rest = staged(rest.withColumn("group", F.floor(number / fan_in).cast("long")).groupBy("group").applyInArrow(_merge(size, level, to_arrow_type(kind)), schema), "merged")
         done.append(rest.where("not left"))
         rest, level = rest.where("left"), level + 1
     out = done[0]
     for d in [*done[1:], rest]:
         out = out.unionByName(d)
-    sequence = F.when(F.col("part") >= 0, F.col("part") * (1 << 32) + F.col("seq")).otherwise(F.col("part") * (1 << 20) + F.col("seq"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("part") * (1 << 32) + F.col("seq")).alias("sequence_id"), "offset")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, html, language, neardup, packing, secrets, sharding, substrings, suffixes
+from . import decontaminate, fingerprints, html, language, neardup, packing, secrets, sharding, sql, substrings, suffixes
 from .common import table
 
 
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_min_cut_html": op9_min_cut_html,
     "op10_family_svm": op10_family_svm,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
