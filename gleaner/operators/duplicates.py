@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EXACT = -1  # distance of exact duplicates
 DUPLICATES, ALTERNATES, FALSE_POSITIVES = 1, 2, 3  # relation types
@@ -39,6 +41,29 @@ def hamming(left: list[Column], right: list[Column]) -> Column:
     return reduce(Column.__add__, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right, strict=True)))
 
 
+def average_hash(pixels: Column) -> Column:
+    """A 64-bit hash, as two longs of 32 bits, of a thumbnail of 64 grey values: which are above their mean."""
+    mean = F.aggregate(pixels, F.lit(0.0), lambda t, x: t + x) / 64
+    half = lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("long"), lambda t, i: t + F.when(F.get(pixels, i + 32 * h) > mean, F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.struct(half(0).alias("Hash_0"), half(1).alias("Hash_1"))
+
+
+@F.pandas_udf(DoubleType())
+def descriptor_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of an image's descriptors (arrays of numbers) whose nearest in the other isn't clearly nearer than the second: over 0.7 of its distance. Null without two to compare with."""
+    import numpy as np
+
+    def one(x, y):
+        if x is None or y is None or len(x) == 0 or len(y) < 2:
+            return None
+        x, y = np.stack([np.asarray(r, float) for r in x]), np.stack([np.asarray(r, float) for r in y])
+        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+        two = np.partition(d, 1, axis=1)[:, :2]
+        return float((two[:, 0] > 0.7 * two[:, 1]).mean())
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
 def hamming_pairs(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, chunk: int = 20_000) -> DataFrame:
     """(File_ID_1, File_ID_2, distance) of new files with old and with each other, distance at most cutoff, each pair once.
 

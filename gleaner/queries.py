@@ -319,10 +319,13 @@ _star("x24_default_html", lambda s: s.table("pages").select("page_id", programs.
 _K = {"type": programs.JSON, "then": [{"type": programs.WITH_PROPERTY, "propertyName": "k", "then": [{"type": programs.EACH, "then": [{"type": programs.TO_ARRAY, "then": [programs.emit()]}]}]}]}
 _star("x10_json_property", lambda s: s.table("events").select("event_id", F.element_at(programs.extract(_K, F.col("props")).importFileNames, 1).alias("k")), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 _star("x9_json_variant", lambda s: s.table("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
-_WORDS = F.split(F.col("text"), " ")
+def _words():
+    return F.split(F.col("text"), " ")
+
+
 _S1 = [{"type": programs.FILTER, "conditions": [{"type": programs.STARTS, "prefixes": ["TH", "er"], "caseSensitive": False}, {"type": programs.ENDS, "suffixes": ["e", "n"]}]}]
-_star("x15_filter", lambda s: s.table("documents").select("doc_id", F.size(programs.array_steps(_S1, _WORDS)).cast("long").alias("n")), "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda x: (starts_with(lower(x), 'th') OR starts_with(lower(x), 'er')) AND (ends_with(x, 'e') OR ends_with(x, 'n')))) AS BIGINT) AS n FROM documents")
-_star("x17_distinct", lambda s: s.table("documents").select("doc_id", F.size(programs.array_steps([{"type": programs.MAP, "mapFn": {"type": programs.LOWER}}, {"type": programs.DISTINCT}], _WORDS)).cast("long").alias("n")), "SELECT doc_id, CAST(len(list_distinct(string_split(lower(text), ' '))) AS BIGINT) AS n FROM documents")
+_star("x15_filter", lambda s: s.table("documents").select("doc_id", F.size(programs.array_steps(_S1, _words())).cast("long").alias("n")), "SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda x: (starts_with(lower(x), 'th') OR starts_with(lower(x), 'er')) AND (ends_with(x, 'e') OR ends_with(x, 'n')))) AS BIGINT) AS n FROM documents")
+_star("x17_distinct", lambda s: s.table("documents").select("doc_id", F.size(programs.array_steps([{"type": programs.MAP, "mapFn": {"type": programs.LOWER}}, {"type": programs.DISTINCT}], _words())).cast("long").alias("n")), "SELECT doc_id, CAST(len(list_distinct(string_split(lower(text), ' '))) AS BIGINT) AS n FROM documents")
 _star("x19_prefix_suffix", lambda s: s.table("part").where(names.has_prefix(F.col("p_name"), ["RED", "blue"], case=False) & names.has_suffix(F.col("p_name"), ["ring", "et"])).select("p_partkey"), "SELECT p_partkey FROM part WHERE (p_name LIKE 'red%' OR p_name LIKE 'blue%') AND (p_name LIKE '%ring' OR p_name LIKE '%et')")
 _star("x26_url_classifier", lambda s: s.table("pages").select("page_id", programs.best_parser(F.col("url"), [(r"^https://", 1, "secure"), (r"^https?://m\.", 5, "mobile"), (r"\.org/", 3, "org")]).alias("parser")), r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://m\.') THEN 'mobile' WHEN regexp_matches(url, '\.org/') THEN 'org' WHEN regexp_matches(url, '^https://') THEN 'secure' END AS parser FROM pages")
 _star("f1_extension", lambda s: s.table("part").select("p_partkey", names.of_extension(F.concat(F.lit("."), F.get(F.split(F.lit("JPEG,tiff,Png,jpg,TIF"), ","), (F.col("p_partkey") % 5).cast("int")))).alias("name")), "SELECT p_partkey, 'system:has file extension:' || list_extract(['.jpg', '.tif', '.png', '.jpg', '.tif'], CAST(p_partkey % 5 + 1 AS INTEGER)) AS name FROM part")

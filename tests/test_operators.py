@@ -103,6 +103,19 @@ def test_hamming_pairs(spark):
 PAGE = '<div><a href="/one"><span><img src="a.png"></span></a><img alt="x"><p><a href="/far"><i><b><u><img src="b.jpg"></u></b></i></a><br></div><a href="/none">'
 
 
+def test_image_hashes(spark):
+    import random
+
+    r = random.Random(1)
+    grey = [float(r.randrange(256)) for _ in range(64)]
+    (row,) = spark.createDataFrame([(grey,)], "p array<double>").select(duplicates.average_hash(F.col("p")).alias("h")).collect()
+    bits = [g > sum(grey) / 64 for g in grey]
+    assert tuple(row.h) == tuple(sum(b << i for i, b in enumerate(bits[32 * k : 32 * k + 32])) for k in (0, 1))
+    pairs = spark.createDataFrame([([[0.0, 0.0], [9.0, 9.0]], [[0.0, 1.0], [0.0, 2.0], [50.0, 50.0]]), ([[0.0, 0.0]], [[0.0, 9.0], [9.0, 0.0]]), (None, [[0.0]]), ([[1.0]], [[1.0]])], "a array<array<double>>, b array<array<double>>")
+    got = [r.d for r in pairs.select(duplicates.descriptor_distance("a", "b").alias("d")).collect()]
+    assert got[0] == 0.5 and got[1] == 1.0 and got[2] is None and got[3] is None
+
+
 def test_programs(spark):
     assert programs.run(programs.default_html(), PAGE) == (["a.png", "b.jpg"], [("/one", 0)])
     text = '{"a": ["HTTPS://X.org/Y.JPG", "http://z.org/q.txt"], "b": {"c": "https://x.org/y.jpg", "d": null}}'
