@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +30,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the shuffles of this write serve nothing else
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,13 +74,14 @@ def with_partner(rows: DataFrame, keys: list[str], partner: Column) -> DataFrame
 
 
 def kept_in_worker(key: tuple, make):
-    """What make() gives, made once in a Python worker and kept for its later tasks."""
+    """What make() gives, made once in a Python worker and kept for its later tasks; only the last one asked for is kept."""
     import sys
     import types
 
     module = sys.modules.setdefault("gleaner_kept", types.ModuleType("gleaner_kept"))
     held = module.__dict__.setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]
 
@@ -82,7 +89,7 @@ def kept_in_worker(key: tuple, make):
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgets all when it holds `most` words, so memory stays bounded."""
 
-    def __init__(self, seed: int = 0, most: int = 1 << 20):
+    def __init__(self, seed: int = 0, most: int = 1 << 19):
         import xxhash
 
         super().__init__()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Windows, kept_in_worker, staged, with_partner
 
-GRAM = 28  # bytes of a minimizer
+GRAM = 52  # bytes of a minimizer: long enough that few texts share one by chance
 PIECE = 1 << 22  # window starts of a text that are looked at together; positions inside take 24 bits
 
 
@@ -153,28 +153,44 @@ def _anchor_rows(length: int):
 
 
 def _run_rows(length: int):
-    """Runs of windows under a shared minimizer; string is null if the same run stands earlier in the text."""
+    """Runs of windows under a shared minimizer; anchor and run_id are hashes of the minimizer and of the run's bytes, 128 bits together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         cutter = _of_worker(length)
+        names = ["anchor", "run_id", "doc_id", "text_key", "start", "windows"]
         for b in batches:
             for doc, key, text, shared in zip(b.column("doc_id"), b.column("text_key"), b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):
                 h, start, count = cutter.runs(text)
                 keep = np.isin(h, np.array(shared, np.int64))
                 h, start, count = h[keep], start[keep], count[keep]
-                seen, strings, ids = set(), [], []
-                for s, c in zip(start.tolist(), count.tolist(), strict=True):
-                    string = text[s : s + c + length - 1]
-                    ids.append(xxhash.xxh3_128_digest(string))
-                    strings.append(None if ids[-1] in seen else string)
-                    seen.add(ids[-1])
-                if ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(ids, pa.binary()), pa.repeat(doc, len(ids)), pa.repeat(key, len(ids)), pa.array(start, pa.int64()), pa.array(count, pa.int64()), pa.array(strings, pa.binary())],
-                        names=["anchor", "run_id", "doc_id", "text_key", "start", "windows", "string"],
-                    )
+                n = len(h)
+                ids = np.fromiter((xxhash.xxh3_64_intdigest(text[s : s + c + length - 1]) for s, c in zip(start.tolist(), count.tolist(), strict=True)), np.uint64, n)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids.view(np.int64)), pa.repeat(doc, n), pa.repeat(key, n), pa.array(start), pa.array(count)], names=names)
+
+    return run
+
+
+def _string_rows(length: int):
+    """The bytes of the runs that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, key, text, asked in zip(b.column("doc_id"), b.column("text_key"), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
+                n = len(asked)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([a["anchor"] for a in asked], pa.int64()),
+                        pa.array([text[a["start"] : a["start"] + a["windows"] + length - 1] for a in asked], pa.binary()),
+                        pa.repeat(doc, n),
+                        pa.repeat(key, n),
+                        pa.array([a["start"] for a in asked], pa.int64()),
+                        pa.array([a["hot"] for a in asked], pa.bool_()),
+                    ],
+                    names=["anchor", "string", "doc_id", "text_key", "start", "hot"],
+                )
 
     return run
 
@@ -268,14 +284,14 @@ def _cut(length: int):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, bucket: int = 8000, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 100, bucket: int = 500, hot: int = 50_000, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Remove each byte that lies in a string of `length` bytes that also starts earlier: in a smaller id, or before it in the same document.
 
     Documents of one text keep the bytes of the least id only. Of the others, windows are cut into runs under one
-    minimizer, and only minimizers that occur twice go on. Equal runs are put together first: all but the earliest are
-    repeats. The distinct runs then meet by minimizer, and each bucket of them is ordered by suffix_classes, whose
-    common prefixes of `length` or more give the windows that are equal in different runs. A minimizer with over `hot`
-    distinct runs is not held in one task: its windows are compared one by one, by 128-bit hashes, in a join.
+    minimizer, and only minimizers that occur twice go on. Of equal runs all but the earliest are repeats. Where a
+    minimizer has different runs, their bytes meet, once each, and each bucket of them is ordered by suffix_classes,
+    whose common prefixes of `length` or more give the windows that are equal in different runs. A minimizer with over
+    `hot` occurrences is not held in one task: its windows are compared one by one, by 128-bit hashes, in a join.
 
     Texts are UTF-8 bytes; null is empty; a null id loses and removes nothing; rows that share an id count as one
     document, in which a string that starts at a smaller place comes first; repeated rows give repeated results. Other
@@ -290,7 +306,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, bucket: int = 8000
     kind = plain.schema["doc_id"].dataType.simpleString()
     arrow_kind = to_arrow_type(plain.schema["doc_id"].dataType)
     every = staged(plain.mapInArrow(_digest, f"doc_id {kind}, text_key long, n_bytes long, sha binary"), "bytes")
-    firsts = every.where(F.col("doc_id").isNotNull()).groupBy(F.col("sha").alias("f_sha")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = staged(every.where(F.col("doc_id").isNotNull()).groupBy(F.col("sha").alias("f_sha")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "firsts")  # a table of its own, so that the join can split a hot key
     every = every.join(firsts, F.col("sha") == F.col("f_sha"), "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_bytes") >= length))
     every = every.select("doc_id", "text_key", "n_bytes", "sha", "copy")
 
@@ -298,23 +314,26 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, bucket: int = 8000
     anchors = known.select("doc_id", "text").mapInArrow(_anchor_rows(length), f"anchor long, doc_id {kind}, nth byte")
     shared = with_partner(anchors, ["anchor"], F.lit(True)).groupBy(F.col("doc_id").alias("s_id")).agg(F.collect_set("anchor").alias("shared"))
     look = every.where("not copy").select(F.col("doc_id").alias("l_id"), F.col("text_key").alias("l_key")).distinct().join(shared, F.col("l_id") == F.col("s_id"))
-    candidates = staged(known.join(look, (F.col("doc_id") == F.col("l_id")) & (F.col("text_key") == F.col("l_key"))).select("doc_id", "text_key", "text", "shared"), "candidates")
+    candidates = known.join(look, (F.col("doc_id") == F.col("l_id")) & (F.col("text_key") == F.col("l_key"))).select("doc_id", "text_key", "text", "shared")
+    candidates = staged(candidates, "candidates")
 
-    runs = staged(candidates.mapInArrow(_run_rows(length), f"anchor long, run_id binary, doc_id {kind}, text_key long, start long, windows long, string binary"), "runs")
-    own = runs.where("string is null").select("doc_id", "text_key", "start", (F.col("start") + F.col("windows")).alias("end"))
-    rest = runs.where("string is not null")
+    runs = staged(candidates.mapInArrow(_run_rows(length), f"anchor long, run_id long, doc_id {kind}, text_key long, start long, windows long"), "runs")
+    end = (F.col("start") + F.col("windows")).alias("end")
     earlier = (F.col("other.doc_id") < F.col("mine.doc_id")) | ((F.col("other.doc_id") == F.col("mine.doc_id")) & (F.col("other.start") < F.col("mine.start")))
-    again = with_partner(rest.select("run_id", "doc_id", "text_key", "start", "windows"), ["run_id"], earlier).select("doc_id", "text_key", "start", (F.col("start") + F.col("windows")).alias("end"))
-    distinct = rest.groupBy("anchor", "run_id").agg(F.min(F.struct("doc_id", "start", "text_key")).alias("f"), F.first("string").alias("string"))
-    distinct = distinct.select("anchor", "string", F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), F.col("f.start").alias("start"))
-    large = staged(rest.groupBy("anchor").agg(F.count_distinct("run_id").alias("n")).where(F.col("n") > hot).select(F.col("anchor").alias("l_anchor")), "hot")
+    again = with_partner(runs, ["anchor", "run_id"], earlier).select("doc_id", "text_key", "start", end)
+
+    several = runs.groupBy(F.col("anchor").alias("s_anchor")).agg(F.min("run_id").alias("low"), F.max("run_id").alias("high"), (F.count("*") > hot).alias("hot")).where("low < high").select("s_anchor", "hot")
+    distinct = runs.join(staged(several, "several"), F.col("anchor") == F.col("s_anchor")).groupBy("anchor", "run_id").agg(F.min(F.struct("doc_id", "start", "text_key", "windows")).alias("f"), F.first("hot").alias("hot"))
+    asked = distinct.groupBy(F.col("f.doc_id").alias("q_id"), F.col("f.text_key").alias("q_key")).agg(F.collect_list(F.struct("anchor", F.col("f.start").alias("start"), F.col("f.windows").alias("windows"), "hot")).alias("asked"))
+    texts = candidates.select("doc_id", "text_key", "text").join(asked, (F.col("doc_id") == F.col("q_id")) & (F.col("text_key") == F.col("q_key"))).select("doc_id", "text_key", "text", "asked")
+    strings = texts.mapInArrow(_string_rows(length), f"anchor long, string binary, doc_id {kind}, text_key long, start long, hot boolean")
+    strings = staged(strings, "strings")
     span = f"doc_id {kind}, text_key long, start long, end long"
-    few = distinct.join(large, F.col("anchor") == F.col("l_anchor"), "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    found = few.mapInArrow(_buckets(length, bucket, arrow_kind), span)
-    many = distinct.join(large, F.col("anchor") == F.col("l_anchor"), "left_semi").mapInArrow(_single_rows(length), f"window binary, doc_id {kind}, text_key long, start long")
+    found = strings.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(_buckets(length, bucket, arrow_kind), span)
+    many = strings.where("hot").mapInArrow(_single_rows(length), f"window binary, doc_id {kind}, text_key long, start long")
     single = with_partner(many, ["window"], earlier).select("doc_id", "text_key", "start", (F.col("start") + 1).alias("end"))
-    spans = own.unionByName(again).unionByName(found).unionByName(single)
-    spans = spans.groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key")).agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    spans = again.unionByName(found).unionByName(single)
+    spans = staged(spans.groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key")).agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
     hit = candidates.join(spans, (F.col("doc_id") == F.col("a_id")) & (F.col("text_key") == F.col("a_key"))).select("doc_id", "text_key", "text", "found")
     cut = hit.mapInArrow(_cut(length), f"c_id {kind}, c_key long, c_removed long, c_spans long, c_sha binary, kept binary")
     if not with_text:
