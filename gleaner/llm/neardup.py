@@ -85,17 +85,67 @@ def _shingle(words: int):
     return run
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Of one pair of blocks of a bucket, the pairs of documents of different components whose sketches are like enough."""
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first and of the second block; side 2 is a block met with itself."""
+    side = t.column("side").to_numpy()
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _block_nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a bucket, the rows that have a like enough sketch of another component in the other block, if this is the first band that the two share."""
     t = pa.Table.from_batches(list(batches))
-    ids, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
-    side, sk = t.column("side").to_numpy(), np.stack([np.frombuffer(x, np.uint16) for x in t.column("sketch").to_pylist()])
-    first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
+    comp, at = t.column("comp").to_numpy(), t.column("at")[0].as_py()
+    sk = np.stack([np.frombuffer(x, np.uint16) for x in t.column("sketch").to_pylist()])
+    first, second = _sides(t)
+    hit = np.zeros(len(comp), bool)
     for i in first:
-        like = (sk[second] == sk[i]).sum(1) >= SURE_BELOW * size
-        hit = second[like & (comp[second] != comp[i]) & ((side[i] != 2) | (ids[second] > ids[i]))]
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[hit], ids[i])), pa.array(np.maximum(ids[hit], ids[i]))], names=["a", "b"])
+        other = second[comp[second] != comp[i]]
+        same = sk[other] == sk[i]
+        like = (same.sum(1) >= SURE_BELOW * size) & (same.reshape(len(other), BANDS, ROWS).all(2).argmax(1) == at)
+        if like.any():
+            hit[i] = True
+            hit[other[like]] = True
+    if hit.any():
+        yield from t.filter(pa.array(hit)).select(["band", "i", "j", "side", "node", "comp"]).combine_chunks().to_batches()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of two blocks of a bucket, links on full sets that join all components that such links join: at most one a row."""
+    t = pa.Table.from_batches(list(batches))
+    nodes, comp = t.column("node").to_numpy(), t.column("comp").to_pylist()
+    sets = [x.values.to_numpy() for x in t.column("shingles").combine_chunks()] if t.num_rows else []
+    first, second = _sides(t)
+    lengths = np.array([len(x) for x in sets])
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    column = np.cumsum(counts > 1) - 1  # only what two sets hold can be in an intersection
+    keep = counts[inverse] > 1
+    owner, place = owner[keep], column[inverse[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1, 4096):  # counted in strips, so memory stays bounded
+        a, b = np.searchsorted(place, [low, low + 4096])
+        strip = np.zeros((len(sets), 4096), np.float32)
+        strip[owner[a:b], place[a:b] - low] = 1
+        both += strip @ strip.T
+    root = {c: c for c in comp}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i in first:
+        inter = both[i, second].astype(np.int64)
+        for j in second[100 * inter >= percent * (lengths[i] + lengths[second] - inter)]:
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], names=["a", "b"])
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -124,8 +174,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
     Documents with equal sets are one node. Each node's sketch is cut into BANDS bands; nodes with an equal band are a
     bucket. First each node is verified on full sets against the least node of its buckets. Buckets that still hold
-    several components are then cut into blocks, and every two blocks are compared by sketches, then verified on full
-    sets; so the pairs inside a component are never made.
+    several components are then cut into blocks, and every two blocks are compared in one task: by sketches, then those
+    that may be linked on full sets. Only links that join components leave a task, so pairs are never made as rows.
 
     Documents without words have an empty set and stay alone. Rows that share an id are one document for linking and
     give a row each. A null id stays alone, with a null component. Other columns are ignored.
@@ -136,9 +186,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = staged(docs.mapInArrow(_sketch(words, size), f"doc_id {kind}, n long, set_id binary, sketch binary"), "sketches")
-    sets = known.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
+    sets = staged(known.where("n > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "sets")
     bands = F.array(*(F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)))
-    banded = sets.select("node", F.explode(bands).alias("band"))
+    banded = sets.select("node", F.posexplode(bands).alias("at", "band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
     members = staged(banded.join(shared, "band"), "buckets")
 
@@ -157,23 +207,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
 
     links = staged(verified(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "links")
     comps = components(links)
-    placed = members.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    placed = members.join(comps, "node", "left").select("band", "at", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x < y")
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), F.when(o == mine, 2).when(mine < o, 0).otherwise(1).alias("side")))
-    dealt = placed.join(mixed, "band").join(sets.select("node", "sketch"), "node").select("band", "node", "comp", "sketch", F.explode(others).alias("p"))
+    dealt = placed.join(mixed, "band").join(sets.select("node", "sketch"), "node").select("band", "at", "node", "comp", "sketch", F.explode(others).alias("p"))
+
+    dealt = dealt.select("band", "at", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "node", "comp", "sketch")
+
+    def near(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _block_nodes(rows, size)
 
-    def compare(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _block_pairs(rows, size)
+    def link(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _block_links(rows, percent)
 
-    dealt = dealt.select("band", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "node", "comp", "sketch")
-    more = dealt.groupBy("band", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
-    late = staged(verified(more), "links")
+    close = dealt.groupBy("band", "i", "j").applyInArrow(near, f"band long, i int, j int, side int, node {kind}, comp {kind}")
+    late = staged(close.join(full, "node").groupBy("band", "i", "j").applyInArrow(link, f"a {kind}, b {kind}"), "links")
     if not late.isEmpty():
         comps = components(links.unionByName(late))
     nodes = known.select("doc_id", "n", "set_id").join(sets.select("set_id", "node"), "set_id", "left").join(comps, "node", "left")
-    comp = F.when(F.col("n") > 0, F.coalesce("comp", "node", "doc_id")).otherwise(F.col("doc_id"))
+    comp = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
     return nodes.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
