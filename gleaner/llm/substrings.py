@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, WordHashes, covered, kept_in_worker, staged, with_partner
+from .common import Windows, WordHashes, covered, kept_in_worker, mix64, staged, with_partner
 
 # Perfect difference sets. Any two residues can be shifted by one amount so that both lie in the set.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -29,7 +29,7 @@ class Anchors:
         cover[list(COVERS.get(self.period, (0,)))] = True
         self.cover = cover
         self.anchor = length - self.period + 1
-        self.one, self.two = WordHashes(1), WordHashes(2)
+        self.one = WordHashes(1)
         self.short, self.long, self.again = Windows(0x9E3779B97F4A7C15), Windows(0xC2B2AE3D27D4EB4F), Windows(0xA0761D6478BD642F)
 
     def at(self, n: int) -> np.ndarray:
@@ -48,14 +48,16 @@ class Anchors:
         """Starts and 128-bit hashes of the windows that hold a shared anchor."""
         at, h = self.anchors(words)
         at = at[np.isin(h, np.fromiter(shared, np.int64, len(shared)))]
-        windows = len(words) - self.length + 1
+        windows = max(0, len(words) - self.length + 1)
         first = np.maximum(at - (self.length - self.anchor), 0)
         edges = np.zeros(windows + 1, np.int32)
         inside = first < windows
         np.add.at(edges, first[inside], 1)
         np.add.at(edges, np.minimum(at[inside] + 1, windows), -1)
         starts = np.flatnonzero(np.cumsum(edges[:windows]) > 0)
-        return starts, self.long.of(self.one.of(words), self.length)[starts].view(np.int64), self.again.of(self.two.of(words), self.length)[starts].view(np.int64)
+        one = self.one.of(words)
+        two = mix64(one ^ np.uint64(0x9FB21C651E98DF25))
+        return starts, self.long.of(one, self.length)[starts].view(np.int64), self.again.of(two, self.length)[starts].view(np.int64)
 
 
 def _of_worker(length: int) -> Anchors:
@@ -66,9 +68,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for b in batches:
-        words = [(t or b"").split() for t in b.column("text").to_pylist()]
+        counts, digests = [], []
+        for text in b.column("text").to_pylist():
+            words = text.split()
+            counts.append(len(words))
+            digests.append(hashlib.sha256(b" ".join(words)).digest())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("text_key"), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())],
+            [b.column("doc_id"), b.column("text_key"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary())],
             names=["doc_id", "text_key", "n_words", "sha"],
         )
 
@@ -138,7 +144,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     kind = plain.schema["doc_id"].dataType.simpleString()
     every = staged(plain.mapInArrow(_digest, f"doc_id {kind}, text_key long, n_words long, sha binary"), "words")
-    firsts = every.where(F.col("doc_id").isNotNull()).groupBy(F.col("sha").alias("f_sha")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = staged(every.where(F.col("doc_id").isNotNull()).groupBy(F.col("sha").alias("f_sha")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "firsts")  # a table of its own, so that the join can split a hot key
     every = every.join(firsts, F.col("sha") == F.col("f_sha"), "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= length))
     every = every.select("doc_id", "text_key", "n_words", "sha", "copy")
 
