@@ -56,9 +56,13 @@ class Star:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A table of the folder; its schema is looked up once."""
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self.read[name]
 
     def taggables(self) -> DataFrame:
         o = self.table("orders")
