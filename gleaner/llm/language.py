@@ -21,6 +21,7 @@ FAMILIES = {
     "uralic": ["fi", "et", "hu"],
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
+PASS, LOST = 0.05, 0.005  # fixed values: shares of doubtful texts that may pass, and of clean texts that may go, where the score has its floor
 _letters = re.compile(r"[^\W\d_]")
 
 
@@ -123,28 +124,64 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model | None:
-    """Fit the model on at most about per_language documents of each language with a label and a letter (None without any).
+def sample(docs: DataFrame, per_language: int, where: Column | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
+    """At most about per_language labelled documents of each language that have a letter and meet `where`, in order of id.
 
     The sample is those whose hashed id is lowest: a share of per_language/count, so no language is gathered whole.
     Its size is bounded by the number of languages times twice per_language.
     """
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    ids = ids.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = ids.where(~held_out(F.col("doc_id")) if where is None else where)
+    ids = ids.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(where)
     counts = ids.groupBy("lang").count().collect()  # a row for each language
     if not counts:
-        return None
+        return []
     picked = None
     for r in counts:
         low = int(min(1.0, per_language / r["count"]) * (1 << 20))
         this = (F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < low)
         picked = this if picked is None else picked | this
     rows = ids.where(picked).limit(2 * per_language * len(counts)).collect()
-    rows = sorted((r for r in rows if has_letter(r.text)), key=lambda r: (str(r.doc_id), r.text))
+    return sorted((r for r in rows if has_letter(r.text)), key=lambda r: (str(r.doc_id), r.text))
+
+
+def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model | None:
+    """Fit the model on at most about per_language documents of each language with a label and a letter (None without any)."""
+    rows = sample(docs, per_language, ~held_out(F.col("doc_id")) if where is None else where, id_col, text_col, lang_col)
     return Model(vectors([r.text for r in rows]), [r.lang for r in rows]) if rows else None
 
 
+def doubtful(texts: list[str], langs: list[str], seed: int = 0) -> list[str]:
+    """Texts in no one language, made of labelled ones: halves of two languages put together, and words of random letters."""
+    rng, by = np.random.default_rng(seed), {}
+    for t, v in zip(texts, langs, strict=True):
+        by.setdefault(v, []).append(t[:600])
+    mixed = [x[: len(y)] + " " + y[: len(x)] for a, b in itertools.combinations(sorted(by), 2) for x, y in zip(by[a], by[b], strict=False)]
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    noise = [" ".join("".join(rng.choice(letters, n)) for n in rng.integers(2, 10, rng.integers(6, 100))) for _ in texts]
+    return mixed + noise
+
+
+def doubt(model: Model, texts: list[str], langs: list[str]) -> float:
+    """The score below which a language is doubtful, from labelled texts that the model has not learned from.
+
+    It is the middle between the lowest that lets at most PASS of the doubtful() texts and of those told wrongly through
+    and the highest below which at most LOST of the texts told rightly lie; the latter alone where it is the lower one. Scores are half a logistic curve: 0.5
+    would reject nothing, so the margins tried begin above 0. Without any text told rightly it is the first of them.
+    """
+    limit = 1 / (1 + np.exp(-np.arange(5, 51) / 25))
+    if not texts:
+        return float(limit[0])
+    pred, score = model.predict(vectors(texts))
+    right = np.array([p == v for p, v in zip(pred, langs, strict=True)])
+    if not right.any():
+        return float(limit[0])
+    bad = np.concatenate([score[~right], model.predict(vectors(doubtful(texts, langs)))[1]])
+    passed, lost = ((bad[:, None] >= limit).mean(0), (score[right][:, None] < limit).mean(0))
+    apart = int(np.argmax(passed <= PASS)) if (passed <= PASS).any() else len(limit) - 1
+    clean = max(0, int((lost <= LOST).sum()) - 1)
+    return float(limit[min(clean, (apart + clean) // 2)])
+
+
 def classify(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "") -> DataFrame:
     """All columns of docs, and <prefix>lang_pred and <prefix>score.
 
@@ -181,8 +218,15 @@ def identify(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", t
     return classify(plain, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def reject(docs: DataFrame, per_language: int = 400, least: float = 0.5) -> DataFrame:
-    """The documents, unchanged, without those whose language is `und` or whose score is below least."""
+def reject(docs: DataFrame, per_language: int = 400, least: float | None = None) -> DataFrame:
+    """The documents, unchanged, without those whose language is `und` or whose score is below least.
+
+    Unless given, least is that of doubt() on at most about a quarter of per_language held-out documents a language. With
+    labels of one language only, there are no margins, and only texts without a letter go.
+    """
     model = train(docs, per_language)
+    if least is None:
+        rows = sample(docs, max(1, per_language // 4), held_out(F.col("doc_id"))) if model else []
+        least = doubt(model, [r.text for r in rows], [r.lang for r in rows]) if model else 0.5
     cols = docs.columns
     return classify(docs, model, prefix="__").where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*cols)

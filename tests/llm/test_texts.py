@@ -219,3 +219,17 @@ def test_language_of_odd_rows(docs):
     assert language.identify(docs([])).collect() == []
     kept = language.reject(docs(texts, langs=langs))
     assert sorted(x.doc_id for x in kept.collect()) == [*range(60), 63]
+
+
+def test_doubtful_language_goes(spark, sf_dir, docs):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = [(r.text, r.lang) for r in d.where("length(text) > 100").orderBy("doc_id").collect()]
+    r = random.Random(2)
+    junk = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(60)) for _ in range(20)]
+    junk += ["Sää on tänään erittäin kaunis ja menemme lasten kanssa rannalle uimaan ja leikkimään hiekassa koko päivän", "Погода сегодня очень хорошая и мы едем с детьми на пляж чтобы купаться и играть в песке весь день"]
+    half = {v: next(t for t, lang in clean if lang == v and len(t) > 400)[:400] for v in ("en", "fr")}
+    junk.append(half["en"] + " " + half["fr"])
+    texts, langs = [t for t, _ in clean] + junk, [v for _, v in clean] + [None] * len(junk)
+    kept = {x.doc_id for x in language.reject(docs(texts, langs=langs)).collect()}
+    assert not kept & set(range(len(clean), len(texts)))
+    assert len(kept) >= 0.99 * len(clean) and {langs[k] for k in kept} == {v for _, v in clean}
