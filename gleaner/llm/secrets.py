@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -58,17 +58,22 @@ _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32
 _SPAN_SQL = "array<struct<start:int,rank:int,end:int,h:string>>"
 
 
+def _text_key(col: str) -> Column:
+    """128-bit hash of a text; null is as empty text."""
+    return F.md5(F.coalesce(F.col(col), F.lit("")).cast("binary"))
+
+
 def _scan(bits: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, keys = [], []
-            for text in b.column("text").to_pylist():
+            for text, key in zip(b.column("text").to_pylist(), b.column("key").to_pylist(), strict=True):
                 text = text or ""
                 base = base_spans(text)
                 rows = [(s, r, e, xxhash.xxh3_128_hexdigest(v)) for s, r, e, v in base]
                 rows += [(s, 3, e, xxhash.xxh3_128_hexdigest(v)) for s, e, v in bare_values(text, base, bits)]
                 spans.append([dict(zip(("start", "rank", "end", "h"), x, strict=True)) for x in sorted(rows)])
-                keys.append(xxhash.xxh3_128_hexdigest(text) if rows else None)
+                keys.append(key if rows else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("owner"), b.column("repo"), pa.array(keys, pa.string()), pa.array(spans, pa.list_(_SPAN))],
                 names=["doc_id", "owner", "repo", "key", "spans"],
@@ -90,7 +95,7 @@ def secret_spans(docs: DataFrame, owner_col: str = "source", repo_col: str = "do
 
     Returns doc_id, text_key (null without candidates), base and spans (arrays of start, rank, end), n_live, n_example.
     """
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"))
+    seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), _text_key(text_col).alias("key"))
     id_type = seen.schema["doc_id"].dataType.simpleString()
     seen = staged(seen.mapInArrow(_scan(bits), f"doc_id {id_type}, owner string, repo string, key string, spans {_SPAN_SQL}"), "secrets")
     held = seen.where("key is not null").select("doc_id", "key", "owner", "repo", F.explode("spans").alias("s"))
@@ -131,25 +136,25 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
 def redact(docs: DataFrame, owner_col: str = "source", mark: str = "[secret]", **options) -> DataFrame:
     """The documents with every span replaced by `mark`; columns stay as they are, n_chars (if there) is counted anew.
 
-    Overlapping spans are replaced as one. Documents without spans are unchanged.
+    Overlapping spans are replaced as one. Documents without spans are unchanged. Spans are matched to documents by id,
+    null or not, and text.
     """
-    spans = secret_spans(docs, owner_col=owner_col, **options).where("size(spans) > 0").select("doc_id", "text_key", "spans").distinct()
-    hit = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_key", "spans")).alias("__found"))
-    joined = docs.join(hit, F.col("doc_id") == F.col("__id"), "left")
+    spans = secret_spans(docs, owner_col=owner_col, **options).where("size(spans) > 0")
+    hit = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__found")).distinct()
+    joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key("text") == F.col("__key")), "left")
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, found in zip(b.column("text").to_pylist(), b.column("__found").to_pylist(), strict=True):
-                if found:  # one entry for each text that has this id
-                    key = xxhash.xxh3_128_hexdigest(text or "")
+                if found:
                     parts, at = [], 0
-                    for s in next((x["spans"] for x in found if x["text_key"] == key), []):
+                    for s in found:
                         if s["start"] >= at:
                             parts += [text[at : s["start"]], mark]
                         at = max(at, s["end"])
-                    text = "".join(parts) + text[at:] if parts else text
+                    text = "".join(parts) + text[at:]
                 out.append(text)
             counts = [None if x is None else len(x) for x in out]
             arrays = [pa.array(out, pa.string()) if c == "text" else pa.array(counts, b.column(c).type) if c == "n_chars" else b.column(c) for c in columns]

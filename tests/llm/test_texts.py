@@ -233,3 +233,9 @@ def test_doubtful_language_goes(spark, sf_dir, docs):
     kept = {x.doc_id for x in language.reject(docs(texts, langs=langs)).collect()}
     assert not kept & set(range(len(clean), len(texts)))
     assert len(kept) >= 0.99 * len(clean) and {langs[k] for k in kept} == {v for _, v in clean}
+
+
+def test_redaction_of_null_ids(docs):
+    d = docs([TEXTS[0], "clean", None, f"other {KEY} end", TEXTS[0], TEXTS[0]], [None, None, None, None, None, 5], ["a"] * 6)
+    got = sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in secrets.redact(d).collect())
+    assert got == [(0, "", 0), (0, 'a [secret]" b', 13), (0, 'a [secret]" b', 13), (0, "clean", 5), (0, "other [secret] end", 18), (5, 'a [secret]" b', 13)]
