@@ -82,41 +82,61 @@ def _scan(bits: float):
     return scan
 
 
-def secret_spans(docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text", live_owners: int = 1, example_owners: int = 3, bits: float = 3.0) -> DataFrame:
+def value_counts(held: DataFrame) -> DataFrame:
+    """Of every value h: n_owners, n_repos, and whether one owner holds every text that has it (one_holds).
+
+    held has h, key (of the text), owner and repo. Copies of one text count once as repositories: by the least that holds them.
+    """
+    held = held.select("h", "key", "owner", "repo").distinct()
+    by_owner = held.groupBy("h", "owner").agg(F.count_distinct("key").alias("texts")).groupBy("h").agg(F.count("*").alias("n_owners"), F.max("texts").alias("most"))
+    by_text = held.groupBy("h", "key").agg(F.min("repo").alias("repo")).groupBy("h").agg(F.count("*").alias("n_texts"), F.count_distinct("repo").alias("n_repos"))
+    return by_owner.join(by_text, "h").select("h", "n_owners", "n_repos", (F.col("most") == F.col("n_texts")).alias("one_holds"))
+
+
+def secret_spans(
+    docs: DataFrame, owner_col: str = "source", repo_col: str = "doc_id", id_col: str = "doc_id", text_col: str = "text",
+    live_owners: int = 1, example_owners: int = 3, bits: float = 3.0, example_repos: int = 10,
+) -> DataFrame:
     """Secrets of every document, each judged by how many owners and repositories in the whole corpus hold its value.
 
     Candidates are the base matches and bare key-like strings. Their values' hashes are counted over the corpus by
-    distinct owners (owner_col) and distinct repositories (repo_col). A value of at most live_owners owners counts
-    as live; one of example_owners or more as an example that was copied about. Bare strings become spans of kind
-    `owned` if they are live; base spans stay whatever their count.
+    distinct owners (owner_col) and distinct repositories (repo_col; copies of one text are one). A value of
+    example_owners or example_repos or more counts as an example that was copied about. Any other counts as live if it has
+    at most live_owners owners, or if one owner holds every text with it, so that others have mere copies of its texts.
+    Bare strings become spans of kind `owned` if they are live; base spans stay whatever their count.
 
-    Null or empty text has no spans. A null owner counts as one owner, a null repository as one. Repeated rows give
-    repeated results. Other columns are ignored.
+    Null or empty text has no spans. A null owner or repository is unknown: each text stands for one of its own. Repeated
+    rows give repeated results. Other columns are ignored.
 
-    Returns doc_id, text_key (null without candidates), base and spans (arrays of start, rank, end), n_live, n_example.
+    Returns doc_id, text_key (null without candidates), base and spans (arrays of start, rank, end), n_live, n_example, and
+    values (array of start, rank, end, n_owners, n_repos of every candidate).
     """
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"), _text_key(text_col).alias("key"))
+    key = _text_key(text_col)
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), key)  # noqa: E731  no key begins with =
+    seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), known(owner_col).alias("owner"), known(repo_col).alias("repo"), key.alias("key"))
     id_type = seen.schema["doc_id"].dataType.simpleString()
     seen = staged(seen.mapInArrow(_scan(bits), f"doc_id {id_type}, owner string, repo string, key string, spans {_SPAN_SQL}"), "secrets")
-    held = seen.where("key is not null").select("doc_id", "key", "owner", "repo", F.explode("spans").alias("s"))
-    owners = held.select("s.h", "owner", "repo").distinct().groupBy("h").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
+    held = seen.where("key is not null").select("doc_id", "key", "owner", "repo", F.explode("spans").alias("s")).withColumn("h", F.col("s.h"))
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    live = ~example & ((F.col("n_owners") <= live_owners) | F.col("one_holds"))
+    span, value = F.struct("s.start", "s.rank", "s.end"), F.struct("s.start", "s.rank", "s.end", "n_owners", "n_repos")
     judged = (
-        held.select("doc_id", "key", "s").distinct()
-        .withColumn("h", F.col("s.h")).join(owners, "h")
-        .where(f"s.rank < 3 or n_owners <= {live_owners}")
+        held.select("doc_id", "key", "h", "s").distinct().join(value_counts(held), "h").withColumn("live", live)
         .groupBy("doc_id", "key")
         .agg(
-            F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end"))).alias("kept"),
-            F.count_if(F.col("n_owners") <= live_owners).alias("live"),
-            F.count_if(F.col("n_owners") >= example_owners).alias("example"),
+            F.array_sort(F.collect_list(F.when((F.col("s.rank") < 3) | F.col("live"), span))).alias("kept"),
+            F.array_sort(F.collect_list(value)).alias("counted"),
+            F.count_if("live").alias("live"),
+            F.count_if(example).alias("example"),
         )
     )
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    none = lambda more="": F.array().cast(f"array<struct<start:int,rank:int,end:int{more}>>")
     base = F.transform(F.filter("spans", lambda s: s["rank"] < 3), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
     alone = seen.select("doc_id", "key", base.alias("base"))
     return alone.join(judged.withColumnsRenamed({"doc_id": "j_id", "key": "j_key"}), F.col("key").eqNullSafe(F.col("j_key")) & F.col("doc_id").eqNullSafe(F.col("j_id")), "left").select(
-        "doc_id", F.col("key").alias("text_key"), "base", F.coalesce("kept", none).alias("spans"),
+        "doc_id", F.col("key").alias("text_key"), "base", F.coalesce("kept", none()).alias("spans"),
         F.coalesce("live", F.lit(0)).alias("n_live"), F.coalesce("example", F.lit(0)).alias("n_example"),
+        F.coalesce("counted", none(",n_owners:bigint,n_repos:bigint")).alias("values"),
     )
 
 
@@ -127,10 +147,11 @@ def spans_text(col: str):
 
 
 def secret_report(docs: DataFrame, **options) -> DataFrame:
-    """The digest of secret_spans: counts by kind, checksum of the base spans, and all spans as text."""
+    """The digest of secret_spans: counts by kind, checksum of the base spans, all spans as text, and start:owners:repositories of every candidate."""
     s = secret_spans(docs, **options)
     count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return s.select("doc_id", count(0), count(1), count(2), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"), "n_live", "n_example")
+    counts = F.array_join(F.transform("values", lambda v: F.concat_ws(":", *(v[k].cast("string") for k in ("start", "n_owners", "n_repos")))), ",")
+    return s.select("doc_id", count(0), count(1), count(2), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"), "n_live", "n_example", counts.alias("counts"))
 
 
 def redact(docs: DataFrame, owner_col: str = "source", mark: str = "[secret]", **options) -> DataFrame:

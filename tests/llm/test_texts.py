@@ -239,3 +239,14 @@ def test_redaction_of_null_ids(docs):
     d = docs([TEXTS[0], "clean", None, f"other {KEY} end", TEXTS[0], TEXTS[0]], [None, None, None, None, None, 5], ["a"] * 6)
     got = sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in secrets.redact(d).collect())
     assert got == [(0, "", 0), (0, 'a [secret]" b', 13), (0, 'a [secret]" b', 13), (0, "clean", 5), (0, "other [secret] end", 18), (5, 'a [secret]" b', 13)]
+
+
+def test_secrets_by_owners_and_repositories(docs):
+    wide, mirrored, shared = "Zx81kQ0vB7sT3nM5pL9w", "aB3dE5fG7hJ9kL1mN2pQ", "Qm4nB6vC8xZ0lK2jH4gF"
+    rows = [(f"guide {k} {wide}", "a") for k in range(12)]  # copied widely inside one owner
+    rows += [(f"mine {mirrored}", "a"), (f"mine {mirrored}", "b"), (f"also mine {mirrored}", "b")]  # one text of b's is mirrored
+    rows += [(f"null {k} {shared}", None) for k in range(3)]  # owners that are not known to be one
+    got = {r.doc_id: r for r in secrets.secret_report(docs([t for t, _ in rows], sources=[s for _, s in rows])).collect()}
+    assert [got[k].spans for k in range(12)] == [""] * 12 and got[0].n_example == 1 and got[0].counts == "8:1:12"
+    assert [got[k].spans for k in (12, 13, 14)] == ["owned:5:25", "owned:5:25", "owned:10:30"] and got[12].counts == "5:2:2"
+    assert [got[k].spans for k in (15, 16, 17)] == [""] * 3 and got[15].counts == "7:3:3"
