@@ -14,18 +14,19 @@ from pyspark.sql import functions as F
 # Comments; elements whose text is never shown; tags; what else is in angle brackets.
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|head|title|textarea|select)\b[^>]*+>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)
+    |<(?P<raw>script|style|noscript|template|iframe|canvas|head|title|desc|annotation|annotation-xml|textarea|select)\b[^>]*+>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)
     |<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*+)(?P<rest2>[^>]*+)>
     |<[!?/][^>]*+>""",
     re.S | re.I | re.X,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_WORDS = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_WORDS = re.compile(r"[a-z]{2,}")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Elements that don't end a block, that have no end tag, and that begin a block of their own kind.
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE |= set("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics svg g text tspan textpath path circle rect line polygon polyline ellipse defs use symbol stop lineargradient radialgradient".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _OPEN_ENDED = set("p li dt dd tr td th option".split())
 # Costs, in hundredths: an ancestor's name or the words of its class, id or role speak for boilerplate or content.
@@ -34,6 +35,9 @@ _BAD_WORDS = dict.fromkeys(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond reply replies disqus pagination pager toolbar search masthead complementary contentinfo".split(),
     700,
 ) | {"header": 350, "meta": 100, "tags": 200}
+# These in a name of several words leave its meaning.
+_NEUTRAL = set("area bar block box container group inner item items left list outer panel primary right secondary section site widget widgets wrap wrapper".split())
+HIDDEN, FADE = 700, 0.95
 _GOOD_TAGS = {"article": 300, "main": 200}
 _GOOD_WORDS = {"article": 200, "content": 120, "post": 100, "entry": 120, "story": 150, "main": 120, "body": 60}
 
@@ -45,22 +49,57 @@ class Block:
         self.text, self.linked, self.path, self.tag, self.costs = text, linked, path, tag, costs
 
 
-def _element_costs(name: str, rest: str) -> tuple[int, int]:
-    """What one ancestor speaks for: content, boilerplate."""
-    good, bad = _GOOD_TAGS.get(name, 0), _BAD_TAGS.get(name, 0)
+def _element_costs(name: str, rest: str) -> tuple[int, int, int]:
+    """What one element's name and attributes speak for: content, boilerplate, and text that isn't shown.
+
+    A class, id, role or label speaks for boilerplate by a whole token: all of its words do, or those that aren't neutral.
+    """
+    good, bad, hidden = _GOOD_TAGS.get(name, 0), _BAD_TAGS.get(name, 0), 0
     if rest and name not in ("html", "body"):
-        for m in _NAMES.finditer(rest):
-            for w in _WORDS.findall(m[1].lower()):
-                good, bad = max(good, _GOOD_WORDS.get(w, 0)), max(bad, _BAD_WORDS.get(w, 0))
-        if _HIDDEN.search(rest):
-            bad = max(bad, 700)
-    return good, bad
+        for m in _ATTRIBUTES.finditer(rest):
+            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+            if key in ("class", "id", "role", "aria-label"):
+                for token in value.split():
+                    words = _WORDS.findall(token)
+                    good = max([good, *(_GOOD_WORDS.get(w, 0) for w in words)])
+                    told = [w for w in words if w not in _NEUTRAL] or words
+                    bad = max(bad, min((_BAD_WORDS.get(w, 0) for w in told), default=0))
+            elif key == "hidden" or key == "aria-hidden" and value.strip() == "true" or key == "style" and _UNSEEN.search(value):
+                hidden = HIDDEN
+    return good, bad, hidden
+
+
+def _inherit(out: list[Block], within: list[tuple[int, ...]], elements: dict[int, tuple[str, int, int, int]]) -> None:
+    """Give every block the costs of the elements around it (within: their numbers, from the outside).
+
+    An element that holds more than half of the page's text outside links speaks the less for boilerplate the more it holds. A
+    cost for boilerplate fades with every element below, and to a quarter in an article or main that holds half of the
+    text; that of text that isn't shown stays.
+    """
+    held: dict[int, int] = {}
+    for b, around in zip(out, within, strict=True):
+        for e in around:
+            held[e] = held.get(e, 0) + len(b.text) - b.linked
+    total = max(1, sum(len(b.text) - b.linked for b in out))
+    for b, around in zip(out, within, strict=True):
+        good, bad, hidden = 0, 0.0, 0
+        for e in around:
+            name, g, own, unseen = elements[e]
+            share = held[e] / total
+            if name not in _INLINE:
+                bad *= FADE / 4 if name in _GOOD_TAGS and share >= 0.5 else FADE
+            if name == "header" and good >= 200:
+                own = min(own, 100)  # an article's own head
+            good, bad, hidden = max(good, g), max(bad, own * min(1.0, 2 * (1 - share))), max(hidden, unseen)
+        b.costs = (good, max(int(bad), hidden))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order: what stands between tags that aren't inline, references decoded, white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, number of the element, content and boilerplate costs so far
+    stack: list[tuple[str, int]] = []  # name and number of the element
+    elements: dict[int, tuple[str, int, int, int]] = {}  # name and costs by number
+    within: list[tuple[int, ...]] = []  # numbers of the elements around each block
     parts: list[str] = []
     linked, number, at, in_link = 0, 0, 0, 0
 
@@ -69,8 +108,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             around = [e for e in stack if e[0] not in _INLINE]
-            good, bad = (stack[-1][2], stack[-1][3]) if stack else (0, 0)
-            out.append(Block(text, min(linked, len(text)), tuple(e[1] for e in around), around[-1][0] if around else "", (good, bad)))
+            out.append(Block(text, min(linked, len(text)), tuple(e[1] for e in around), around[-1][0] if around else "", (0, 0)))
+            within.append(tuple(e[1] for e in stack))
         parts, linked = [], 0
 
     def add(raw: str) -> None:
@@ -112,15 +151,13 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] not in _INLINE and stack[k][0] != "p":
                         break
             number += 1
-            good, bad = (stack[-1][2], stack[-1][3]) if stack else (0, 0)
-            g, b = _element_costs(name, rest)
-            if name == "header" and good >= 200:
-                b = min(b, 100)  # an article's own head
-            stack.append((name, number, max(good, g), max(bad, b)))
+            elements[number] = (name, *_element_costs(name, rest))
+            stack.append((name, number))
             in_link += name == "a"
     if at < len(page):
         add(page[at:])
     close()
+    _inherit(out, within, elements)
     return out
 
 

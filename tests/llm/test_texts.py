@@ -250,3 +250,19 @@ def test_secrets_by_owners_and_repositories(docs):
     assert [got[k].spans for k in range(12)] == [""] * 12 and got[0].n_example == 1 and got[0].counts == "8:1:12"
     assert [got[k].spans for k in (12, 13, 14)] == ["owned:5:25", "owned:5:25", "owned:10:30"] and got[12].counts == "5:2:2"
     assert [got[k].spans for k in (15, 16, 17)] == [""] * 3 and got[15].counts == "7:3:3"
+
+
+@pytest.mark.parametrize("wrapper", ['div class="overflow-hidden"', 'div aria-hidden="false"', 'div title="a hidden valley"', 'div class="has-sidebar"', 'div class="content-sidebar-wrap"', 'div class="comments-open category-social"', 'div class="sidebar"', "form"])
+def test_html_of_wrappers(wrapper):
+    body = PAGE.split("<body>")[1]
+    assert html.main_text(f"<body><{wrapper}>{body}</{wrapper.split()[0]}>") == MAIN
+    article = "<article" + wrapper[wrapper.find(" ") :] + ">" if 'class="sidebar"' not in wrapper and " " in wrapper else "<article>"
+    assert html.main_text(PAGE.replace("<article>", article)) == MAIN
+
+
+def test_html_that_is_not_shown_and_formulas():
+    long = "This sentence is not shown to anyone who reads the page, long as it is."
+    for mark in ("hidden", 'hidden="hidden"', 'aria-hidden="true"', 'style="display: none"'):
+        assert html.main_text(PAGE.replace("<p>Short.", f"<div {mark}><div><p>{long}</p></div></div><p>Short.")) == MAIN
+    got = html.main_text(PAGE.replace("First   paragraph,", "First <math><mi>x</mi><mo>+</mo><mn>1</mn></math> <svg><path d='M0'></path><text>label</text></svg> <object>data</object> paragraph,"))
+    assert got == MAIN.replace("First paragraph,", "First x+1 label data paragraph,")
