@@ -91,7 +91,7 @@ def expected_bytes(texts, ids, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "options"), [(100, {}), (100, {"hot": 1}), (20, {"bucket": 10}), (100, {"hot": 3, "bucket": 50})])
+@pytest.mark.parametrize(("n", "options"), [(100, {}), (100, {"group": 1}), (20, {"bucket": 10, "group": 1}), (61, {"group": 2}), (100, {"group": 3, "bucket": 50})])
 def test_repeated_bytes(docs, corpus, n, options):
     ids = [100 - k for k in range(len(corpus))]
     got = suffixes.remove_repeated_bytes(docs(corpus, ids), length=n, **options)
@@ -112,12 +112,49 @@ def test_suffix_classes():
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_suffix_classes_from_a_minimizer():
+    """Windows around a common middle are classed by their bytes and by how far from it they start."""
+    r = random.Random(6)
+    for _ in range(200):
+        n, middle = r.choice([6, 9]), r.choice(["xyz", "aaa"])
+        strings, begin = [], []
+        for _ in range(r.randint(1, 12)):
+            b = r.randint(0, n - 3)
+            rest = n - 3 + r.randint(0, b) - b
+            strings.append("".join([*r.choices("ab", k=b), middle, *r.choices("ab", k=max(0, rest))]).encode())
+            begin.append(b)
+        got, want = {}, {}
+        for a, b, k in zip(*(x.tolist() for x in suffixes.suffix_classes(strings, n, begin)), strict=True):
+            got.setdefault(k, set()).add((a, b))
+        for i, s in enumerate(strings):
+            for j in range(min(begin[i] + 1, max(0, len(s) - n + 1))):
+                want.setdefault((begin[i] - j, s[j : j + n]), set()).add((i, j))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_contexts_are_split_without_loss():
+    r = random.Random(7)
+    for _ in range(300):
+        n, span = 20, r.randint(3, 19)
+        begin = r.randint(0, n - span)
+        string = bytes(r.choices(b"ab", k=n + r.randint(0, begin)))
+        parts = suffixes.split_context(string, begin, span, n)
+        starts = []
+        for offset, part, at, wide in parts:
+            assert part == string[offset : offset + len(part)] and span < wide <= n
+            for j in range(len(part) - n + 1):
+                starts.append(offset + j)
+                assert j <= at and at + wide <= j + n
+        assert sorted(starts) == list(range(len(string) - n + 1))
+
+
 def test_large_text_is_cut_in_pieces(monkeypatch):
     r = random.Random(1)
     text = bytes(r.choices(b"ab ", k=5000))
     whole = suffixes.Cutter(100).runs(text)
     monkeypatch.setattr(suffixes, "PIECE", 700)
-    h, start, count = suffixes.Cutter(100).runs(text)
+    _, start, count, left = suffixes.Cutter(100).runs(text)
+    assert (left >= 0).all() and (count <= left + 1).all()
     assert count.sum() == whole[2].sum() == len(text) - 99
     at = [x for s, c in zip(start, count, strict=True) for x in range(s, s + c)]
     assert at == list(range(len(text) - 99))
