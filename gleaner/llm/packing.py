@@ -26,6 +26,7 @@ def odd_spaces(text: str) -> bool:
 
 # Sequences are numbered within parts: partitions first, then, from MERGED on, the groups of leftovers of each level.
 MERGED, GROUPS = 1 << 30, 1 << 20
+LONGEST = 64
 
 
 class Ids(dict):
@@ -33,7 +34,8 @@ class Ids(dict):
 
     No token of such a vocabulary crosses a single space or line end between words, which belongs to the word after it.
     So the ids of words are looked up, and only new words are encoded, by ranks read from the same file. Texts with
-    other spaces or letters are encoded whole. Remembers at most `most` words.
+    other spaces or letters are encoded whole; those that hold the string of a special token go to the tokenizer, which
+    gives that token's id. Remembers at most `most` words of at most LONGEST letters.
     """
 
     def __init__(self, path: str, most: int = 1 << 19):
@@ -44,10 +46,10 @@ class Ids(dict):
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
-        added = {x["content"] for x in held["added_tokens"]}
+        self.added = sorted(x["content"] for x in held["added_tokens"])
+        added = set(self.added)
         # Fixed rule of byte-level files: printable bytes stand for themselves, the others follow from U+0100.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
@@ -65,13 +67,15 @@ class Ids(dict):
         return self.ranks.encode_to_numpy(text, disallowed_special=()).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = b = self._known(word if word[:1] == "\n" else " " + word)
+        b = self._known(word if word[:1] == "\n" else " " + word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = b
         return b
 
     def of(self, text: str) -> bytes:
-        if not text.isascii() and _BEYOND.search(text):
+        if any(s in text for s in self.added) or not text.isascii() and _BEYOND.search(text):
             return self.encode(text)
         if odd_spaces(text):
             return self._known(text)

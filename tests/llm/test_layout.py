@@ -15,6 +15,11 @@ def ids():
 
 
 def test_ids_are_the_tokenizers(ids):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer())
+    for s in ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext |>", "< |endoftext|>", "x" * 5000 + " y"]:
+        assert ids.of(s) == b"".join(i.to_bytes(4, "little") for i in plain.encode(s, add_special_tokens=False).ids), s
     r = random.Random(1)
     letters = [chr(i) for i in range(0x250)] + [" "] * 60 + list("abc'st're123") * 6 + ["\n"] * 20 + ["　", " "]
     for k in range(8000):
