@@ -22,7 +22,8 @@ FAMILIES = {
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 PASS, LOST = 0.05, 0.005  # fixed values: shares of doubtful texts that may pass, and of clean texts that may go, where the score has its floor
-_letters = re.compile(r"[^\W\d_]")
+_ascii_letter = re.compile("[A-Za-z]")
+SPACE = 1 << 62  # hashed ids
 
 
 def _gram_table() -> np.ndarray:
@@ -116,7 +117,8 @@ class Model:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_letters.search(text))
+    """Whether text has a character of Unicode's categories of letters (L); numbers of any kind are none."""
+    return bool(text) and (_ascii_letter.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -124,23 +126,29 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def lowest(wanted: int, count: int) -> int:
+    """Below which of SPACE hashed ids a share of wanted/count lies."""
+    return min(SPACE, -(-wanted * SPACE // max(1, count)))
+
+
 def sample(docs: DataFrame, per_language: int, where: Column | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list:
     """At most about per_language labelled documents of each language that have a letter and meet `where`, in order of id.
 
-    The sample is those whose hashed id is lowest: a share of per_language/count, so no language is gathered whole.
-    Its size is bounded by the number of languages times twice per_language.
+    The sample is those whose hashed id is lowest: a share of per_language/count, so no language is gathered whole, and
+    none gets too small a share to be found however many documents it has. Its size is bounded by the number of
+    languages times twice per_language, and what is over is cut by the same hash. Only the number of distinct labels
+    grows what reaches the driver.
     """
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     ids = ids.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(where)
     counts = ids.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return []
-    picked = None
+    picked, place = None, F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SPACE))
     for r in counts:
-        low = int(min(1.0, per_language / r["count"]) * (1 << 20))
-        this = (F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < low)
+        this = (F.col("lang") == r["lang"]) & (place < lowest(per_language, r["count"]))
         picked = this if picked is None else picked | this
-    rows = ids.where(picked).limit(2 * per_language * len(counts)).collect()
+    rows = ids.where(picked).orderBy(place, "doc_id").limit(2 * per_language * len(counts)).collect()
     return sorted((r for r in rows if has_letter(r.text)), key=lambda r: (str(r.doc_id), r.text))
 
 
@@ -206,6 +214,14 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text", prefi
     return docs.mapInArrow(run, StructType([*schema_in.fields]).add(prefix + "lang_pred", StringType()).add(prefix + "score", DoubleType()))
 
 
+def _with_letters(text_col: str = "text"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(list(map(has_letter, b.column(text_col).to_pylist())), pa.bool_()))
+
+    return run
+
+
 def identify(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Predict the language of every document from its text, learned from the documents that are not held out.
 
@@ -219,14 +235,18 @@ def identify(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", t
 
 
 def reject(docs: DataFrame, per_language: int = 400, least: float | None = None) -> DataFrame:
-    """The documents, unchanged, without those whose language is `und` or whose score is below least.
+    """The documents, unchanged, without those that have no letter or whose score is below least.
 
     Unless given, least is that of doubt() on at most about a quarter of per_language held-out documents a language. With
-    labels of one language only, there are no margins, and only texts without a letter go.
+    labels of one language only, there are no margins, and without any label there is nothing to judge by: then only
+    texts without a letter go. Null texts go; null ids are judged like others; repeated rows fare alike; an empty table
+    gives no rows.
     """
     model = train(docs, per_language)
     if least is None:
         rows = sample(docs, max(1, per_language // 4), held_out(F.col("doc_id"))) if model else []
         least = doubt(model, [r.text for r in rows], [r.lang for r in rows]) if model else 0.5
     cols = docs.columns
+    if model is None:
+        return docs.mapInArrow(_with_letters(), docs.schema)
     return classify(docs, model, prefix="__").where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*cols)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,10 +47,12 @@ def entropy(value: str) -> float:
 
 def bare_values(text: str, spans: list[tuple[int, int, int, str]], bits: float) -> list[tuple[int, int, str]]:
     """Strings that look like keys and touch no base span: long, with letters and digits, of high entropy."""
-    out = []
+    out, starts, reach = [], [s for s, *_ in spans], [0]
+    for _, _, e, _ in spans:
+        reach.append(max(reach[-1], e))  # furthest end of the spans so far
     for m in _bare.finditer(text):
         value = m[0]
-        if _digit.search(value) and not value.isdigit() and not any(s < m.end() and m.start() < e for s, _, e, _ in spans) and entropy(value) >= bits:
+        if _digit.search(value) and not value.isdigit() and reach[bisect_left(starts, m.end())] <= m.start() and entropy(value) >= bits:
             out.append((m.start(), m.end(), value))
     return out
 

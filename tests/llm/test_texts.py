@@ -45,6 +45,54 @@ def test_secrets(docs):
     assert {r.doc_id: r.n_live for r in got}[0] == 0  # its value also stands with another owner
 
 
+def test_owned_spans_by_brute_force(docs):
+    """Counts by owners and repositories, and which bare strings are live, on random corpora."""
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    values = ["".join(r.choices("ABCDEFghijklmnop0123456789", k=24)) + "7" for _ in range(60)] + ["word" * 6, "1" * 24, "a1" * 14]
+    texts, sources = [], []
+    for _ in range(150):
+        sources.append(r.choice(["a", "a", "b", "c", None]))
+        own = values[["a", "b", "c", None].index(sources[-1]) :: 4] if r.random() < 0.8 else values
+        texts.append(" ".join(r.choice([f"w{r.randrange(50)}", r.choice(own), f"token={r.choice(own)}"]) for _ in range(r.randint(1, 5))))
+    for k in range(10):  # mirrored texts
+        texts.append(texts[k])
+        sources.append("m")
+
+    def bare(t):
+        base = brute_base(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            n = Counter(m[0])
+            bits = -sum(x / len(m[0]) * math.log2(x / len(m[0])) for x in n.values())
+            if re.search("[0-9]", m[0]) and not m[0].isdigit() and bits >= 3 and not any(s < m.end() and m.start() < e for s, _, e in base):
+                yield m.start(), m.end(), m[0]
+
+    held = {}
+    for i, t in enumerate(texts):
+        owner = f"={sources[i]}" if sources[i] else t
+        found = [v for *_, v in bare(t)]
+        for s, k, e in brute_base(t):
+            found.append(re.search(secrets.ASSIGN, t[s:e], re.I | re.A)[2] if k == 0 else t[s:e])
+        for v in found:
+            held.setdefault(v, set()).add((owner, i, t))
+    live = set()
+    for v, rows in held.items():
+        owners = {}
+        for o, _, t in rows:
+            owners.setdefault(o, set()).add(t)
+        everywhere = {t for *_, t in rows}
+        repos = {min(str(i) for _, i, t in rows if t == text) for text in everywhere}
+        if len(owners) < 3 and len(repos) < 10 and (len(owners) == 1 or any(x == everywhere for x in owners.values())):
+            live.add(v)
+    got = {x.doc_id: x.spans for x in secrets.secret_report(docs(texts, sources=sources)).collect()}
+    assert 0 < len(live) < len(held)
+    for i, t in enumerate(texts):
+        want = [(s, 3, e) for s, e, v in bare(t) if v in live] + brute_base(t)
+        assert got[i] == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(want)), t
+
+
 def test_secrets_of_repeated_rows_and_empty_table(docs):
     got = secrets.secret_report(docs([TEXTS[0], TEXTS[0], "none"], [4, 4, 4])).collect()
     assert sorted(r.spans for r in got) == ["", "assign:2:43,hex:11:43", "assign:2:43,hex:11:43"]
@@ -221,6 +269,23 @@ def test_language_of_odd_rows(docs):
     assert sorted(x.doc_id for x in kept.collect()) == [*range(60), 63]
 
 
+def test_letters_are_the_unicode_category():
+    assert not any(map(language.has_letter, [None, "", "12 ²½", "Ⅷ", "〇", "٣", "_-", "\u0301"]))
+    assert all(map(language.has_letter, ["1a", "é", "ß²", "Ω", "字", "ʰ"]))
+
+
+def test_no_language_is_too_large_to_sample():
+    for count in (1, 400, 10**6, 5 * 10**8, 10**13):
+        share = language.lowest(400, count) / language.SPACE
+        assert share == 1 if count <= 400 else 0.99 < share * count / 400 < 1.01
+
+
+def test_reject_without_labels(docs):
+    d = docs(["some words", "12", None, "ja"], [1, 2, None, None], langs=[None] * 4)
+    assert sorted(map(str, (x.doc_id for x in language.reject(d).collect()))) == ["1", "None"]
+    assert language.reject(docs([])).collect() == []
+
+
 def test_doubtful_language_goes(spark, sf_dir, docs):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     clean = [(r.text, r.lang) for r in d.where("length(text) > 100").orderBy("doc_id").collect()]
