@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, WordHashes, kept_in_worker
+from .common import Windows, WordHashes, kept_in_worker, staged
 
 _words = re.compile(r"\w+")
+BITS_A_SEED = 1024  # of the filter of seeds, as long as it is not at its largest
+MOST_BITS = 1 << 27  # 16 MB, whatever the benchmark holds
+_ROW_BITS = 32768  # bits of one row that Spark's bitmap functions make
 
 
 class Tokens:
@@ -34,8 +38,9 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int, windows: Windows) -> l
     """Greedy string tiling of two token arrays: (place in item, place in text, length) of matches that don't overlap in either.
 
     Each round finds, by Karp-Rabin hashes of unmarked windows of the search length, all matches of at least that
-    length, grown as far as they go, and marks the longest first; what an earlier mark cuts short waits for a later
-    round. The search length begins at the longest possible and halves down to `least`.
+    length, grown as far as they go, and marks the longest first. What earlier marks leave of a match goes back into
+    the queue of the round if it is long enough, so a longer match is never marked after a shorter one. The search
+    length begins at the longest possible and halves down to `least`.
     """
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
     out, s = [], max(least, min(len(item), len(text)))
@@ -55,17 +60,22 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int, windows: Windows) -> l
                         n += 1
                     if n >= s:
                         found.append((-n, i, t))
-        marked = False
-        for n, i, t in sorted(found):
+        heapq.heapify(found)
+        while found:
+            n, i, t = heapq.heappop(found)
             n = -n
-            if free_i[i : i + n].all() and free_t[t : t + n].all():
+            free = free_i[i : i + n] & free_t[t : t + n]
+            if free.all():
                 free_i[i : i + n] = free_t[t : t + n] = False
                 out.append((i, t, n))
-                marked = True
-        if not marked or not found:
-            if s <= least:
-                return sorted(out)
-            s = max(least, s // 2)
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= s:
+                    heapq.heappush(found, (a - b, i + a, t + a))
+        if s <= least:
+            return sorted(out)
+        s = max(least, s // 2)
 
 
 def _open(free: np.ndarray, length: int) -> np.ndarray:
@@ -77,119 +87,150 @@ def _open(free: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[:n])
 
 
-class Items:
-    """Benchmark items with the hashes of their windows of `least` tokens, sorted, for lookup."""
-
-    def __init__(self, items: list[tuple], least: int):
-        tokens = Tokens()
-        self.least, self.ids, self.tokens = least, [], []
-        seeds, owner, place = [], [], []
-        for item_id, text in items:
-            t = tokens.of(text)
-            if len(t) >= least:
-                h = tokens.windows.of(t, least)
-                seeds.append(h)
-                owner.append(np.full(len(h), len(self.ids)))
-                place.append(np.arange(len(h)))
-                self.ids.append(item_id)
-                self.tokens.append(t)
-        none = np.zeros(0, np.int64)
-        h = np.concatenate(seeds) if seeds else none.astype(np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.seeds, self.owner, self.place = h[order], np.concatenate([none, *owner])[order], np.concatenate([none, *place])[order]
-
-    def leaks(self, text: str | None, words: Tokens, share: float) -> list[tuple]:
-        """(item, number of its tokens, tiles, tokens in tiles) of each item of which at least `share` is tiled."""
-        t = words.of(text)
-        if len(t) < self.least or not len(self.seeds):
-            return []
-        h = words.windows.of(t, self.least)
-        low = np.searchsorted(self.seeds, h, "left")
-        hits = np.flatnonzero(self.seeds[np.minimum(low, len(self.seeds) - 1)] == h)
-        if not len(hits):
-            return []
-        counts = np.searchsorted(self.seeds, h[hits], "right") - low[hits]
-        at = np.repeat(hits, counts)
-        entry = np.repeat(low[hits], counts) + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-        out = []
-        owners = self.owner[entry]
-        for k in np.unique(owners):
-            mine, item = owners == k, self.tokens[k]
-            reach = np.zeros(len(item) + 1, np.int64)
-            places = np.unique(self.place[entry[mine]])
-            reach[places] += 1
-            reach[np.minimum(places + self.least, len(item))] -= 1
-            if (np.cumsum(reach[:-1]) > 0).sum() < share * len(item):
-                continue  # even if all shared tokens were tiled
-            near = np.zeros(len(t) + 1, np.int64)
-            np.add.at(near, np.unique(at[mine]), 1)
-            np.add.at(near, np.unique(at[mine]) + self.least, -1)
-            inside = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-            # only shared tokens, with a gap (a number that is no token of the item) where others stood
-            gaps = np.flatnonzero(np.diff(inside) > 1) + 1
-            part = np.insert(t[inside], gaps, np.uint64(0))
-            got = tiles(item, part, self.least, words.windows)
-            total = sum(n for *_, n in got)
-            if total >= share * len(item):
-                out.append((self.ids[k], len(item), len(got), total))
-        return out
-
-
-def item_blocks(benchmark: DataFrame, least: int, block_bytes: int, id_col: str = "item_id", text_col: str = "text") -> list[Items]:
-    """The benchmark in blocks of about block_bytes of text, so that what a scan of the documents carries is bounded, however large the benchmark is."""
-    rows = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    block = F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n)))
-    return [Items([(r.i, r.t) for r in sorted(rows.where(block == k).collect(), key=lambda r: (r.i is not None, r.i, r.t))], least) for k in range(n)]
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _reach(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n places lie in a window that begins at one of the distinct starts."""
+    edges = np.zeros(n + 1, np.int32)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, np.minimum(starts + length, n), -1)
+    return np.cumsum(edges[:n]) > 0
+
+
+def _seed_rows(least: int, share: float):
+    """Of every item with enough tokens: its tokens, and its windows' hashes with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _of_worker()
+        for b in batches:
+            tokens = [words.of(t) for t in b.column("text").to_pylist()]
+            seeds = [words.windows.of(t, least).view(np.int64) for t in tokens]
+            keep = pa.array([len(t) >= least for t in tokens])
+            kinds = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("item_id"), b.column("item_key"), pa.array([t.view(np.int64) for t in tokens], kinds), pa.array(seeds, kinds)], names=["item_id", "item_key", "tokens", "seeds"]
+            ).filter(keep)
+
+    return run
+
+
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A bitmap of the seeds' lowest bits: BITS_A_SEED for each while that is no more than MOST_BITS in all."""
+    n = seeds.count()
+    bits = min(MOST_BITS, max(_ROW_BITS, 1 << (BITS_A_SEED * n).bit_length()))
+    slot = seeds.select(F.col("seed").bitwiseAND(F.lit(bits - 1)).alias("slot"))
+    # At most MOST_BITS bits reach the driver and the tasks.
+    rows = slot.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        first = (r.b - 1) * _ROW_BITS // 8
+        out[first : first + _ROW_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _hit_rows(least: int, held: np.ndarray):
+    """Of every document that has seeds of the filter: those, and the tokens inside their windows, with a 0 where others stood."""
+    mask = np.uint64(8 * len(held) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _of_worker()
+        for b in batches:
+            at, parts, seeds = [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                t = words.of(text)
+                h = words.windows.of(t, least)
+                slot = h & mask
+                hits = np.flatnonzero(held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                if len(hits):
+                    inside = np.flatnonzero(_reach(hits, least, len(t)))
+                    gaps = np.flatnonzero(np.diff(inside) > 1) + 1
+                    at.append(k)
+                    parts.append(np.insert(t[inside], gaps, np.uint64(0)).view(np.int64))
+                    seeds.append(np.unique(h[hits]).view(np.int64))
+            kinds = pa.list_(pa.int64())
+            rows = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("text_key").take(rows), pa.array(parts, kinds), pa.array(seeds, kinds)], names=["doc_id", "text_key", "part", "seeds"])
+
+    return run
+
+
+def _tile_rows(least: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _of_worker().windows
+        for b in batches:
+            at, numbers = [], []
+            for k, (item, part) in enumerate(zip(b.column("tokens"), b.column("part"), strict=True)):
+                item, part = (x.values.to_numpy().view(np.uint64) for x in (item, part))
+                got = tiles(item, part, least, windows)
+                total = sum(n for *_, n in got)
+                if total >= share * len(item):
+                    at.append(k)
+                    numbers.append((len(item), len(got), total))
+            rows = pa.array(at, pa.int32())
+            columns = np.array(numbers, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(rows) for c in ("doc_id", "text_key", "item_id")), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(3)), pa.array(columns[:, 2] / columns[:, 0])],
+                names=["doc_id", "text_key", "item_id", "item_words", "tiles", "tiled_words", "coverage"],
+            )
+
+    return run
+
+
+def text_key(col: str | Column) -> Column:
+    """128 bits of a text's hash; null texts have one of their own."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(F.md5(c.cast("binary")), F.lit(""))
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, least: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """Distinct (doc_id, text_key, item_id, ...) of the pairs; see find_leaks."""
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").select("doc_id", text_key("text").alias("text_key"), "text")
+    kind, item_kind = plain.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
+    items = items.select("item_id", F.md5(F.to_json(F.struct("item_id", "text"))).alias("item_key"), "text")
+    items = staged(items.mapInArrow(_seed_rows(least, share), f"item_id {item_kind}, item_key string, tokens array<long>, seeds array<long>"), "items")
+    seeds = items.select("item_key", F.posexplode("seeds").alias("place", "seed"))
+    held = seed_filter(seeds.select("seed").distinct())
+    hits = staged(plain.mapInArrow(_hit_rows(least, held), f"doc_id {kind}, text_key string, part array<long>, seeds array<long>").dropDuplicates(["doc_id", "text_key"]), "hits")
+
+    # Each pair's places in the item that shared seeds reach; a pair that can't reach the share with all of them goes.
+    met = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
+    met = met.groupBy("doc_id", "text_key", "item_key").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    reached = F.aggregate(
+        "places",
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda a, p: F.struct((a["n"] + p + least - F.greatest(p, a["end"])).cast("int").alias("n"), (p + least).cast("int").alias("end")),
+    )["n"]
+    known = items.select(F.col("item_key").alias("k"), F.size("tokens").alias("words"))
+    close = met.join(known, F.col("item_key") == F.col("k")).where(reached >= share * F.col("words")).select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "item_key")
+    same = F.col("m_id").eqNullSafe(F.col("doc_id")) & (F.col("m_key") == F.col("text_key"))
+    pairs = staged(close.join(hits, same).select("doc_id", "text_key", "part", "item_key"), "pairs").join(items.select("item_key", "item_id", "tokens"), "item_key")
+    return pairs.mapInArrow(_tile_rows(least, share), f"doc_id {kind}, text_key string, item_id {item_kind}, item_words long, tiles long, tiled_words long, coverage double")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Every pair of a document and a benchmark item of which at least `share` of the tokens is tiled by the document.
 
-    The document's windows of `least` tokens are joined, in the scan, with those of a block of the benchmark; a pair
-    goes on if the shared windows could reach the share, and is then tiled. Tiles may stand in any order, so moved
-    passages count. Items of fewer than `least` tokens, null texts and null items never match. Repeated rows give
-    repeated results; empty tables give none. Other columns are ignored.
+    Seeds, the hashed windows of `least` tokens, are joined in Spark. A bitmap of the benchmark's seeds, of bounded size,
+    goes with the scan of the documents; only seeds that it holds, and the tokens inside their windows, leave the scan.
+    They meet the benchmark's seeds in a join; a pair goes on if its shared windows could reach the share, and is then
+    tiled. Tiles may stand in any order, so moved passages count. The driver gets the bitmap and nothing else.
+
+    Items of fewer than `least` tokens, null texts and null items never match; null ids are documents like others.
+    Repeated rows give repeated results; empty tables give none. Other columns are ignored.
 
     Returns doc_id, item_id, item_words, tiles, tiled_words, coverage.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind, item_kind = plain.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, item_words long, tiles long, tiled_words long, coverage double"
-
-    def scan(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = _of_worker()
-            for b in batches:
-                rows = [(i, *x) for i, text in enumerate(b.column("text").to_pylist()) for x in items.leaks(text, words, share)]
-                if rows:
-                    at, ids, lengths, counts, tiled = map(list, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(pa.array(at)), pa.array(ids), *(pa.array(x, pa.int64()) for x in (lengths, counts, tiled)), pa.array([x / y for x, y in zip(tiled, lengths, strict=True)])],
-                        names=["doc_id", "item_id", "item_words", "tiles", "tiled_words", "coverage"],
-                    )
-
-        return run
-
-    out = None
-    for items in item_blocks(benchmark, least, block_bytes, item_col, item_text_col):
-        one = plain.mapInArrow(scan(items), schema)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, block_bytes: int = 8 << 20) -> DataFrame:
-    """The documents, unchanged, without those that find_leaks pairs with an item."""
-
-    def scan(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = _of_worker()
-            for b in batches:
-                yield b.filter(pa.array([not items.leaks(t, words, share) for t in b.column("text").to_pylist()], pa.bool_()))
-
-        return run
-
-    for items in item_blocks(benchmark, least, block_bytes):
-        docs = docs.mapInArrow(scan(items), docs.schema)
-    return docs
+    pairs = _leaks(docs, benchmark, share, least, id_col, text_col, item_col, item_text_col)
+    found = staged(pairs.withColumnsRenamed({"doc_id": "f_id", "text_key": "f_key"}), "leaks")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"))
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))).select("doc_id", "item_id", "item_words", "tiles", "tiled_words", "coverage")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, unchanged, without those that find_leaks pairs with an item.
+
+    Null and empty texts stay; of null ids, and of rows that share an id, those with a leaked text go; an empty table
+    gives no rows, and an empty benchmark takes none away.
+    """
+    pairs = _leaks(docs, benchmark, share, least, id_col, text_col, "item_id", "text")
+    gone = staged(pairs.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key")), "left_anti")

@@ -96,12 +96,12 @@ def test_shards_of_ties_and_nothing(docs):
 def test_pipeline(spark, sf_dir, ids):
     """Each stage against plain Python on what it was given."""
     import corpus_pipeline
-    from gleaner.llm import decontaminate, secrets
+    from gleaner.llm import secrets
     from tests.llm.test_dedup import expected_groups
+    from tests.llm.test_texts import brute_leaks
 
     docs = common.table(spark, sf_dir, "documents")
-    items = decontaminate.Items([(r.item_id, r.text) for r in common.table(spark, sf_dir, "benchmark").collect()], 4)
-    words = decontaminate.Tokens()
+    items = {r.item_id: r.text for r in common.table(spark, sf_dir, "benchmark").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "near-duplicates", "benchmark decontamination", "secret scans", "packing"]
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r for r in docs.collect()}
@@ -117,7 +117,7 @@ def test_pipeline(spark, sf_dir, ids):
         if name == "near-duplicates":
             assert sorted(after) == [i for i, _, _, k in expected_groups([r.text for r in before.values()], list(before)) if k]
         if name == "benchmark decontamination":
-            assert set(before) - set(after) == {i for i, r in before.items() if items.leaks(r.text, words, 0.5)}
+            assert set(before) - set(after) == {i for i, *_ in brute_leaks({i: r.text for i, r in before.items()}, items, 0.5, 4)}
         if name == "secret scans":
             assert set(after) == set(before)
             for i, r in after.items():

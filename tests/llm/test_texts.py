@@ -157,8 +157,9 @@ def brute_tiles(p, t, least):
 
 def test_tiling():
     r, w = random.Random(3), Windows(0x9E3779B97F4A7C15)
-    for _ in range(300):
-        p, t = [r.randint(1, 6) for _ in range(r.randint(3, 20))], [r.randint(1, 6) for _ in range(r.randint(3, 30))]
+    for k in range(900):
+        few = r.choice([2, 3, 4, 6])
+        p, t = [r.randint(1, few) for _ in range(r.randint(3, 36 if k % 3 else 20))], [r.randint(1, few) for _ in range(r.randint(3, 36))]
         if r.random() < 0.6:
             k = r.randrange(len(p))
             t = t[:10] + p[k:] + t[10:20] + p[:k] + t[20:]
@@ -167,7 +168,7 @@ def test_tiling():
         assert sum(n for *_, n in got) == brute_tiles(p, t, 3)
 
 
-def test_leaks(spark, docs):
+def test_leaks(spark, docs, monkeypatch):
     r = random.Random(4)
     item = [f"q{r.randrange(10**6)}" for _ in range(30)]
     noise = lambda n: [f"z{r.randrange(10**6)}" for _ in range(n)]
@@ -176,15 +177,52 @@ def test_leaks(spark, docs):
         " ".join(noise(200)), None, "", " ".join(item[::-1]), " ".join(sum(([x, "zz"] for x in item), [])),
     ]
     bench = spark.createDataFrame([(1, " ".join(item), "x"), (2, None, "y"), (3, "two words", "z"), (4, "", "")], "item_id long, text string, doc_id string")
-    for size in (8 << 20, 40):
-        got = decontaminate.find_leaks(docs(texts), bench, block_bytes=size).collect()
+    for most in (1 << 27, 1 << 15):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+        got = decontaminate.find_leaks(docs(texts), bench).collect()
         assert sorted((x.doc_id, x.item_id, x.coverage) for x in got) == [(0, 1, 1.0), (1, 1, 1.0), (2, 1, 1.0)]
-        kept = decontaminate.drop_leaks(docs(texts), bench, block_bytes=size)
+        kept = decontaminate.drop_leaks(docs(texts), bench)
         assert sorted(x.doc_id for x in kept.collect()) == [3, 4, 5, 6, 7, 8]
+    odd = docs([texts[0], texts[0], "clean", texts[0], None], [None, 5, None, 5, None])
+    assert sorted(map(str, (x.doc_id for x in decontaminate.find_leaks(odd, bench).collect()))) == ["5", "5", "None"]
+    kept = decontaminate.drop_leaks(odd, bench)
+    assert kept.columns == odd.columns and sorted(map(str, (x.text for x in kept.collect()))) == ["None", "clean"]
+    assert len(decontaminate.find_leaks(docs([texts[0]] * 2, [5, 5]), bench.unionByName(bench)).collect()) == 2
     assert decontaminate.find_leaks(docs([]), bench).collect() == []
     assert decontaminate.find_leaks(docs(texts), bench.where("false")).collect() == []
 
 
+def brute_leaks(texts, items, share, least):
+    out = []
+    for i, t in texts.items():
+        t = re.findall(r"\w+", (t or "").lower())
+        for j, p in items.items():
+            p = re.findall(r"\w+", (p or "").lower())
+            if len(p) >= least and len(set(t)) and len({tuple(p[k : k + least]) for k in range(len(p))} & {tuple(t[k : k + least]) for k in range(len(t) - least + 1)}):
+                total = brute_tiles(p, t, least)
+                if total >= share * len(p):
+                    out.append((i, j, len(p), total))
+    return sorted(out)
+
+
+def test_leaks_by_brute_force(spark, docs):
+    r = random.Random(14)
+    items = {k: " ".join(f"v{r.randrange(40)}" for _ in range(r.randint(3, 14))) for k in range(12)}
+    texts = {}
+    for k in range(60):
+        words = [f"v{r.randrange(40)}" for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 2)):
+            w = r.choice(list(items.values())).split()
+            a = r.randrange(len(w))
+            at = r.randint(0, len(words))
+            words[at:at] = w[a : a + r.randint(3, 9)]
+        texts[k] = " ".join(words)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = decontaminate.find_leaks(docs(list(texts.values()), list(texts)), bench).collect()
+    want = brute_leaks(texts, items, 0.5, 4)
+    assert sorted((x.doc_id, x.item_id, x.item_words, x.tiled_words) for x in got) == want and len(want) > 10
+
+
 PAGE = """<!doctype html><html><head><title>t</title><script>var a="<p>no</p>";</script></head><body>
 <header class="site"><h1>Site name</h1><p>A tagline of the site that is long enough to look like text.</p></header>
 <nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul></nav>
