@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 _own_dirs: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -54,10 +55,11 @@ def shuffle_parts(spark: SparkSession) -> int:
 def range_bucket(df: DataFrame, col: str, buckets: int) -> Column:
     """Number of a range of col, ascending; the cuts are approximate quantiles, so at most `buckets` numbers reach the driver.
 
-    Nulls are in range 0. The expression depends on the value alone, so a retried task puts a row where it was.
+    Nulls, and what is no number, are in range 0. The expression depends on the value alone, so a retried task puts a row where it was.
     """
     steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(col, steps, 0.25 / buckets))) if steps else []
+    numeric = isinstance(df.schema[col].dataType, NumericType)
+    cuts = sorted(set(df.approxQuantile(col, steps, 0.25 / buckets))) if steps and numeric else []
     if not cuts:
         return F.lit(0)
     return F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(col).cast("double"))), F.lit(0))

@@ -127,6 +127,68 @@ def test_fingerprints(docs):
     assert np.mean([x.near_edited for x in long]) > 0.3 > 0.1 > np.mean([x.near_next for x in long])
 
 
+def brute_fingerprints(texts, low=0.2, high=0.95):
+    """I-Match by plain numbers: frequencies of terms, the band, and for each subset the sum of its terms' mixed hashes."""
+    import math
+
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def terms(t):
+        return sorted({x for w in t.encode().split() if (x := w.strip(bytes(c for c in range(33, 127) if not chr(c).isalnum())).lower())})
+
+    df = {}
+    for t in texts:
+        for x in terms(t):
+            df[x] = df.get(x, 0) + 1
+    n = max(2, len(texts))
+    band = {x for x, k in df.items() if low <= math.log(n / k) / math.log(n) <= high}
+
+    def fingerprint(t):
+        mine = [x for x in terms(t) if x in band] or terms(t)
+        hashed = [mix(xxhash.xxh3_64_intdigest(x) * 0xD6E8FEB86659FD93 & full) for x in mine]
+        out = ""
+        for d, density in enumerate((16, 64, 256, 1024, 4096)):
+            salt = mix((d + 1) * 0x9E3779B97F4A7C15 + 7 & full)
+            for k in range(16):
+                inside = [x | 1 for x in hashed if mix(x ^ salt) % density == k]
+                total = mix(sum(inside) & full)
+                out += f"{(total & 0xFFFF) or 1:04x}" if total else "0000"
+        return out
+
+    return fingerprint
+
+
+@pytest.mark.parametrize("most", [1 << 22, 0])
+def test_fingerprints_by_brute_force(docs, most):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["the", "The,", "and", f"t{r.randrange(60)}", f'"T{r.randrange(900)}.', "--", "é"]) for _ in range(r.randint(0, 90))) for _ in range(60)] + [None, "", "the and", "unique words only"]
+    sign = brute_fingerprints([t or "" for t in texts])
+    got = fingerprints.imatch(docs(texts), most=most).collect()
+    assert sorted(x.doc_id for x in got) == list(range(len(texts)))
+    for x in got:
+        t, n = texts[x.doc_id] or "", texts[(x.doc_id + 1) % len(texts)] or ""
+        new = fingerprints.edited(t, n)
+        assert x.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert (x.fingerprint, x.edited_fingerprint) == (sign(t), sign(new)), t
+        assert (x.near_edited, x.near_next) == tuple(fingerprints.likeness(fingerprints.from_text(sign(t)), fingerprints.from_text(sign(y))) for y in (new, n))
+
+
+def test_fingerprints_of_names(spark, docs):
+    """Ids that are no numbers."""
+    rows = spark.createDataFrame([(f"n{k}", f"text {k % 3} a b c") for k in range(9)], "name string, text string")
+    got = {x.doc_id: x for x in fingerprints.imatch(rows, id_col="name").collect()}
+    assert sorted(got) == [f"n{k}" for k in range(9)] and got["n0"].fingerprint == got["n3"].fingerprint
+
+
 def test_fingerprint_of_one_and_none_and_ties(docs):
     (x,) = fingerprints.imatch(docs(["just one document"], [None])).collect()
     assert x.near_next == 1
