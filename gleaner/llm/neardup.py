@@ -173,9 +173,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     """Components of documents whose sets of word shingles have a Jaccard similarity of percent/100 or more.
 
     Documents with equal sets are one node. Each node's sketch is cut into BANDS bands; nodes with an equal band are a
-    bucket. First each node is verified on full sets against the least node of its buckets. Buckets that still hold
-    several components are then cut into blocks, and every two blocks are compared in one task: by sketches, then those
-    that may be linked on full sets. Only links that join components leave a task, so pairs are never made as rows.
+    bucket. First each node is verified on full sets against the least node of its buckets. Of a bucket that still holds
+    several components, the members of the largest are not compared with each other; they are cut into blocks, as is
+    the rest, and the rest's blocks meet each other and those of the largest, two in one task: by sketches, then those
+    that may be linked on full sets. A bucket of n members of which r are not in the largest component is copied
+    n * r / BLOCK^2 block pairs wide, so one stray costs each member one copy. Only links that join components leave a
+    task, so pairs are never made as rows.
+
+    Two nodes of similarity percent/100 have no bucket in common with a chance of 3 in 10 million, and sketches that
+    agree in less than SURE_BELOW with about as much; that is all that can be missed.
 
     Documents without words have an empty set and stay alone. Rows that share an id are one document for linking and
     give a row each. A null id stays alone, with a null component. Other columns are ignored.
@@ -208,11 +214,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     links = staged(verified(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "links")
     comps = components(links)
     placed = members.join(comps, "node", "left").select("band", "at", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x < y")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), F.when(o == mine, 2).when(mine < o, 0).otherwise(1).alias("side")))
-    dealt = placed.join(mixed, "band").join(sets.select("node", "sketch"), "node").select("band", "at", "node", "comp", "sketch", F.explode(others).alias("p"))
+    held = placed.groupBy("band", "comp").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.max("c").alias("b"), F.sum("c").alias("k"), F.count("*").alias("comps"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = held.where("comps > 1").select(F.col("band").alias("m_band"), "big", blocks(F.col("b")).alias("bigs"), blocks(F.col("k") - F.col("b")).alias("rests"))
+    # Members of a bucket's largest component meet the rest only: numbers j of their blocks are negative.
+    is_big = F.col("comp") == F.col("big")
+    mine = F.pmod(F.xxhash64("node"), F.when(is_big, F.col("bigs")).otherwise(F.col("rests"))).cast("int")
+    place = lambda i, j, side: F.struct(i.alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    among = each(F.col("rests"), lambda o: place(F.least(o, mine), F.greatest(o, mine), F.when(o == mine, 2).when(mine < o, 0).otherwise(1)))
+    rest = F.concat(among, each(F.col("bigs"), lambda o: place(mine, -1 - o, F.lit(0))))
+    others = F.when(is_big, each(F.col("rests"), lambda o: place(o, -1 - mine, F.lit(1)))).otherwise(rest)
+    dealt = placed.join(mixed, F.col("band") == F.col("m_band")).join(sets.select("node", "sketch"), "node").select("band", "at", "node", "comp", "sketch", F.explode(others).alias("p"))
 
     dealt = dealt.select("band", "at", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.side").alias("side"), "node", "comp", "sketch")
 
