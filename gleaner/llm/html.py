@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Comments; elements whose text is never shown; tags; what else is in angle brackets.
+# Comments; tags; what else is in angle brackets.
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|iframe|canvas|head|title|desc|annotation|annotation-xml|textarea|select)\b[^>]*+>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)
     |<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*+)(?P<rest2>[^>]*+)>
     |<[!?/][^>]*+>""",
     re.S | re.I | re.X,
 )
+# Elements whose text is not that of the page; of some of them, a block ends there.
+_RAW = set("script style noscript template iframe canvas title desc annotation annotation-xml textarea select".split())
+_RAW_BLOCKS = {"textarea", "select"}
+_CODE = {"script", "style"}
+_AFTER_CODE = re.compile(r"</?(?:body|html|div|p|article|main|section|header|footer|nav|aside|h[1-6]|ul|ol|table|form)\b", re.I)
 _ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORDS = re.compile(r"[a-z]{2,}")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -37,16 +41,52 @@ _BAD_WORDS = dict.fromkeys(
 ) | {"header": 350, "meta": 100, "tags": 200}
 # These in a name of several words leave its meaning.
 _NEUTRAL = set("area bar block box container group inner item items left list outer panel primary right secondary section site widget widgets wrap wrapper".split())
-HIDDEN, FADE = 700, 0.95
+HIDDEN, FADE, CONTRAST = 700, 0.95, 0.7
+_PROSE = ("p", "blockquote", "pre", "h1", "h2", "h3")
+PRIOR = (1.0, -1.0, 2.0, 0.6, 0.3, -5.0, -1.2)  # weights of `features` where no page tells others
+SPACE = 1 << 62  # hashed pages
 _GOOD_TAGS = {"article": 300, "main": 200}
 _GOOD_WORDS = {"article": 200, "content": 120, "post": 100, "entry": 120, "story": 150, "main": 120, "body": 60}
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "tag", "costs")
+    """A block of text, how many of its letters are in links, its element, the tag of that, and what ancestors say: (content, boilerplate)."""
 
-    def __init__(self, text: str, linked: int, path: tuple, tag: str, costs: tuple[int, int]):
-        self.text, self.linked, self.path, self.tag, self.costs = text, linked, path, tag, costs
+    __slots__ = ("text", "linked", "place", "tag", "costs")
+
+    def __init__(self, text: str, linked: int, place: int, tag: str, costs: tuple[int, int] = (0, 0)):
+        self.text, self.linked, self.place, self.tag, self.costs = text, linked, place, tag, costs
+
+
+class Tree:
+    """Elements in page order; number 0 is the page itself. `above` is the next element above that isn't inline, `depth` how many of those there are."""
+
+    def __init__(self):
+        self.names, self.own, self.parent, self.above, self.depth = [""], [(0, 0, 0)], [-1], [-1], [0]
+
+    def add(self, name: str, own: tuple[int, int, int], parent: int) -> int:
+        above = self.solid(parent)
+        self.names.append(name)
+        self.own.append(own)
+        self.parent.append(parent)
+        self.above.append(above)
+        self.depth.append(self.depth[above] + (name not in _INLINE))
+        return len(self.names) - 1
+
+    def solid(self, e: int) -> int:
+        """e, or the next element above it that isn't inline."""
+        return self.above[e] if self.names[e] in _INLINE else e
+
+    def apart(self, a: int, b: int, most: int) -> int:
+        """Steps between two elements that aren't inline, or more than most."""
+        d = 0
+        while a != b and d <= most:
+            if self.depth[a] >= self.depth[b]:
+                a = self.above[a]
+            else:
+                b = self.above[b]
+            d += 1
+        return d
 
 
 def _element_costs(name: str, rest: str) -> tuple[int, int, int]:
@@ -69,65 +109,92 @@ def _element_costs(name: str, rest: str) -> tuple[int, int, int]:
     return good, bad, hidden
 
 
-def _inherit(out: list[Block], within: list[tuple[int, ...]], elements: dict[int, tuple[str, int, int, int]]) -> None:
-    """Give every block the costs of the elements around it (within: their numbers, from the outside).
+def _inherit(out: list[Block], places: list[int], tree: Tree) -> None:
+    """Give every block the costs of the elements around it (places: the innermost of each).
 
     An element that holds more than half of the page's text outside links speaks the less for boilerplate the more it holds. A
     cost for boilerplate fades with every element below, and to a quarter in an article or main that holds half of the
     text; that of text that isn't shown stays.
     """
-    held: dict[int, int] = {}
-    for b, around in zip(out, within, strict=True):
-        for e in around:
-            held[e] = held.get(e, 0) + len(b.text) - b.linked
-    total = max(1, sum(len(b.text) - b.linked for b in out))
-    for b, around in zip(out, within, strict=True):
-        good, bad, hidden = 0, 0.0, 0
-        for e in around:
-            name, g, own, unseen = elements[e]
-            share = held[e] / total
-            if name not in _INLINE:
-                bad *= FADE / 4 if name in _GOOD_TAGS and share >= 0.5 else FADE
-            if name == "header" and good >= 200:
-                own = min(own, 100)  # an article's own head
-            good, bad, hidden = max(good, g), max(bad, own * min(1.0, 2 * (1 - share))), max(hidden, unseen)
+    held = [0] * len(tree.names)
+    for b, e in zip(out, places, strict=True):
+        held[e] += len(b.text) - b.linked
+    for e in range(len(held) - 1, 0, -1):
+        held[tree.parent[e]] += held[e]
+    total = max(1, held[0])
+    told = [(0, 0.0, 0)]
+    for e in range(1, len(held)):
+        good, bad, hidden = told[tree.parent[e]]
+        name, (g, own, unseen), share = tree.names[e], tree.own[e], held[e] / total
+        if name not in _INLINE:
+            bad *= FADE / 4 if name in _GOOD_TAGS and share >= 0.5 else FADE
+        if name == "header" and good >= 200:
+            own = min(own, 100)  # an article's own head
+        told.append((max(good, g), max(bad, own * min(1.0, 2 * (1 - share))), max(hidden, unseen)))
+    for b, e in zip(out, places, strict=True):
+        good, bad, hidden = told[e]
         b.costs = (good, max(int(bad), hidden))
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in order: what stands between tags that aren't inline, references decoded, white space made single."""
+def blocks(page: str, marks: bool = True) -> tuple[list[Block], Tree]:
+    """The page's blocks of text in order: what stands between tags that aren't inline, references decoded, white space made single.
+
+    Without marks, article and main elements say nothing.
+
+    Time grows with the page: every element enters and leaves the stack once. An element of _RAW that is never closed
+    is passed over alone, or, if it is code, with what stands before the next element that isn't inline.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # name and number of the element
-    elements: dict[int, tuple[str, int, int, int]] = {}  # name and costs by number
-    within: list[tuple[int, ...]] = []  # numbers of the elements around each block
+    tree, stack, solid = Tree(), [0], [0]  # solid: places in the stack of elements that aren't inline
+    is_open: dict[str, int] = {}
+    places: list[int] = []  # the innermost element of each block
     parts: list[str] = []
-    linked, number, at, in_link = 0, 0, 0, 0
+    linked, at = 0, 0
+    ends: dict[str, re.Pattern | None] = {}  # how an element of _RAW ends; None: not any more
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            around = [e for e in stack if e[0] not in _INLINE]
-            out.append(Block(text, min(linked, len(text)), tuple(e[1] for e in around), around[-1][0] if around else "", (0, 0)))
-            within.append(tuple(e[1] for e in stack))
+            e = tree.solid(stack[-1])
+            out.append(Block(text, min(linked, len(text)), e, tree.names[e]))
+            places.append(stack[-1])
         parts, linked = [], 0
 
+    def pop() -> str:
+        name = tree.names[stack.pop()]
+        is_open[name] -= 1
+        if solid[-1] == len(stack):
+            solid.pop()
+        return name
+
     def add(raw: str) -> None:
         nonlocal linked
         parts.append(raw)
-        if in_link:
+        if is_open.get("a"):
             linked += len(raw.strip())
 
-    for m in _MARKUP.finditer(page):
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
-            if m["raw"] and m["raw"].lower() in ("textarea", "select"):
-                close()
             continue
         end, rest = m["end"] or m["end2"], m["rest"] or m["rest2"] or ""
+        if name in _RAW:
+            if name in _RAW_BLOCKS:
+                close()
+            if not end:
+                pattern = ends.setdefault(name, re.compile(rf"</{name}\s*>", re.I))
+                found = pattern.search(page, at) if pattern else None
+                if found is None:
+                    ends[name] = None
+                    found = _AFTER_CODE.search(page, at) if name in _CODE else None
+                    at = found.start() if found else len(page) if name in _CODE else at
+                else:
+                    at = found.end()
+            continue
         if name == "br":
             parts.append(" ")
             continue
@@ -135,111 +202,186 @@ def blocks(page: str) -> list[Block]:
         if not inline:
             close()
         if end:
-            if any(e[0] == name for e in stack):
-                while stack:
-                    gone = stack.pop()[0]
-                    in_link -= gone == "a"
-                    if gone == name:
-                        break
+            if is_open.get(name):
+                while pop() != name:
+                    pass
         elif name not in _VOID and not rest.endswith("/"):
-            if name in _OPEN_ENDED or not inline:  # a new block ends an open paragraph; a new item the open item
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name and name in _OPEN_ENDED or stack[k][0] == "p":
-                        in_link -= sum(e[0] == "a" for e in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE and stack[k][0] != "p":
-                        break
-            number += 1
-            elements[number] = (name, *_element_costs(name, rest))
-            stack.append((name, number))
-            in_link += name == "a"
+            if not inline:  # a new block ends an open paragraph; a new item the open item
+                before = tree.names[stack[solid[-1]]]
+                if before == "p" or before == name and name in _OPEN_ENDED:
+                    for _ in range(len(stack) - solid[-1]):
+                        pop()
+            own = _element_costs(name, rest) if marks or name not in _GOOD_TAGS else (0, 0, 0)
+            stack.append(tree.add(name, own, stack[-1]))
+            is_open[name] = is_open.get(name, 0) + 1
+            if not inline:
+                solid.append(len(stack) - 1)
     if at < len(page):
         add(page[at:])
     close()
-    _inherit(out, within, elements)
-    return out
+    _inherit(out, places, tree)
+    return out, tree
 
 
-def terminal_costs(b: Block) -> tuple[int, int]:
-    """What a wrong label costs: taking content for boilerplate, and boilerplate for content."""
+def features(b: Block) -> list[float]:
+    """What the classifier sees of a block: what ancestors say for content and for boilerplate, length, kind of element, end of a sentence, share of links, and 1."""
     words = b.text.count(" ") + 1
     content, boiler = b.costs
-    content += min(200, 8 * words)
-    if b.tag in ("p", "blockquote", "pre", "h1", "h2", "h3"):
-        content += 60
-    if b.text[-1] in ".!?…\"”'":
-        content += 30
-    boiler += 120 + int(500 * b.linked / max(1, len(b.text)))
-    return content, boiler
+    return [content / 100, boiler / 100, min(1.0, words / 25), float(b.tag in _PROSE), float(b.text[-1] in ".!?…\"”'"), b.linked / max(1, len(b.text)), 1.0]
 
 
-def labels(found: list[Block]) -> list[bool]:
-    """Which blocks are content: the source's side of a minimum cut.
+def terminal_costs(b: Block, weights: tuple[float, ...] = PRIOR) -> tuple[int, int]:
+    """What a wrong label costs: taking content for boilerplate, and boilerplate for content. Each is the sum of the classifier's terms of one sign, in hundredths."""
+    terms = [int(100 * w * x) for w, x in zip(weights, features(b), strict=True)]
+    return sum(t for t in terms if t > 0), -sum(t for t in terms if t < 0)
 
-    Source and sink capacities are the terminal costs. Neighbours in page order are joined by an edge whose capacity
-    falls with their distance in the tree, as are blocks two apart and the blocks of one parent next to each other.
+
+def marked(page: str) -> tuple[list[Block], list[bool]]:
+    """Blocks of a page with one article or main element, and whether each is its text (in it, and in no menu, form or the like), without what those two elements say for content."""
+    found, tree = blocks(page, marks=False)
+    names = tree.names
+    if sum(x in _GOOD_TAGS for x in names) != 1:
+        return [], []
+    state = [0]  # 0: outside, 1: inside, 2: inside, but no text
+    for e in range(1, len(names)):
+        up = state[tree.parent[e]]
+        state.append(1 if names[e] in _GOOD_TAGS and up == 0 else 2 if up == 1 and (_BAD_TAGS.get(names[e], 0) >= 700 or tree.own[e][1] >= 700 or tree.own[e][2]) else up)
+    return found, [state[b.place] == 1 for b in found]
+
+
+def fit(x: np.ndarray, y: np.ndarray, hold: float = 20.0, rounds: int = 30) -> tuple[float, ...]:
+    """Weights of a logistic regression that is drawn towards PRIOR, `hold` strong, by Newton steps.
+
+    They are scaled so that scores are as large on average as PRIOR's, since smoothness is measured against those, and
+    none leaves the range from half to twice its prior. Without blocks of both kinds it is PRIOR itself.
+    """
+    prior = np.array(PRIOR)
+    if len(y) == 0 or y.all() or not y.any():
+        return PRIOR
+    w = prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - y) + hold * (w - prior)
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(len(w)), gradient)
+    w = w * np.abs(x @ prior).mean() / max(1e-9, np.abs(x @ w).mean())
+    ratio = np.clip(w / prior, 0.5, 2.0)
+    return tuple(float(v) for v in ratio * prior)
+
+
+def learn(pages: DataFrame, most: int = 400, html_col: str = "html", longest: int = 200_000) -> tuple[float, ...]:
+    """Weights fitted on the pages of a sample that mark their text themselves (see marked).
+
+    The sample is about `most` pages of at most `longest` bytes, those of least hash; it alone reaches the driver.
     """
-    n = len(found)
-    left = [c - b for c, b in map(terminal_costs, found)]  # the flow straight through a block leaves this
-    edges: list[dict[int, int]] = [{} for _ in range(n)]
+    html = pages.select(F.col(html_col).alias("html")).where(F.octet_length("html") <= longest)
+    n = html.where(F.lower("html").rlike("<(article|main)[\\s>]")).select("html")
+    share = -(-most * SPACE // max(1, n.count()))
+    rows = n.where(F.pmod(F.xxhash64("html"), F.lit(SPACE)) < min(SPACE, share)).orderBy(F.xxhash64("html")).limit(2 * most).collect()
+    x, y = [], []
+    for r in rows:
+        found, text = marked(r.html)
+        x += map(features, found)
+        y += text
+    return fit(np.array(x, float).reshape(-1, len(PRIOR)), np.array(y, float))
+
+
+def smoothness(found: list[Block], tree: Tree) -> list[tuple[int, int, int]]:
+    """Edges (i, j, capacity): neighbours in page order, blocks two apart, and blocks of one parent next to each other.
+
+    A capacity falls with the distance in the tree, and with how unlike the two are in their share of links, so that a
+    line of links between paragraphs doesn't take them with it.
+    """
+    linked = [b.linked / max(1, len(b.text)) for b in found]
+    out, last = [], {}
 
     def join(i: int, j: int, most: int) -> None:
-        a, b = found[i].path, found[j].path
-        k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        near = most // (1 + max(0, len(a) + len(b) - 2 * k - 2))
-        edges[i][j] = edges[i].get(j, 0) + near
-        edges[j][i] = edges[j].get(i, 0) + near
+        most = int(most * (1 - CONTRAST * abs(linked[i] - linked[j])))
+        d = tree.apart(found[i].place, found[j].place, most + 2)
+        if near := most // (1 + max(0, d - 2)):
+            out.append((i, j, near))
 
-    last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
             join(i - 1, i, 90)
         if i > 1:
             join(i - 2, i, 45)
-        parent = b.path[-2] if len(b.path) > 1 else 0
+        parent = max(0, tree.above[b.place])
         if parent in last and last[parent] < i - 2:
             join(last[parent], i, 60)
         last[parent] = i
+    return out
 
-    def reach() -> tuple[dict[int, int], int]:
-        """Blocks that the source still reaches, each with the one before it, and the first found that the sink still takes from."""
-        seen = {i: -1 for i in range(n) if left[i] > 0}
-        queue = deque(seen)
-        while queue:
-            i = queue.popleft()
-            for j, room in edges[i].items():
-                if room > 0 and j not in seen:
-                    seen[j] = i
-                    if left[j] < 0:
-                        return seen, j
-                    queue.append(j)
-        return seen, -1
 
+def minimum_cut(left: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+    """Which nodes are on the source's side of a minimum cut; left is what the source gives (or, below 0, the sink takes) at each node.
+
+    Blocking flows along shortest ways, found together by levels (Dinic).
+    """
+    left, n = list(left), len(left)
+    arcs: list[list[int]] = [[] for _ in range(n)]  # an edge is the arcs 2k and 2k + 1, one the other's way back
+    to, room = [], []
+    for i, j, c in edges:
+        arcs[i].append(len(to))
+        arcs[j].append(len(to) + 1)
+        to += [j, i]
+        room += [c, c]
     while True:
-        seen, j = reach()
-        if j < 0:
-            return [i in seen for i in range(n)]
-        way = [j]
-        while seen[way[-1]] >= 0:
-            way.append(seen[way[-1]])
-        way.reverse()
-        flow = min(left[way[0]], -left[j], *(edges[a][b] for a, b in zip(way, way[1:], strict=False)))
-        left[way[0]] -= flow
-        left[j] += flow
-        for a, b in zip(way, way[1:], strict=False):
-            edges[a][b] -= flow
-            edges[b][a] += flow
-
-
-def main_text(page: str | None) -> str:
+        level = [0 if x > 0 else -1 for x in left]
+        queue, ends = [i for i in range(n) if left[i] > 0], False
+        for i in queue:
+            for e in arcs[i]:
+                j = to[e]
+                if room[e] and level[j] < 0:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+                    ends = ends or left[j] < 0
+        if not ends:
+            return [x >= 0 for x in level]
+        nth = [0] * n
+        for s in [i for i in range(n) if left[i] > 0]:
+            way: list[int] = []
+            i = s
+            while left[s] > 0:
+                if left[i] < 0:
+                    flow = min([left[s], -left[i], *(room[e] for e in way)])
+                    left[s] -= flow
+                    left[i] += flow
+                    for e in way:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    short = next((k for k, e in enumerate(way) if not room[e]), len(way))
+                    if short < len(way):
+                        i = to[way[short] ^ 1]
+                        del way[short:]
+                    continue
+                while nth[i] < len(arcs[i]):
+                    e = arcs[i][nth[i]]
+                    if room[e] and level[to[e]] == level[i] + 1:
+                        break
+                    nth[i] += 1
+                else:
+                    if not way:
+                        break
+                    i = to[way.pop() ^ 1]
+                    nth[i] += 1
+                    continue
+                way.append(e)
+                i = to[e]
+
+
+def labels(found: list[Block], tree: Tree, weights: tuple[float, ...] = PRIOR) -> list[bool]:
+    """Which blocks are content: the source's side of a minimum cut, with the terminal costs as capacities of source and sink."""
+    return minimum_cut([c - b for c, b in (terminal_costs(f, weights) for f in found)], smoothness(found, tree))
+
+
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
     """The page's content blocks, joined by single spaces."""
-    found = blocks(page or "")
-    return " ".join(b.text for b, keep in zip(found, labels(found), strict=True) if keep)
+    found, tree = blocks(page or "")
+    return " ".join(b.text for b, keep in zip(found, labels(found, tree, weights), strict=True) if keep)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Main text of every page.
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", most: int = 400) -> DataFrame:
+    """Main text of every page: blocks, the costs of a linear classifier that is fitted on the pages (see learn), and the minimum cut.
 
     Null or empty html gives an empty text; broken markup is read as far as it goes; repeated rows give repeated
     results; null ids and urls are passed through; other columns are ignored.
@@ -249,9 +391,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(x) for x in b.column("html").to_pylist()]
+            texts = [main_text(x, weights) for x in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
+    weights = learn(pages, most, html_col)
     plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in plain.schema}
     return plain.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
