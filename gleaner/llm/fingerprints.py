@@ -35,7 +35,7 @@ class Terms(dict):
         return h
 
     def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
+        words = set(text.split())
         got = np.unique(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
         return got[1:] if len(got) and got[0] == 0 else got
 
@@ -93,30 +93,40 @@ class Signer:
         self.salts = mix64(np.arange(1, len(DENSITIES) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
     def of(self, terms: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(DENSITIES), SUBSETS), np.uint64)
-        x = mix64(np.sort(terms) * np.uint64(0xD6E8FEB86659FD93))
-        for row, salt, density in zip(out, self.salts, DENSITIES, strict=True):
-            subset = mix64(x ^ salt) % np.uint64(density)
-            mine = subset < SUBSETS
-            np.add.at(row, subset[mine], x[mine] | np.uint64(1))
-        out = mix64(out.ravel())
+        return self.of_many([terms])[0]
+
+    def of_many(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row for each set of distinct terms."""
+        width = len(DENSITIES) * SUBSETS
+        out = np.zeros(len(sets) * width, np.uint64)
+        first = np.repeat(np.arange(len(sets)) * width, [len(s) for s in sets])
+        x = mix64(np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93))
+        for k, (salt, density) in enumerate(zip(self.salts, DENSITIES, strict=True)):
+            subset = mix64(x ^ salt) & np.uint64(density - 1)
+            mine = np.flatnonzero(subset < SUBSETS)
+            np.add.at(out, first[mine] + subset[mine].astype(np.int64) + k * SUBSETS, x[mine] | np.uint64(1))
+        out = mix64(out)
         held = out != 0  # mix64 keeps 0
         out &= np.uint64(0xFFFF)
         out[held & (out == 0)] = 1
-        return out.astype(">u2")
+        return out.astype(">u2").reshape(-1, width)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of equal signatures, of those that either text has, at the density where it is largest; 1 if all are equal.
+    return float(likenesses(a[None], b[None])[0])
+
+
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each two rows, the share of equal signatures, of those that either text has, at the density where it is largest; 1 if all are equal.
 
     A density counts if at least a quarter of its subsets hold terms; the densest always does.
     """
-    if np.array_equal(a, b):
-        return 1.0
-    same, held = ((a == b) & (a > 0)).reshape(-1, SUBSETS).sum(1), ((a > 0) | (b > 0)).reshape(-1, SUBSETS).sum(1)
+    shape = (len(a), len(DENSITIES), SUBSETS)
+    equal = a == b
+    same, held = (equal & (a > 0)).reshape(shape).sum(2), ((a > 0) | (b > 0)).reshape(shape).sum(2)
     counts = held >= SUBSETS // 4
-    counts[0] = True
-    return float((same / np.maximum(held, 1))[counts].max())
+    counts[:, 0] = True
+    return np.where(equal.all(1), 1.0, np.where(counts, same / np.maximum(held, 1), 0.0).max(1))
 
 
 def from_text(fingerprint: str) -> np.ndarray:
@@ -167,19 +177,28 @@ def _pair(kept: np.ndarray, id_type: pa.DataType):
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, signer = kept_in_worker(("terms",), Terms), Signer()
 
-        def sign(text: str) -> np.ndarray:
-            got = known.of(text.encode())
-            place = np.minimum(np.searchsorted(kept, got), max(0, len(kept) - 1))
-            band = got[kept[place] == got] if len(kept) else got[:0]
-            return signer.of(band if len(band) else got)
-
-        def rows():
-            for _, _, doc, text, own, following, after in _following(batches, sign):
-                new, sha = _edit(text, following)
-                mine = sign(new)
-                yield doc, len(text), sha, own.tobytes().hex(), mine.tobytes().hex(), likeness(own, mine), likeness(own, after)
-
-        return _batches(rows(), _NAMES, [id_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])
+        def banded(sets: list[np.ndarray]) -> list[np.ndarray]:
+            """The terms of each set that the lexicon has, or all if it has none."""
+            every = np.concatenate(sets)
+            inside = kept[np.minimum(np.searchsorted(kept, every), len(kept) - 1)] == every if len(kept) else np.zeros(len(every), bool)
+            cuts = np.cumsum([len(x) for x in sets])[:-1]
+            return [x[i] if i.any() else x for x, i in zip(sets, np.split(inside, cuts), strict=True)]
+
+        source = _following(batches, lambda text: known.of(text.encode()))
+        while rows := list(itertools.islice(source, 500)):
+            _, _, docs, texts, own, following, after = map(list, zip(*rows, strict=True))
+            edits = [_edit(t, f) for t, f in zip(texts, following, strict=True)]
+            # The next row's own terms are those that follow this one, but for the last of a bucket or of this part.
+            other = [k for k in range(len(rows)) if k + 1 == len(rows) or rows[k + 1][0] != rows[k][0]]
+            prints = signer.of_many(banded([*own, *(known.of(new.encode()) for new, _ in edits), *(after[k] for k in other)]))
+            n = len(rows)
+            mine, new = prints[:n], prints[n : 2 * n]
+            follows = np.vstack([mine[1:], mine[:1]])
+            follows[other] = prints[2 * n :]
+            hexes = [[x.tobytes().hex() for x in xs] for xs in (mine, new)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, id_type), pa.array(map(len, texts), pa.int64()), pa.array([sha for _, sha in edits]), *map(pa.array, hexes), pa.array(likenesses(mine, new)), pa.array(likenesses(mine, follows))], names=_NAMES
+            )
 
     return pair
 
