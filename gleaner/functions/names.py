@@ -96,6 +96,11 @@ def clamp(c: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(c, low), high)
 
 
+def now() -> Column:
+    """Seconds since 1970, as of the query's start."""
+    return F.unix_timestamp()
+
+
 def bound(c: Column) -> Column:
     """A metric's bound; none if it isn't finite."""
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(c)

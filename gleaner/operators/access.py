@@ -10,12 +10,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans import query as q
+from ..plans.collection import Collection
+from ..plans.search import Search
+
 # Names of permissions.
 CREATE_TAGS, READ_TAGS, APPLY_TAGS, DELETE_TAGS = "LTS.CT", "LTS.RT", "LTS.AT", "LTS.DT"
 CREATE_TAGGABLES, READ_TAGGABLES, UPDATE_TAGGABLES, TRASH_TAGGABLES = "LTgbS.CT", "LTgbS.RT", "LTgbS.UT", "LTgbS.TT"
 CREATE_METRIC, READ_METRIC, UPDATE_METRIC, DELETE_METRIC, APPLY_METRIC = "LMS.CM", "LMS.RM", "LMS.UM", "LMS.DM", "LMS.AM"
 CREATE_PARSER = "LDS.CUP"
-ADMIN = {f"A.{verb}{kind}" for verb in "CUD" for kind in ("LTS", "LTgbS", "LMS", "LDS")} | {"A.Import"}
+ADMIN = {
+    "A.CLTS", "A.ULTS", "A.DLTS",
+    "A.CLTgbS", "A.ULTgbS", "A.DLTgbS",
+    "A.CLMS", "A.ULMS", "A.DLMS",
+    "A.CLDS", "A.ULDS", "A.DLDS",
+    "A.Import",
+}
 
 
 @dataclass(frozen=True)
@@ -42,6 +52,61 @@ def visible_services(services: DataFrame, granted: DataFrame, user: User, requir
     return services.join(enough, "Service_ID", "left_semi")
 
 
+class Forbidden(PermissionError):
+    """A search names what its user may not read."""
+
+
+def needed(c: Collection, node: q.Node) -> DataFrame:
+    """(kind, Service_ID, Permission) of every service whose tags or metrics a query names, conditions included.
+
+    Tags are found by id or, in all services that have the name, by lookup name; a metric comparison needs the metric's
+    service as any other metric leaf does.
+    """
+    rows: list[tuple[str, int | None, str | None]] = []
+
+    def see(n: q.Node) -> None:
+        if isinstance(n, q.Tag):
+            rows.append(("tag", n.tag_id, None))
+        elif isinstance(n, q.Lookup):
+            rows.append(("name", None, n.lookup_name))
+        elif isinstance(n, q.HasMetric | q.Compare | q.AppliedValue):
+            rows.append(("metric", n.metric_id, None))
+        elif isinstance(n, q.InMetricService):
+            rows.append(("service", n.service_id, None))
+        elif isinstance(n, q.ListUnion):
+            rows.append(("namespace", n.items.namespace_id, None) if isinstance(n.items, q.NamespaceList) else ("metric", n.items.metric_id, None))
+
+    q.walk(node, see)
+    named = F.broadcast(c.tags.sparkSession.createDataFrame(rows, "kind string, id long, name string"))  # as many rows as the query has leaves
+    tags = c.tags.select("Tag_ID", "Lookup_Name", F.col("Local_Tag_Service_ID").alias("Service_ID"))
+    spaces = tags.join(c.tags_namespaces, "Tag_ID").select(F.lit("namespace").alias("kind"), F.col("Namespace_ID").cast("long").alias("id"), F.lit(None).cast("string").alias("name"), "Service_ID")
+    by_id = tags.select(F.lit("tag").alias("kind"), F.col("Tag_ID").alias("id"), F.lit(None).cast("string").alias("name"), "Service_ID")
+    by_name = tags.select(F.lit("name").alias("kind"), F.lit(None).cast("long").alias("id"), F.col("Lookup_Name").alias("name"), "Service_ID")
+    metrics = c.metrics.select(F.lit("metric").alias("kind"), F.col("Local_Metric_ID").cast("long").alias("id"), F.lit(None).cast("string").alias("name"), F.col("Local_Metric_Service_ID").alias("Service_ID"))
+    services = named.where("kind = 'service'").select("kind", "id", "name", F.col("id").cast("int").alias("Service_ID"))
+    every = by_id.unionByName(by_name).unionByName(spaces).unionByName(metrics).unionByName(services)
+    held = every.join(named.select(F.col("kind").alias("k"), F.col("id").alias("i"), F.col("name").alias("n")).distinct(), (F.col("kind") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")) & F.col("name").eqNullSafe(F.col("n")))
+    metric = F.col("kind").isin("metric", "service")
+    return held.select(F.when(metric, "metric").otherwise("tag").alias("kind"), "Service_ID", F.when(metric, READ_METRIC).otherwise(READ_TAGS).alias("Permission")).distinct()
+
+
+def lacking(c: Collection, node: q.Node, granted: DataFrame, user: User) -> DataFrame:
+    """What of needed() the user doesn't have: not for all services, nor for that one (granted: Service_ID, User_ID, Permission)."""
+    rows = needed(c, node)
+    own = user.needs([READ_TAGS, READ_METRIC])
+    mine = granted.where(F.col("User_ID") == user.user_id).select("Service_ID", "Permission").distinct()
+    return rows.where(F.col("Permission").isin(own)).join(mine, ["Service_ID", "Permission"], "left_anti").select("kind", "Service_ID", "Permission")
+
+
+def checked_search(search: Search, node: q.Node, granted: DataFrame, user: User) -> DataFrame:
+    """The search's result, over the taggable services that the user may read; refused if it names what the user may not read."""
+    if (lost := lacking(search.collection, node, granted, user).first()) is not None:
+        raise Forbidden(f"{lost.Permission} on service {lost.Service_ID}")
+    c = search.collection
+    seen = visible_services(c.taggables.select("Service_ID").distinct(), granted, user, [READ_TAGGABLES])
+    return search.run(node).join(visible_taggables(c.taggables, seen).select("Taggable_ID"), "Taggable_ID", "left_semi")
+
+
 def visible_taggables(taggables: DataFrame, services: DataFrame) -> DataFrame:
     return taggables.join(services, "Service_ID", "left_semi")
 
@@ -57,9 +122,13 @@ def file_taggables(taggable_files: DataFrame) -> DataFrame:
     return taggable_files.groupBy("File_ID").agg(F.array_sort(F.collect_set("Taggable_ID")).alias("taggable_ids"))
 
 
+def outside_ids(ids: DataFrame, cursor: DataFrame, key: str) -> DataFrame:
+    """Those of ids that aren't in what a cursor holds."""
+    return ids.select(key).distinct().join(cursor, key, "left_anti")
+
+
 def outside(ids: DataFrame, cursor: DataFrame, key: str) -> bool:
-    """Whether some of ids aren't in what a cursor holds."""
-    return not ids.join(cursor, key, "left_anti").isEmpty()
+    return not outside_ids(ids, cursor, key).isEmpty()
 
 
 def wanted(df: DataFrame, fields: str | list[str]) -> DataFrame:

@@ -13,11 +13,13 @@ def group_counts(groups: DataFrame, pairings: DataFrame, found: DataFrame | None
 
     groups: group_id, Tag_ID. found: Taggable_ID; None counts over all pairings.
     """
-    held = pairings.join(groups.select("group_id", "Tag_ID").distinct(), "Tag_ID").select("group_id", "Taggable_ID")
-    if found is not None:
-        held = held.join(found, "Taggable_ID", "left_semi")
-    counts = held.distinct().groupBy("group_id").agg(F.count("*").alias("count"))
-    return groups.select("group_id").distinct().join(counts, "group_id", "left").select("group_id", F.coalesce("count", F.lit(0)).alias("count"))
+    return _counted(groups.select("group_id", "Tag_ID").distinct(), ["group_id"], pairings, found)
+
+
+def _counted(groups: DataFrame, keys: list[str], pairings: DataFrame, found: DataFrame | None) -> DataFrame:
+    """groups (keys, Tag_ID, ...) by their keys with the count of distinct taggables; every table is read once."""
+    held = pairings if found is None else pairings.join(found, "Taggable_ID", "left_semi")
+    return groups.join(held, "Tag_ID", "left").groupBy(keys).agg(F.count_distinct("Taggable_ID").alias("count"))
 
 
 def tag_groups(c: Collection, services: list[int] | None = None) -> DataFrame:
@@ -33,30 +35,25 @@ def tag_groups(c: Collection, services: list[int] | None = None) -> DataFrame:
     return named.groupBy("Namespaces", "Lookup_Name").agg(F.array_sort(F.collect_set("Tag_ID")).alias("tag_ids")).select("Namespaces", "Lookup_Name", shown.alias("Display_Name"), "tag_ids")
 
 
-def service_counts(c: Collection, services: list[int], found: DataFrame | None = None) -> DataFrame:
+_GROUP = ["Namespaces", "Lookup_Name", "Display_Name", "tag_ids"]
+
+
+def service_counts(c: Collection, services: list[int] | None, found: DataFrame | None = None) -> DataFrame:
     """Tag groups of services with the count of the taggables found that carry them."""
-    groups = tag_groups(c, services)
-    number = F.array_join(F.concat("Namespaces", F.array("Lookup_Name")), "\x01").alias("group_id")
-    counts = group_counts(groups.select(number, F.explode("tag_ids").alias("Tag_ID")), c.pairings, found)
-    return groups.withColumn("group_id", number).join(counts, "group_id").drop("group_id")
+    return _counted(tag_groups(c, services).withColumn("Tag_ID", F.explode("tag_ids")), _GROUP, c.pairings, found)
 
 
 def namespace_counts(c: Collection, namespace_id: int, found: DataFrame | None = None) -> DataFrame:
     """As service_counts, of the tags of one namespace."""
     mine = c.tags_namespaces.where(F.col("Namespace_ID") == namespace_id).select("Tag_ID")
-    groups = tag_groups(c.with_(tags=c.tags.join(mine, "Tag_ID", "left_semi")))
-    number = F.array_join(F.concat("Namespaces", F.array("Lookup_Name")), "\x01").alias("group_id")
-    counts = group_counts(groups.select(number, F.explode("tag_ids").alias("Tag_ID")), c.pairings, found)
-    return groups.withColumn("group_id", number).join(counts, "group_id").drop("group_id")
+    return service_counts(c.with_(tags=c.tags.join(mine, "Tag_ID", "left_semi")), None, found)
 
 
 def tags_of(ids: DataFrame, pairings: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """(Taggable_ID, tag_ids): the tags of each id, sorted; an empty array for none. tags restricts them (and ids without any of those are left out)."""
+    """(Taggable_ID, tag_ids): the tags of each id, sorted, of those in `tags` if that is given; an empty array for none."""
     held = pairings if tags is None else pairings.join(tags.select("Tag_ID").distinct(), "Tag_ID", "left_semi")
-    held = held.join(ids, "Taggable_ID", "left_semi").groupBy("Taggable_ID").agg(F.array_sort(F.collect_set("Tag_ID")).alias("tag_ids"))
-    if tags is not None:
-        return held
-    return ids.select("Taggable_ID").distinct().join(held, "Taggable_ID", "left").select("Taggable_ID", F.coalesce("tag_ids", F.array().cast("array<bigint>")).alias("tag_ids"))
+    held = ids.select("Taggable_ID").distinct().join(held, "Taggable_ID", "left")
+    return held.groupBy("Taggable_ID").agg(F.array_sort(F.collect_set("Tag_ID")).alias("tag_ids"))
 
 
 def groups_of(ids: DataFrame, c: Collection, services: list[int]) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.staging import staged
+
 EXACT = -1  # distance of exact duplicates
 DUPLICATES, ALTERNATES, FALSE_POSITIVES = 1, 2, 3  # relation types
 
@@ -64,38 +66,88 @@ def descriptor_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def hamming_pairs(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, chunk: int = 20_000) -> DataFrame:
-    """(File_ID_1, File_ID_2, distance) of new files with old and with each other, distance at most cutoff, each pair once.
+def hamming_classes(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """What is near what, without the pairs of files: (members, links).
 
-    If the cutoff is less than the number of 8-bit pieces of the hash, two hashes within it share a piece at the same
-    place or differ little in some piece: pieces are cut so that at least one is equal (cutoff + 1 pieces), and equal
-    pieces are joined. Larger cutoffs leave no such key; the new files then meet the others in stated blocks of `chunk`
-    rows, each broadcast (its size is bounded), so that no product of two large tables is made at once.
+    members: File_ID, is_new, class_id (the least id of equal hashes) of every file. links: c1, c2, distance of classes
+    within the cutoff, c1 < c2, of which at least one holds a new file.
     """
     cols = ["File_ID", *hashes]
-    every = old.select(cols).unionByName(new.select(cols)).distinct()
+    files = old.select(*cols, F.lit(False).alias("is_new")).unionByName(new.select(*cols, F.lit(True).alias("is_new"))).groupBy(cols).agg(F.max("is_new").alias("is_new"))
+    files = staged(files, "hashes")
+    classes = staged(files.groupBy(hashes).agg(F.min("File_ID").alias("class_id"), F.max("is_new").alias("is_new")), "classes")
+    members = files.join(classes.drop("is_new"), hashes).select("File_ID", "is_new", "class_id")
     bits = 32 * len(hashes)
-    pieces = cutoff + 1
-    if bits // pieces >= 6:
-        width = bits // pieces
-        whole = F.concat(*(F.lpad(F.conv(F.col(h).cast("string"), 10, 2), 32, "0") for h in hashes))
-        keyed = lambda df, n: df.select(*(F.col(c).alias(f"{c}_{n}") for c in cols), F.posexplode(F.array(*(F.substring(whole, width * k + 1, width) for k in range(pieces)))).alias("at", "piece"))
-        met = keyed(every, 1).join(keyed(new.select(cols), 2), ["at", "piece"]).drop("at", "piece").where("File_ID_1 <> File_ID_2").distinct()
-        return _kept(met, hashes, cutoff).distinct()
-    n = new.count()
-    blocks = -(-n // chunk)
-    out = None
-    for k in range(max(1, blocks)):
-        block = new.select(cols).where(F.pmod(F.xxhash64("File_ID"), F.lit(max(1, blocks))) == k)
-        met = every.select(*(F.col(c).alias(f"{c}_1") for c in cols)).join(F.broadcast(block.select(*(F.col(c).alias(f"{c}_2") for c in cols))), F.col("File_ID_1") != F.col("File_ID_2"))
-        one = _kept(met, hashes, cutoff)
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
-
-
-def _kept(met: DataFrame, hashes: list[str], cutoff: int) -> DataFrame:
+    near = _by_pieces if bits // (cutoff + 1) >= 6 else _by_blocks
+    return members, near(classes, hashes, cutoff, bits // (cutoff + 1) if near is _by_pieces else block)
+
+
+def _by_pieces(classes: DataFrame, hashes: list[str], cutoff: int, width: int) -> DataFrame:
+    """Hashes cut into cutoff + 1 pieces: two within the cutoff have an equal piece at the same place, and equal pieces are joined."""
+    whole = F.concat(*(F.lpad(F.conv(F.col(h).cast("string"), 10, 2), 32, "0") for h in hashes))
+    pieces = F.posexplode(F.array(*(F.substring(whole, width * k + 1, width) for k in range(cutoff + 1))))
+    side = lambda n: classes.select(F.col("class_id").alias(f"c{n}"), *(F.col(h).alias(f"{h}_{n}") for h in hashes), F.col("is_new").alias(f"new_{n}"), pieces.alias("at", "piece"))
+    met = side(1).join(side(2), ["at", "piece"]).where("c1 < c2 and (new_1 or new_2)")
     d = hamming([F.col(f"{h}_1") for h in hashes], [F.col(f"{h}_2") for h in hashes])
-    return met.select(F.least("File_ID_1", "File_ID_2").alias("File_ID_1"), F.greatest("File_ID_1", "File_ID_2").alias("File_ID_2"), d.cast("int").alias("distance")).where(F.col("distance") <= cutoff)
+    return met.select("c1", "c2", d.cast("int").alias("distance")).where(F.col("distance") <= cutoff).distinct()
+
+
+def _by_blocks(classes: DataFrame, hashes: list[str], cutoff: int, block: int) -> DataFrame:
+    """For cutoffs that leave no equal piece: hashes dealt into blocks by their number of bits, each block about `block` rows.
+
+    Two hashes within the cutoff differ by at most as much in their number of bits, so a block meets only those of near
+    numbers; every two such blocks are compared in one task, which gives only what is within the cutoff. A hash is
+    copied once for each block that its own meets, so the work grows with the square of the distinct hashes, but neither
+    the plan nor a task grows with them.
+    """
+    ones = reduce(Column.__add__, (F.bit_count(h) for h in hashes))
+    rows = classes.withColumn("ones", ones)
+    most = 32 * len(hashes)
+    # One row for each number of bits: at most `most` + 1.
+    held = {r.ones: -(-r.n // block) for r in rows.groupBy("ones").agg(F.count("*").alias("n")).collect()}
+    counts = F.array(*(F.lit(held.get(b, 0)) for b in range(most + 1)))  # blocks of each number of bits
+    mine = F.struct(F.col("ones").alias("b"), F.pmod(F.xxhash64(*hashes), F.get(counts, F.col("ones"))).cast("int").alias("k"))
+    near = F.sequence(F.greatest(F.col("ones") - cutoff, F.lit(0)), F.least(F.col("ones") + cutoff, F.lit(most)))
+    blocks = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.get(counts, b)), lambda k: F.struct(b.alias("b"), k.alias("k")))))
+    blocks = F.filter(blocks, lambda x: x["k"] < F.get(counts, x["b"]))
+    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(blocks)).select(
+        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "class_id", "is_new", *hashes
+    )
+    kind = classes.schema["class_id"].dataType.simpleString()
+
+    def links(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        t = pa.Table.from_batches(list(batches))
+        ids, new = t.column("class_id").to_numpy(), t.column("is_new").to_numpy()
+        bits = np.stack([t.column(h).to_numpy() for h in hashes])
+        second = t.column("second").to_numpy()
+        alone = not second.any()  # a block met with itself
+        left = np.flatnonzero(~second)
+        right = left if alone else np.flatnonzero(second)
+        for at in range(0, len(left), 256):  # strips, so that memory stays bounded
+            part = left[at : at + 256]
+            d = sum(np.bitwise_count(b[part][:, None] ^ b[right]).astype(np.int32) for b in bits)
+            x, y = np.nonzero((d <= cutoff) & (new[part][:, None] | new[right]) & ((part[:, None] < right) if alone else True))
+            if len(x):
+                a, b = ids[part[x]], ids[right[y]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[x, y])], names=["c1", "c2", "distance"])
+
+    return dealt.groupBy("i", "j").applyInArrow(links, f"c1 {kind}, c2 {kind}, distance int")
+
+
+def hamming_pairs(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, block: int = 4096) -> DataFrame:
+    """(File_ID_1, File_ID_2, distance) of new files with old and with each other, distance at most cutoff, each pair once.
+
+    Equal hashes are one class; near classes are found by hamming_classes, whose result grows with the files, and are
+    spelled out as pairs of files here. A file in old and new is new.
+    """
+    members, links = hamming_classes(old, new, hashes, cutoff, block)
+    side = lambda n: members.select(F.col("class_id").alias(f"c{n}"), F.col("File_ID").alias(f"f{n}"), F.col("is_new").alias(f"new_{n}"))
+    pair = [F.least("f1", "f2").alias("File_ID_1"), F.greatest("f1", "f2").alias("File_ID_2"), "distance"]
+    apart = links.join(side(1), "c1").join(side(2), "c2").where("new_1 or new_2").select(*pair)
+    same = side(1).join(side(2), (F.col("c1") == F.col("c2")) & (F.col("f1") < F.col("f2"))).where("new_1 or new_2").select(F.col("f1").alias("File_ID_1"), F.col("f2").alias("File_ID_2"), F.lit(0).alias("distance"))
+    return apart.unionByName(same)
 
 
 def compare(exact: DataFrame, perceptual: DataFrame) -> DataFrame:
@@ -124,35 +176,28 @@ def closure(pairs: DataFrame) -> DataFrame:
     Each round every file takes the least group of itself and its neighbours and then that group's own group; groups
     travel twice as far each round. Rounds are written to the shared folder, so that neither plan nor recovery grows.
     """
-    spark = pairs.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleaner-")
     both = pairs.select(F.col("File_ID_1").alias("a"), F.col("File_ID_2").alias("b")).unionByName(pairs.select(F.col("File_ID_2").alias("a"), F.col("File_ID_1").alias("b"))).distinct()
 
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{folder}/gleaner/closure-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = kept(both)
-    groups = kept(both.groupBy("a").agg(F.least("a", F.min("b")).alias("g")))
+    both = staged(both, "closure")
+    groups = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("g")), "closure")
     while True:
         near = both.join(groups.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))
         low = groups.join(near, "a").select("a", "g", F.least("g", "h").alias("low"))
         far = groups.select(F.col("a").alias("low"), F.col("g").alias("next"))
-        after = kept(low.join(far, "low").select("a", F.least("low", "next").alias("new"), "g"))
+        after = staged(low.join(far, "low").select("a", F.least("low", "next").alias("new"), "g"), "closure")
         groups = after.select("a", F.col("new").alias("g"))
         if after.where("new < g").isEmpty():
             return groups.select(F.col("a").alias("File_ID"), F.col("g").alias("group_id"))
 
 
 def merge_groups(stored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored groups (File_ID, group_id) with new pairs: groups that come together keep the id of the one with most stored members, of equals the least; new groups take their least file's id, negated."""
+    """Stored groups (File_ID, group_id) with new pairs: groups that come together keep the id of the one with most stored members, of equals the largest id; new groups take their least file's id, negated."""
     ties = stored.select(F.col("File_ID").alias("File_ID_1"), F.col("File_ID").alias("File_ID_2"))
     least = stored.groupBy("group_id").agg(F.min("File_ID").alias("File_ID_1"))
     ties = ties.unionByName(stored.join(least, "group_id").select("File_ID_1", F.col("File_ID").alias("File_ID_2")))
     together = closure(pairs.select("File_ID_1", "File_ID_2").unionByName(ties)).withColumnRenamed("group_id", "c")
     sizes = stored.groupBy("group_id").agg(F.count("*").alias("n"))
-    named = together.join(stored, "File_ID").join(sizes, "group_id").groupBy("c").agg(F.min_by("group_id", F.struct(-F.col("n"), "group_id")).alias("named"))
+    named = together.join(stored, "File_ID").join(sizes, "group_id").groupBy("c").agg(F.max_by("group_id", F.struct("n", "group_id")).alias("named"))
     return together.join(named, "c", "left").select("File_ID", F.coalesce("named", -F.col("c")).alias("group_id"))
 
 
@@ -194,6 +239,11 @@ def exact_verdicts(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("distance") == EXACT) & ~F.col("checked")).select(F.lit("duplicates-with-same-quality-trash-larger").alias("type"), "File_ID_1", "File_ID_2")
 
 
+def by_distance(pairs: DataFrame) -> DataFrame:
+    """Nearest first, then by the files' ids."""
+    return pairs.orderBy("distance", "File_ID_1", "File_ID_2")
+
+
 def counters(pairs: DataFrame) -> DataFrame:
     """One row: exact and potential pairs, and those of each that are checked."""
     exact = F.col("distance") == EXACT

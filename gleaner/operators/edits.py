@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..plans.collection import Collection
+from ..sources.archives import import_tables
+from ..sources.staging import staged
 
 PAIR = ["Tag_ID", "Taggable_ID"]
 
@@ -31,6 +37,33 @@ def delete_ids(c: Collection, tags: DataFrame | None = None, taggables: DataFram
     return c
 
 
+def missing_ids(known: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Those of ids that aren't known: none if all exist."""
+    return ids.select(key).distinct().join(known, key, "left_anti")
+
+
+def services_of(ids: DataFrame, table: DataFrame, key: str, service: str) -> DataFrame:
+    """The distinct services of some ids of a table (tags, metrics, taggables)."""
+    return table.join(ids.select(key).distinct(), key, "left_semi").select(service).distinct()
+
+
+def packet_bytes(rows: DataFrame) -> DataFrame:
+    """(n, bytes) of rows as JSON lines."""
+    return rows.select(F.octet_length(F.to_json(F.struct(*rows.columns))).cast("long").alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"))
+
+
+def with_parents(c: Collection, pairs: DataFrame) -> Collection:
+    """The collection with every tag and taggable that the pairs name; those that are new have no service and no name."""
+    tags = insert_ids(c.tags, pairs.select("Tag_ID"), "Tag_ID")
+    taggables = insert_ids(c.taggables, pairs.select("Taggable_ID"), "Taggable_ID").withColumn("In_Trash", F.coalesce("In_Trash", F.lit(False)))
+    return c.with_(tags=tags, taggables=taggables)
+
+
+def edit_pairs(c: Collection, pairs: DataFrame, edit: Callable[[DataFrame, DataFrame], DataFrame]) -> Collection:
+    """An edit of pairings (insert_pairs, delete_pairs, toggle_pairs) before which the ids it names are inserted."""
+    return with_parents(c, pairs).with_(pairings=edit(c.pairings, pairs))
+
+
 def check_parents(c: Collection, pairs: DataFrame) -> None:
     lost = pairs.join(c.tags, "Tag_ID", "left_anti").unionByName(pairs.join(c.taggables, "Taggable_ID", "left_anti"))
     if not lost.isEmpty():
@@ -53,13 +86,14 @@ def toggle_pairs(pairings: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def upsert(known: DataFrame, new: DataFrame, keys: list[str], id_col: str, order: str) -> DataFrame:
-    """known with the rows of new whose keys aren't there; of rows with equal keys the last in order; ids go on from the largest.
+    """known with the rows of new whose keys aren't there (null is a key like others); of rows with equal keys the last in order; ids go on from the largest.
 
     Ids are numbered inside ranges of the key and shifted by the ranges' totals, so no task sees all new rows.
     """
     spark = known.sparkSession
     last = new.groupBy(keys).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
-    fresh = last.join(known, keys, "left_anti")
+    held = known.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    fresh = last.join(held, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti")
     top = known.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
     bucket = F.pmod(F.xxhash64(*keys), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     fresh = fresh.withColumn("__b", bucket)
@@ -77,6 +111,21 @@ def apply_metric(applied: DataFrame, values: DataFrame) -> DataFrame:
     return old.join(keys, same, "left_anti").unionByName(values)
 
 
+def metric_facts(applied: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(Lookup_Name, Taggable_ID) of the system tags that applied values stand for: the value, that there is one of the metric, and of its service."""
+    known = applied.join(metrics.select("Local_Metric_ID", "Local_Metric_Service_ID"), "Local_Metric_ID")
+    facts = F.array(
+        names.of_applied(F.col("Applied_Value"), F.col("Local_Metric_ID"), F.col("User_ID")), names.of_metric(F.col("Local_Metric_ID")), names.of_metric_service(F.col("Local_Metric_Service_ID"))
+    )
+    return known.select(F.explode(facts).alias("Lookup_Name"), "Taggable_ID").distinct()
+
+
+def system_pairs(facts: DataFrame, tags: DataFrame) -> DataFrame:
+    """Pairs of facts (Lookup_Name, Taggable_ID) with the system tags of those names: joined by name, never by position."""
+    mine = tags.where(F.col("Source_Name") == names.SYSTEM_SOURCE).select("Tag_ID", "Lookup_Name")
+    return facts.join(mine, "Lookup_Name").select(PAIR).distinct()
+
+
 def tag_to_metric(c: Collection, tag_id: int, metric_id: int, user: int | None, value: float, delete_tag: bool = False) -> Collection:
     """All taggables of a tag get a value of a metric; the tag may go."""
     held = c.pairings.where(F.col("Tag_ID") == tag_id).select("Taggable_ID")
@@ -118,6 +167,52 @@ def delete_service(c: Collection, tag_service: int) -> Collection:
     return delete_ids(c, tags=c.tags.where(F.col("Local_Tag_Service_ID") == tag_service).select("Tag_ID"))
 
 
+def delete_taggable_service(c: Collection, service: int) -> Collection:
+    """Without a taggable service: its taggables, their pairings and their applied values go too."""
+    return delete_ids(c, taggables=c.taggables.where(F.col("Service_ID") == service).select("Taggable_ID"))
+
+
+def delete_metric_service(c: Collection, service: int) -> Collection:
+    """Without a metric service: its metrics and their applied values go too."""
+    return delete_metrics(c, f"Local_Metric_Service_ID = {int(service)}")
+
+
+def delete_children(parents: DataFrame, children: DataFrame, where: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """Parents (downloader or parser services) without those that meet a condition, and children without theirs."""
+    gone = parents.where(where).select(key).distinct()
+    return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
+
+
+def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """A table whose rows take the values of changes that aren't null, by key; other columns and rows stay."""
+    new = changes.select(*(F.col(k).alias(f"__{k}") for k in changes.columns))
+    changed = [F.coalesce(f"__{k}", k).alias(k) if k in changes.columns and k != key else F.col(k) for k in table.columns]
+    return table.join(new, F.col(key) == F.col(f"__{key}"), "left").select(*changed)
+
+
+def import_chunk(c: Collection, sidecars: DataFrame, service: int, taggable_service: int) -> tuple[Collection, dict[str, DataFrame]]:
+    """The collection with what sidecars (as read_sidecars gives them) bring, and their notes, urls and dates by taggable.
+
+    Taggables and tags get ids by upserts (tags by service, name and source); namespaces of one tag are put together.
+    """
+    made = import_tables(sidecars, service)
+    known = c.taggables.withColumn("name", F.lit(None).cast("string"))
+    fresh = made["taggables"].select(F.lit(None).cast("long").alias("Taggable_ID"), F.lit(taggable_service).alias("Service_ID"), F.lit(False).alias("In_Trash"), "name")
+    taggables = staged(upsert(known, fresh, ["name"], "Taggable_ID", "name"), "taggables")
+    ids = taggables.where("name is not null").select("name", "Taggable_ID")
+    new = made["tags"].select(F.lit(None).cast("long").alias("Tag_ID"), F.col("Local_Tag_Service_ID"), "Lookup_Name", F.lit("import").alias("Source_Name"), F.col("Lookup_Name").alias("Display_Name"))
+    tags = staged(upsert(c.tags, new, ["Local_Tag_Service_ID", "Lookup_Name", "Source_Name"], "Tag_ID", "Lookup_Name"), "tags")
+    mine = tags.where((F.col("Local_Tag_Service_ID") == service) & (F.col("Source_Name") == "import")).select("Tag_ID", "Lookup_Name")
+    spaces = made["tags"].select("Lookup_Name", F.explode("Namespaces").alias("Namespace_Name")).join(mine, "Lookup_Name")
+    unknown = spaces.select("Namespace_Name").distinct().select(F.lit(None).cast("int").alias("Namespace_ID"), "Namespace_Name")
+    namespaces = staged(upsert(c.namespaces, unknown, ["Namespace_Name"], "Namespace_ID", "Namespace_Name").withColumn("Namespace_ID", F.col("Namespace_ID").cast("int")), "namespaces")
+    spaces = spaces.join(namespaces, "Namespace_Name").select("Tag_ID", "Namespace_ID")
+    pairs = made["pairs"].withColumnRenamed("tag", "Lookup_Name").join(mine, "Lookup_Name").join(ids, "name").select(PAIR)
+    c = c.with_(taggables=taggables.drop("name"), tags=tags, namespaces=namespaces, tags_namespaces=c.tags_namespaces.unionByName(spaces).distinct(), pairings=insert_pairs(c.pairings, pairs))
+    by_id = {k: made[k].join(ids, "name").drop("name") for k in ("notes", "urls")}
+    return c, by_id | {"dates": made["taggables"].join(ids, "name").drop("name", "extension")}
+
+
 def delete_metrics(c: Collection, where: str) -> Collection:
     """Without the metrics that meet a condition, and their applied values."""
     gone = c.metrics.where(where).select("Local_Metric_ID")
@@ -134,20 +229,36 @@ def key_audit(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
 
 
 def commit(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write all tables to a new folder, then make it the current one; returns its name.
+    """Write tables as a new version of a folder; returns its name.
 
-    Nothing that is being read is overwritten: readers follow the pointer `current`, which a single small write moves
-    after all tables are complete, so a commit that fails half-way changes nothing.
+    A version is a folder of its own, and nothing that is read is overwritten. When all its tables are complete, a note
+    that it is gets written under a new name; readers take the last version that has one, so a commit that fails
+    anywhere changes nothing. Tables that aren't given stay those of the version before.
     """
-    name = uuid.uuid4().hex
-    for table, df in tables.items():
-        df.write.parquet(f"{folder}/{name}/{table}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    places = dict(_places(spark, folder))
+    for table, df in tables.items():
+        places[table] = f"{name}/{table}"
+        df.write.parquet(f"{folder}/versions/{places[table]}")
+    rows = [(name, t, p) for t, p in sorted(places.items())]
+    spark.createDataFrame(rows, "version string, table string, place string").coalesce(1).write.json(f"{folder}/complete/{name}")
     return name
 
 
+def _places(spark, folder: str) -> list[tuple[str, str]]:
+    """(table, place) of the last complete version: one whose writer left its mark of success."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/complete")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    made = [s.getPath() for s in files.listStatus(path)]
+    done = sorted(p.getName() for p in made if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    if not done:
+        return []
+    return [(r.table, r.place) for r in spark.read.schema("version string, table string, place string").json(f"{folder}/complete/{done[-1]}").collect()]
+
+
 def current(spark, folder: str, table: str) -> DataFrame:
     """A table as of the last commit."""
-    name = spark.read.text(f"{folder}/current").first()[0]
-    return spark.read.parquet(f"{folder}/{name}/{table}")
+    return spark.read.parquet(f"{folder}/versions/{dict(_places(spark, folder))[table]}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +14,11 @@ TAG_SERVICE = {"status": 1, "priority": 1, "segment": 1, "flag": 2, "brand": 2,
 PRICE, QUANTITY = 1, 2  # metrics
 TRASH_EVERY = 97
 
+Table = DataFrame | Callable[[], DataFrame]
+
 
-@dataclass(frozen=True)
 class Collection:
-    """DataFrames of a collection; see the schema of each field.
+    """DataFrames of a collection, or functions that make them when they are first asked for.
 
     taggables: Taggable_ID, Service_ID, In_Trash. tags: Tag_ID, Local_Tag_Service_ID, Lookup_Name, Source_Name,
     Display_Name. namespaces: Namespace_ID, Namespace_Name. tags_namespaces: Tag_ID, Namespace_ID. pairings: Tag_ID,
@@ -25,17 +26,22 @@ class Collection:
     Local_Metric_ID, User_ID (null: the system), Taggable_ID, Applied_Value.
     """
 
-    taggables: DataFrame
-    tags: DataFrame
-    namespaces: DataFrame
-    tags_namespaces: DataFrame
-    pairings: DataFrame
-    metrics: DataFrame
-    applied_metrics: DataFrame
-    extra: dict[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, taggables: Table, tags: Table, namespaces: Table, tags_namespaces: Table, pairings: Table, metrics: Table, applied_metrics: Table):
+        self._held = {
+            "taggables": taggables, "tags": tags, "namespaces": namespaces, "tags_namespaces": tags_namespaces, "pairings": pairings, "metrics": metrics,
+            "applied_metrics": applied_metrics,
+        }
+
+    def __getattr__(self, name: str) -> DataFrame:
+        held = self.__dict__.get("_held", {})
+        if name not in held:
+            raise AttributeError(name)
+        if not isinstance(held[name], DataFrame):
+            held[name] = held[name]()
+        return held[name]
 
-    def with_(self, **tables: DataFrame) -> Collection:
-        return replace(self, **tables)
+    def with_(self, **tables: Table) -> Collection:
+        return Collection(**(self._held | tables))
 
 
 def _tag_ids() -> dict[str, Column]:
@@ -109,10 +115,14 @@ class Star:
         q = self.table("lineitem").groupBy(F.col("l_orderkey").alias("Taggable_ID")).agg(F.max("l_quantity").alias("Applied_Value"))
         return o.unionByName(q.select(F.lit(QUANTITY).alias("Local_Metric_ID"), F.lit(0).cast("long").alias("User_ID"), "Taggable_ID", "Applied_Value"))
 
+    def namespaces(self) -> DataFrame:
+        return self.spark.createDataFrame([(i, n) for n, i in NAMESPACES.items()], "Namespace_ID int, Namespace_Name string")
+
     def collection(self, *namespaces: str) -> Collection:
-        tags = self.tags(*namespaces)
-        spaces = self.spark.createDataFrame([(i, n) for n, i in NAMESPACES.items()], "Namespace_ID int, Namespace_Name string")
-        return Collection(self.taggables(), tags.drop("Namespace_ID"), spaces, tags.select("Tag_ID", "Namespace_ID"), self.pairings(*namespaces), self.metrics(), self.applied_metrics())
+        return Collection(
+            self.taggables, lambda: self.tags(*namespaces).drop("Namespace_ID"), self.namespaces, lambda: self.tags(*namespaces).select("Tag_ID", "Namespace_ID"),
+            lambda: self.pairings(*namespaces), self.metrics, self.applied_metrics,
+        )
 
     def files(self) -> DataFrame:
         """Documents as files: an id, a hash of the content, a size."""

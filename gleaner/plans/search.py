@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import query as q
+from ..sources.staging import staged
 from .collection import Collection
 
 _OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "<>": operator.ne}
@@ -24,9 +25,11 @@ class Search:
     """Compiles queries for one user.
 
     Each distinct leaf becomes a number. Its taggables come as rows (Taggable_ID, leaf): tags by one join of the
-    pairings with the tags that the leaves name, metrics by one pass over the applied values, conditional lists by a
-    plan of their own. One aggregation by taggable makes a flag of each leaf; the query's tree is then a boolean of
-    flags over the universe. So a query of any depth has one shuffle of its leaves and one join to the universe.
+    pairings with the tags that the leaves name, metrics by one pass over the applied values. One aggregation by taggable
+    makes a flag of each leaf; the query's tree is then a boolean of flags over the universe. So a query of any depth has
+    one shuffle of its leaves and one join to the universe. Of a conditional list, the leaves of its conditions are
+    flags of the same aggregation, which also gathers the list's expressions that each taggable has; with conditions,
+    that table is written once, and one more aggregation of it, by expression, tells which expressions meet them.
     """
 
     collection: Collection
@@ -62,14 +65,51 @@ class Search:
             return universe.join(held, "Taggable_ID", "left_semi")
         leaves: dict[q.Node, int] = {}
         flag = self._flag(node, leaves)
-        rows = self._leaf_rows(leaves)
-        flags = rows.groupBy("Taggable_ID").agg(*(F.max(F.col("leaf") == i).alias(f"f{i}") for i in leaves.values()))
-        known = flags.select("Taggable_ID", *(F.coalesce(f"f{i}", F.lit(False)).alias(f"f{i}") for i in leaves.values()))
+        known = self._flags(leaves)
         if self._needs_all(node):
             whole = universe.join(known, "Taggable_ID", "left").na.fill(False)
             return whole.where(flag).select("Taggable_ID")
         return known.where(flag).select("Taggable_ID").join(universe, "Taggable_ID", "left_semi")
 
+    def _flags(self, leaves: dict[q.Node, int]) -> DataFrame:
+        """(Taggable_ID, f0, f1, ...) of every taggable that has a leaf."""
+        every, seen = dict(leaves), 0
+        while seen < len(every):  # the leaves of conditions get numbers too, and those of lists inside of them
+            new, seen = list(every)[seen:], len(every)
+            for n in new:
+                for s in self._sets(n) if isinstance(n, q.ListUnion) else ():
+                    self._flag(s, every)
+        lists = {n: i for n, i in every.items() if isinstance(n, q.ListUnion)}
+        plain = {n: i for n, i in every.items() if n not in lists}
+        rows = self._leaf_rows(plain, lists)
+        flags = [F.max(F.col("leaf") == i).alias(f"f{i}") for i in plain.values()]
+        gathered = [F.collect_set(f"x{i}").alias(f"x{i}") for i in lists.values()]
+        known = rows.groupBy("Taggable_ID").agg(*flags, *gathered)
+        known = known.select("Taggable_ID", *(F.coalesce(f"f{i}", F.lit(False)).alias(f"f{i}") for i in plain.values()), *(f"x{i}" for i in lists.values()))
+        if any(n.conditions for n in lists):
+            known = staged(known.join(self.collection.taggables.select("Taggable_ID"), "Taggable_ID", "left_semi"), "flags")
+        # Those without lists in their conditions first: their flags are known to the others.
+        for n, i in sorted(lists.items(), key=lambda kv: self._nested(kv[0])):
+            if n.conditions:
+                held = known.select("Taggable_ID", F.explode(f"x{i}").alias("expr"))
+                kept = held.join(self._surviving(n, i, known, every), "expr", "left_semi").select("Taggable_ID").distinct()
+                known = known.join(kept.withColumn(f"f{i}", F.lit(True)), "Taggable_ID", "left").withColumn(f"f{i}", F.coalesce(f"f{i}", F.lit(False)))
+            else:
+                known = known.withColumn(f"f{i}", F.size(f"x{i}") > 0)
+        return known.drop(*(f"x{i}" for i in lists.values()))
+
+    @staticmethod
+    def _sets(node: q.ListUnion) -> list[q.Node]:
+        """The distinct queries that a list's conditions count."""
+        return list(dict.fromkeys(q.normalize(x) for c in node.conditions for x in (c.compare, c.within) if x is not None))
+
+    def _nested(self, node: q.Node) -> int:
+        """How deep lists are nested in a list's conditions."""
+        deep = [0]
+        for s in self._sets(node):
+            q.walk(s, lambda n: deep.append(1 + self._nested(n)) if isinstance(n, q.ListUnion) else None)
+        return max(deep)
+
     def _needs_all(self, node: q.Node) -> bool:
         """Whether a taggable of no leaf can be found."""
         if isinstance(node, q.Universe):
@@ -103,7 +143,8 @@ class Search:
             t = t.where(F.col("Local_Tag_Service_ID").isin(list(self.tag_services)))
         return t.select("Tag_ID", "Lookup_Name")
 
-    def _leaf_rows(self, leaves: dict[q.Node, int]) -> DataFrame:
+    def _leaf_rows(self, leaves: dict[q.Node, int], lists: dict[q.Node, int]) -> DataFrame:
+        """(Taggable_ID, leaf) rows of the leaves, and (Taggable_ID, x<i>) rows of the lists' expressions."""
         c, parts = self.collection, []
         spark = c.pairings.sparkSession
         tags = {n.tag_id: i for n, i in leaves.items() if isinstance(n, q.Tag)}
@@ -124,10 +165,10 @@ class Search:
                 applied = applied.join(c.metrics.select("Local_Metric_ID", "Local_Metric_Service_ID"), "Local_Metric_ID")
             hits = F.array_compact(F.array(*(F.when(self._meets(n), i) for n, i in measured.items())))
             parts.append(applied.select("Taggable_ID", F.explode(hits).alias("leaf")))
-        for n, i in leaves.items():
-            if isinstance(n, q.ListUnion):
-                parts.append(self._list_union(n).select("Taggable_ID", F.lit(i).alias("leaf")))
-        return reduce(DataFrame.unionByName, parts)
+        for n, i in lists.items():
+            parts.append(self.expressions(n.items).select("Taggable_ID", F.col("expr").alias(f"x{i}")))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return rows if "leaf" in rows.columns else rows.withColumn("leaf", F.lit(None).cast("int"))
 
     def _meets(self, n: q.Node) -> Column:
         if isinstance(n, q.HasMetric):
@@ -138,34 +179,32 @@ class Search:
         return mine & compared(F.col("Applied_Value"), n.comparator if isinstance(n, q.Compare) else "=", F.lit(n.value))
 
     def expressions(self, items: q.NamespaceList | q.MetricList) -> DataFrame:
-        """(expr, Taggable_ID) of a list, all taggables; expr is a tag id or an applied value."""
+        """(expr, Taggable_ID) of a list; expr is a tag id or an applied value."""
         c = self.collection
         if isinstance(items, q.NamespaceList):
             tags = c.tags_namespaces.where(F.col("Namespace_ID") == items.namespace_id).select("Tag_ID").distinct()
-            rows = c.pairings.join(tags, "Tag_ID").select(F.col("Tag_ID").alias("expr"), "Taggable_ID")
-        else:
-            mine = c.applied_metrics.where((F.col("Local_Metric_ID") == items.metric_id) & F.col("User_ID").eqNullSafe(F.lit(self.user).cast("long")))
-            rows = mine.select(F.col("Applied_Value").alias("expr"), "Taggable_ID").distinct()
-        return rows.join(c.taggables.select("Taggable_ID"), "Taggable_ID", "left_semi")
+            return c.pairings.join(tags, "Tag_ID").select(F.col("Tag_ID").alias("expr"), "Taggable_ID")
+        mine = c.applied_metrics.where((F.col("Local_Metric_ID") == items.metric_id) & F.col("User_ID").eqNullSafe(F.lit(self.user).cast("long")))
+        return mine.select(F.col("Applied_Value").alias("expr"), "Taggable_ID")
 
-    def surviving(self, node: q.ListUnion) -> DataFrame:
+    def _surviving(self, node: q.ListUnion, number: int, known: DataFrame, leaves: dict[q.Node, int]) -> DataFrame:
         """(expr) of the expressions that meet all conditions: one aggregation by expression, whatever their number."""
-        rows = self.expressions(node.items)
         conditions = [c for c in node.conditions if c.kind != "not-in"]
+        has = {s: self._flag(s, leaves) for s in self._sets(node)}
+        rows = known.select(F.explode(f"x{number}").alias("expr"), *(v.alias(f"s{k}") for k, v in enumerate(has.values())))
         for c in node.conditions:
             if c.kind == "not-in":
                 rows = self._without(rows, node.items, c.dropped)
-        sets = list(dict.fromkeys(x for c in conditions for x in (c.compare, c.within) if x is not None))
-        for k, s in enumerate(sets):
-            rows = rows.join(self.unlimited(s).select("Taggable_ID", F.lit(True).alias(f"s{k}")), "Taggable_ID", "left")
-        has = {s: F.coalesce(f"s{k}", F.lit(False)) for k, s in enumerate(sets)}
+        name = {s: F.col(f"s{k}") for k, s in enumerate(has)}
         total = F.count("*")
         meets = []
         for c in conditions:
+            compare = name[q.normalize(c.compare)]
             if c.kind == "count":
-                meets.append(compared(F.count_if(has[c.compare]), c.comparator, F.lit(int(c.amount))))
+                meets.append(compared(F.count_if(compare), c.comparator, F.lit(int(c.amount))))
             else:
-                both, of = (F.count_if(has[c.compare]), total) if c.kind == "percent" else (F.count_if(has[c.compare] & has[c.within]), F.count_if(has[c.within]))
+                within = None if c.kind == "percent" else name[q.normalize(c.within)]
+                both, of = (F.count_if(compare), total) if within is None else (F.count_if(compare & within), F.count_if(within))
                 # single precision, as the counts of the reference semantics are divided
                 share = (both.cast("double") / F.when(of > 0, of)).cast("float")
                 meets.append(F.coalesce(compared(share, c.comparator, F.lit(c.amount).cast("float")), F.lit(False)))
@@ -185,9 +224,3 @@ class Search:
         if names:
             rows = rows.join(self.tags_named(names).select(F.col("Tag_ID").alias("expr")), "expr", "left_anti")
         return rows
-
-    def _list_union(self, node: q.ListUnion) -> DataFrame:
-        rows = self.expressions(node.items)
-        if node.conditions:
-            rows = rows.join(self.surviving(node), "expr", "left_semi")
-        return rows.select("Taggable_ID").distinct()

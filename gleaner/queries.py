@@ -92,14 +92,19 @@ _FINISHED = T(F_)
 _BRANDS = q.NamespaceList(NAMESPACES["brand"])
 
 
-def _listed(having: str) -> str:
-    """Ids of the brands whose orders meet a condition; s marks those of status F, r those of priority 1."""
-    inner = f"SELECT tag FROM (SELECT b.tag, b.id, b.id IN (SELECT id FROM p WHERE tag = {F_}) AS s, b.id IN (SELECT id FROM p WHERE tag = {URGENT}) AS r FROM p b WHERE b.tag BETWEEN 104000 AND 104999) GROUP BY tag HAVING {having}"
-    return f"id IN (SELECT id FROM p WHERE tag IN ({inner}))"
+def _listed(having: str) -> dict[str, str]:
+    """f: the orders of the brands that meet a condition on b, the brands' orders; s marks those of status F, r those of priority 1."""
+    return {
+        "s": f"SELECT DISTINCT id FROM p WHERE tag = {F_}",
+        "r": f"SELECT DISTINCT id FROM p WHERE tag = {URGENT}",
+        "b": "SELECT p.tag, p.id, s.id IS NOT NULL AS s, r.id IS NOT NULL AS r FROM p LEFT JOIN s ON s.id = p.id LEFT JOIN r ON r.id = p.id WHERE p.tag >= 104000",
+        "l": f"SELECT tag FROM b GROUP BY tag HAVING {having}",
+        "f": "SELECT DISTINCT b.id FROM b JOIN l ON l.tag = b.tag",
+    }
 
 
 def conditional(name: str, conditions: tuple[q.Condition, ...], having: str) -> None:
-    search(name, q.ListUnion(_BRANDS, conditions), ("status", "priority", "brand"), _listed(having))
+    search(name, q.ListUnion(_BRANDS, conditions), ("status", "priority", "brand"), "true", universe="w JOIN f USING (id)", more=_listed(having))
 
 
 _N = "count(*) FILTER (WHERE s)"
@@ -109,7 +114,9 @@ conditional("c4_percent", (q.Condition("percent", ">", 0.33, _FINISHED),), f"CAS
 conditional("c5_filtered_percent", (q.Condition("filtered", "<", 0.2, T(URGENT), _FINISHED),), f"CAST(CAST(count(*) FILTER (WHERE s AND r) AS DOUBLE) / nullif({_N}, 0) AS REAL) < CAST(0.2 AS REAL)")
 conditional("c6_not_in_list", (q.Condition("not-in", dropped=(T(FIRST_TAG["brand"] + 1), q.Lookup("Brand#12"), q.Lookup("Brand#7"))), q.Condition("count", ">", 10, _FINISHED)), f"tag NOT IN (104001, 104012, 104007) AND {_N} > 10")
 conditional("c_combined", (q.Condition("count", ">=", 50, _FINISHED), q.Condition("percent", ">", 0.33, _FINISHED), q.Condition("filtered", "<=", 0.25, T(URGENT), _FINISHED)), f"{_N} >= 50 AND CAST(CAST({_N} AS DOUBLE) / count(*) AS REAL) > CAST(0.33 AS REAL) AND CAST(CAST(count(*) FILTER (WHERE s AND r) AS DOUBLE) / nullif({_N}, 0) AS REAL) <= CAST(0.25 AS REAL)")
-search("c_complement", N(q.ListUnion(_BRANDS, (q.Condition("count", ">=", 50, _FINISHED),))), ("status", "priority", "brand"), "NOT " + _listed(f"{_N} >= 50"))
+search("c_complement", N(q.ListUnion(_BRANDS, (q.Condition("count", ">=", 50, _FINISHED),))), ("status", "priority", "brand"), "true", universe="w ANTI JOIN f USING (id)", more=_listed(f"{_N} >= 50"))
+conditional("p8_count_equal", (q.Condition("count", "=", 0, I(_FINISHED, T(O_))),), "count(*) FILTER (WHERE s AND false) = 0")
+conditional("p8_count_unequal", (q.Condition("count", "<>", 0, I(_FINISHED, T(URGENT))),), "count(*) FILTER (WHERE s AND r) <> 0")
 search("c2_metric_list", q.ListUnion(q.MetricList(QUANTITY), (q.Condition("percent", ">=", 0.34, _FINISHED),)), ("status",), f"id IN (SELECT id FROM m WHERE metric = {QUANTITY} AND v IN (SELECT v FROM m WHERE metric = {QUANTITY} AND u = 0 GROUP BY v HAVING CAST(CAST(count(*) FILTER (WHERE id IN (SELECT id FROM p WHERE tag = {F_})) AS DOUBLE) / count(*) AS REAL) >= CAST(0.34 AS REAL)))", user=0, more={"m": _APPLIED})
 
 
@@ -162,8 +169,8 @@ _star("a4_namespace_counts", lambda s: counts.namespace_counts((x := _flagship(s
 _star("a5_groups_per_taggable", lambda s: counts.groups_of((x := _flagship(s, *_SP, "segment", "flag"))[1], x[0], [1]).select("Taggable_ID", F.array_join("groups", ",").alias("groups")), _with(*_SP, "segment", found=_FOUND) + """
 SELECT id AS "Taggable_ID", string_agg(CASE WHEN tag < 101000 THEN 'status:' WHEN tag < 102000 THEN 'priority:' ELSE 'segment:' END || lookup, ',' ORDER BY CASE WHEN tag < 101000 THEN 'status:' WHEN tag < 102000 THEN 'priority:' ELSE 'segment:' END || lookup) AS groups
 FROM p WHERE id IN (SELECT id FROM found) GROUP BY id""")
-_star("s5_tags_of_taggable", lambda s: counts.tags_of((c := s.collection("status", "flag")).taggables.where("Service_ID = 1"), c.pairings).select("Taggable_ID", F.array_join("tag_ids", ",").alias("tag_ids")), _with("status", "flag") + "SELECT u.id AS \"Taggable_ID\", coalesce(string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag), '') AS tag_ids FROM u LEFT JOIN p ON p.id = u.id WHERE u.id % 3 = 1 GROUP BY u.id")
-_star("s6_restricted_tags", lambda s: counts.tags_of((c := s.collection("status", "flag")).taggables, c.pairings, c.tags.where(F.col("Lookup_Name").isin("R", "P"))).select("Taggable_ID", F.array_join("tag_ids", ",").alias("tag_ids")), _with("status", "flag") + "SELECT id AS \"Taggable_ID\", string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS tag_ids FROM p WHERE lookup IN ('R', 'P') GROUP BY id")
+_star("s5_tags_of_taggable", lambda s: counts.tags_of((c := s.collection("status", "flag")).taggables, c.pairings).select("Taggable_ID", F.array_join("tag_ids", ",").alias("tag_ids")), _with("status", "flag") + "SELECT u.id AS \"Taggable_ID\", coalesce(string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag), '') AS tag_ids FROM u LEFT JOIN p ON p.id = u.id GROUP BY u.id")
+_star("s6_restricted_tags", lambda s: counts.tags_of((c := s.collection("status", "flag")).taggables, c.pairings, c.tags.where(F.col("Lookup_Name").isin("R", "P"))).select("Taggable_ID", F.array_join("tag_ids", ",").alias("tag_ids")), _with("status", "flag") + "SELECT u.id AS \"Taggable_ID\", coalesce(string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag), '') AS tag_ids FROM u LEFT JOIN (SELECT * FROM p WHERE lookup IN ('R', 'P')) p ON p.id = u.id GROUP BY u.id")
 _star("a13_invert", lambda s: counts.invert(counts.tags_of((c := s.collection("status")).taggables, c.pairings), "Taggable_ID", "tag_ids", "Tag_ID").select("Tag_ID", F.size("Taggable_IDs").cast("long").alias("n"), F.element_at("Taggable_IDs", -1).alias("last")), _with("status") + 'SELECT tag AS "Tag_ID", count(DISTINCT id) AS n, max(id) AS last FROM p GROUP BY tag')
 _star("p10_tag_filter", lambda s: counts.filter_box(counts.tag_groups(s.collection("brand", "segment", "priority")), "brand:Brand#1").select("Display_Name"), "SELECT DISTINCT 'brand:' || p_brand AS \"Display_Name\" FROM part WHERE p_brand LIKE 'Brand#1%'")
 _star("p11_prune", lambda s: counts.prune(counts.service_counts((x := _flagship(s, "status", "priority"))[0], [1], x[1])).select("Display_Name", "count"), "SELECT * FROM (" + _with(*_SP, found=_FOUND) + """SELECT CASE WHEN tag < 101000 THEN 'status:' ELSE 'priority:' END || lookup AS "Display_Name", count(DISTINCT CASE WHEN id IN (SELECT id FROM found) THEN id END) AS count FROM p GROUP BY 1) WHERE count > 0""")
@@ -245,7 +252,17 @@ def _hamming(s: Star) -> DataFrame:
 
 
 _star("g3_hamming_pairs", _hamming, f"WITH e AS ({_E}) SELECT {_PAIR} FROM ({_HAMMING})")
-_star("g3_close_hamming_pairs", lambda s: duplicates.hamming_pairs(s.perceptual().limit(0), s.perceptual(), _HASHES, 7), f"WITH e AS ({_E}) SELECT {_PAIR} FROM ({_HAMMING}) WHERE d <= 7")
+_COPIES = "SELECT id + 1000000 AS id, xor(h0, CAST(power(2, id % 32) AS BIGINT)) AS h0, xor(h1, CAST(power(2, id % 31) AS BIGINT)) AS h1 FROM e"
+
+
+def _close(s: Star) -> DataFrame:
+    """The embeddings' hashes and copies of them with a bit changed in each half."""
+    e = s.perceptual()
+    flipped = [F.col(h).bitwiseXOR(F.pow(F.lit(2), F.col("File_ID") % m).cast("long")).alias(h) for h, m in zip(_HASHES, (32, 31), strict=True)]
+    return duplicates.hamming_pairs(e, e.select((F.col("File_ID") + 1_000_000).alias("File_ID"), *flipped), _HASHES, 7)
+
+
+_star("g3_close_hamming_pairs", _close, f"WITH e AS ({_E}), n AS ({_COPIES}), x AS (SELECT * FROM e UNION ALL SELECT * FROM n) SELECT {_PAIR} FROM (SELECT a.id AS a, b.id AS b, CAST({_D} AS INTEGER) AS d FROM x a JOIN n b ON a.id < b.id WHERE {_D} <= 7)")
 _star("g5_incremental_pairs", lambda s: duplicates.hamming_pairs((e := s.perceptual()).where("File_ID % 5 <> 0"), e.where("File_ID % 5 = 0"), _HASHES, CUTOFF), f"WITH e AS ({_E}) SELECT {_PAIR} FROM ({_HAMMING}) WHERE a % 5 = 0 OR b % 5 = 0")
 
 
@@ -259,7 +276,26 @@ def _falses(s: Star) -> DataFrame:
 
 _CHECKED = "(SELECT label FROM embeddings WHERE vec_id = a) = (SELECT label FROM embeddings WHERE vec_id = b) OR b = a + 1"
 _star("g7_select_comparisons", lambda s: duplicates.select_comparisons(_hamming(s), _groups(s).where("File_ID % 3 <> 0"), 20, _groups(s), _falses(s)), f"WITH e AS ({_E}) SELECT {_PAIR}, ({_CHECKED}) AS checked FROM ({_HAMMING}) WHERE a % 3 <> 0 AND b % 3 <> 0 AND d < 20")
-_star("a11_dup_counters", lambda s: duplicates.counters(duplicates.checked(_hamming(s), _groups(s), _falses(s))), f"WITH e AS ({_E}) SELECT CAST(0 AS BIGINT) AS exact_pairs, count(*) AS potential_pairs, CAST(0 AS BIGINT) AS exact_checked, count(*) FILTER (WHERE c) AS potential_checked FROM (SELECT ({_CHECKED}) AS c FROM ({_HAMMING}))")
+_BOTH = f"SELECT a, b, -1 AS d FROM ({_EXACT}) UNION ALL SELECT x.* FROM ({_HAMMING}) x ANTI JOIN ({_EXACT}) USING (a, b)"
+
+
+def _compared(s: Star) -> DataFrame:
+    """Exact pairs of the documents and near pairs of the embeddings, as if of one set of files."""
+    return duplicates.compare(duplicates.exact_pairs(s.files()), _hamming(s))
+
+
+_star("g6_compare", _compared, f"WITH e AS ({_E}) SELECT {_PAIR} FROM ({_BOTH})")
+_star("a11_dup_counters", lambda s: duplicates.counters(duplicates.checked(_compared(s), _groups(s), _falses(s))), f"WITH e AS ({_E}), c AS (SELECT d, coalesce({_CHECKED}, false) AS c FROM ({_BOTH})) SELECT count(*) FILTER (WHERE d = -1) AS exact_pairs, count(*) FILTER (WHERE d >= 0) AS potential_pairs, count(*) FILTER (WHERE d = -1 AND c) AS exact_checked, count(*) FILTER (WHERE d >= 0 AND c) AS potential_checked FROM c")
+_star("t2_nearest", lambda s: duplicates.by_distance(_hamming(s)).limit(10), f"WITH e AS ({_E}) SELECT {_PAIR} FROM ({_HAMMING}) ORDER BY d, a, b LIMIT 10")
+
+
+def _hamming_classes(s: Star) -> DataFrame:
+    """Near classes of equal hashes: what hamming_pairs spells out."""
+    e = s.perceptual()
+    return duplicates.hamming_classes(e.limit(0), e, _HASHES, CUTOFF)[1]
+
+
+_star("g3_hamming_classes", _hamming_classes, f"WITH e AS (SELECT min(id) AS id, h0, h1 FROM ({_E}) GROUP BY h0, h1) SELECT a AS c1, b AS c2, d AS distance FROM ({_HAMMING})")
 _star("g9_components", lambda s: duplicates.closure(_hamming(s)), f"""WITH RECURSIVE e AS ({_E}), x AS ({_HAMMING}), y AS (SELECT a, b FROM x UNION ALL SELECT b, a FROM x),
 r(id, g) AS (SELECT a, a FROM y UNION SELECT a, b FROM y UNION SELECT r.id, y.b FROM r JOIN y ON r.g = y.a)
 SELECT id AS "File_ID", min(g) AS group_id FROM r GROUP BY id""")
@@ -267,11 +303,21 @@ _star("g10_implied", lambda s: duplicates.implied(_hamming(s), _groups(s)), f"WI
 
 
 def _stored(s: Star) -> DataFrame:
-    """Exact duplicates as stored groups, each under the largest of its ids plus a million."""
-    return duplicates.equal_classes(s.files()).groupBy("class_id").agg(F.collect_list("File_ID").alias("f"), F.max("File_ID").alias("m")).select(F.explode("f").alias("File_ID"), (F.col("m") + 1_000_000).alias("group_id"))
-
-
-_star("g11_merge_groups", lambda s: duplicates.merge_groups(_stored(s), s.files().where("File_ID % 50 = 0").select(F.col("File_ID").alias("File_ID_1"), (F.col("File_ID") + 1).alias("File_ID_2"))), None)
+    """The vectors of even labels as stored groups, one for each label."""
+    return s.table("embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("File_ID"), (F.col("label") + 1_000_000).cast("long").alias("group_id"))
+
+
+# Components of pairs and stored groups; each takes the group with most stored members, of equals the largest, or its least file's id, negated.
+_star("g11_merge_groups", lambda s: duplicates.merge_groups(_stored(s), _hamming(s)), f"""WITH RECURSIVE e AS ({_E}), x AS ({_HAMMING}),
+st AS (SELECT vec_id AS id, label + 1000000 AS g FROM embeddings WHERE label % 2 = 0),
+k AS (SELECT a, b FROM x UNION SELECT min(id) OVER (PARTITION BY g), id FROM st),
+y AS (SELECT a, b FROM k UNION SELECT b, a FROM k),
+r(id, c) AS (SELECT a, a FROM y UNION SELECT r.id, y.b FROM r JOIN y ON r.c = y.a),
+c AS (SELECT id, min(c) AS c FROM r GROUP BY id),
+n AS (SELECT g, count(*) AS n FROM st GROUP BY g),
+t AS (SELECT DISTINCT c.c, n.g, n.n FROM c JOIN st ON st.id = c.id JOIN n ON n.g = st.g),
+m AS (SELECT c, arg_max(g, n * 10000000 + g) AS g FROM t GROUP BY c)
+SELECT c.id AS "File_ID", CAST(coalesce(m.g, -c.c) AS BIGINT) AS group_id FROM c LEFT JOIN m ON m.c = c.c""")
 _star("p15_trash_larger", lambda s: duplicates.trash_larger(s.files().where("File_ID % 2 = 0").select(F.col("File_ID").alias("File_ID_1"), (F.col("File_ID") + 1).alias("File_ID_2")), s.files()), """SELECT CASE WHEN octet_length(encode(x.text)) > octet_length(encode(y.text)) THEN x.doc_id ELSE y.doc_id END AS "File_ID"
 FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1 WHERE x.doc_id % 2 = 0""")
 
@@ -337,3 +383,6 @@ _star("j1_service_join", lambda s: s.metrics().join(s.applied_metrics(), "Local_
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["o7_nested"](spark, sf_dir)
+
+
+from . import operator_queries  # noqa: E402, F401  the rest of the queries

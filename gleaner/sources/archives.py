@@ -22,6 +22,11 @@ def lines(c: Column) -> Column:
     return F.transform(F.split(c, "\n"), lambda line: F.trim(line))
 
 
+def epoch(c: Column) -> Column:
+    """The whole number that a text begins with, as seconds since 1970; null without one."""
+    return F.regexp_extract(c, r"^\s*([+-]?\d+)", 1).try_cast("long")
+
+
 def split_tag(c: Column) -> Column:
     """(namespace, name): the first colon splits, unless it stands first or there is none (namespace null)."""
     at = F.instr(c, ":")
@@ -52,7 +57,7 @@ def read_sidecars(spark: SparkSession, folder: str, check: bool = True) -> DataF
         "name", F.regexp_extract("name", r"(\.[^.]*)$", 1).alias("extension"), "path",
         F.transform(F.coalesce(lines(F.col("tags")), none), split_tag).alias("tags"),
         F.coalesce(lines(F.col("notes")), none).alias("notes"), F.coalesce(lines(F.col("urls")), none).alias("urls"),
-        *(F.regexp_extract(k, r"^\s*([+-]?\d+)", 1).try_cast("long").alias(v) for k, v in DATES.items()),
+        *(epoch(F.col(k)).alias(v) for k, v in DATES.items()),
     )
 
 
@@ -69,6 +74,25 @@ def import_tables(sidecars: DataFrame, service: int) -> dict[str, DataFrame]:
     }
 
 
+def backup_items(taggable_services: DataFrame, tag_services: DataFrame, metric_services: DataFrame, metrics: DataFrame, files: DataFrame, tags: DataFrame, applied: DataFrame) -> list[DataFrame]:
+    """The parts of a backup in order: services of each kind, metrics, then every file with its tags and metrics.
+
+    Each has its Type and the columns of its table. files has File_ID; tags has File_ID, Lookup_Name, Source_Name,
+    Namespaces, Local_Tag_Service_ID; applied has File_ID, Local_Metric_ID, User_ID, Applied_Value.
+    """
+    typed = lambda df, kind: df.select(F.lit(kind).alias("Type"), *df.columns)
+    gathered = lambda df, name: df.groupBy("File_ID").agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != "File_ID")))).alias(name))
+    held = files.join(gathered(tags, "Tags"), "File_ID", "left").join(gathered(applied, "Metrics"), "File_ID", "left")
+    none = [F.coalesce(c, F.array().cast(held.schema[c].dataType)).alias(c) for c in ("Tags", "Metrics")]
+    held = held.select(*files.columns, *none)
+    return [typed(taggable_services, TAGGABLE_SERVICE), typed(tag_services, TAG_SERVICE), typed(metric_services, METRIC_SERVICE), typed(metrics, METRIC), typed(held, FILE)]
+
+
+def delimited(items: Column) -> Column:
+    """Aggregate: rows of values (JSON items) as the one array that an export of a few items is, with delimiters between them."""
+    return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(items)), f',"{DELIMITER}",'), F.lit("]"))
+
+
 def backup_lines(items: DataFrame) -> DataFrame:
     """Rows of any columns as JSON items (value)."""
     return items.select(F.to_json(F.struct(*items.columns)).alias("value"))
@@ -81,10 +105,9 @@ def write_backup(parts: list[DataFrame], folder: str) -> None:
 
 
 def read_backup(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Items of a backup: either lines as written here, or one JSON array whose items stand between delimiters."""
-    text = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    """Items of a backup: lines as written here, or a line that is a JSON array whose items stand between delimiters."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
     body = F.trim("value")
-    array = body.startswith("[")
     inside = F.split(F.regexp_replace(body, r"^\[|\]$", ""), f',"{DELIMITER}",')
-    items = text.select(F.explode(F.when(array, inside).otherwise(F.split(body, "\n"))).alias("item")).where("trim(item) <> ''")
+    items = text.select(F.explode(F.when(body.startswith("["), inside).otherwise(F.array(body))).alias("item")).where("trim(item) <> ''")
     return items.select(F.from_json("item", schema).alias("i")).select("i.*")

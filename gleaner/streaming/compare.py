@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.duplicates import hamming_pairs
 
@@ -17,13 +18,13 @@ def compare_stream(spark: SparkSession, arriving: str, schema: str, state: str,
 
     def one(batch: DataFrame, number: int) -> None:
         new = batch.dropDuplicates(["File_ID"])
-        earlier = spark.createDataFrame([], new.schema)
-        for k in range(number):
-            earlier = earlier.unionByName(spark.read.schema(new.schema).parquet(f"{state}/files/{k:08d}"))
+        # All files as one table, partitioned by batch: the plan doesn't grow with the batches, and those from this one on aren't read.
+        stored = spark.read.schema(schema + ", batch int").option("basePath", f"{state}/files").parquet(f"{state}/files") if number else None
+        earlier = spark.createDataFrame([], new.schema) if stored is None else stored.where(F.col("batch") < number).drop("batch")
         fresh = new.join(earlier, "File_ID", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{state}/files/{number:08d}")
-        fresh = spark.read.schema(new.schema).parquet(f"{state}/files/{number:08d}")
-        hamming_pairs(earlier, fresh, hashes, cutoff).write.mode("overwrite").parquet(f"{state}/pairs/{number:08d}")
+        fresh.write.mode("overwrite").parquet(f"{state}/files/batch={number}")
+        fresh = spark.read.schema(new.schema).parquet(f"{state}/files/batch={number}")
+        hamming_pairs(earlier, fresh, hashes, cutoff).write.mode("overwrite").parquet(f"{state}/pairs/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(arriving)
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -34,4 +35,4 @@ def compare_stream(spark: SparkSession, arriving: str, schema: str, state: str,
 
 
 def pairs(spark: SparkSession, state: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").parquet(f"{state}/pairs")
+    return spark.read.parquet(f"{state}/pairs").drop("batch")

@@ -96,7 +96,7 @@ def test_hamming_pairs(spark):
     for cutoff in (2, 7, 24):
         for old in (0, 40):
             want = sorted((*sorted((x[0], y[0])), distance(x, y)) for i, x in enumerate(hashes) for y in hashes[:i] if distance(x, y) <= cutoff and (x[0] >= old or y[0] >= old))
-            got = duplicates.hamming_pairs(df.where(F.col("File_ID") < old), df.where(F.col("File_ID") >= old), ["Hash_0", "Hash_1"], cutoff, chunk=20)
+            got = duplicates.hamming_pairs(df.where(F.col("File_ID") < old), df.where(F.col("File_ID") >= old), ["Hash_0", "Hash_1"], cutoff, block=20)
             assert sorted(map(tuple, got.collect())) == want
 
 
@@ -205,3 +205,84 @@ def test_stream(spark, tmp_path):
     compare.compare_stream(spark, folder, schema, state, mark, ["Hash_0", "Hash_1"], 4, files_each=1)
     whole = duplicates.hamming_pairs(df.limit(0), df, ["Hash_0", "Hash_1"], 4)
     assert rows(compare.pairs(spark, state)) == rows(whole) and whole.count() >= 20
+
+
+def test_upsert_of_null_keys(spark):
+    known = spark.createDataFrame([(1, 2, None, 4.0)], "id long, metric int, user long, value double")
+    new = spark.createDataFrame([(None, 2, None, 5.0), (None, 2, 7, 6.0)], known.schema)
+    once = edits.upsert(known, new, ["metric", "user"], "id", "value")
+    assert rows(once) == sorted([(1, 2, None, 4.0), (2, 2, 7, 6.0)], key=repr)
+    assert rows(edits.upsert(once, new, ["metric", "user"], "id", "value")) == rows(once)
+
+
+def test_edits_insert_parents(spark):
+    c = collection(spark, PAIRS, tags=TAGS)
+    pairs = spark.createDataFrame([(9, 50), (1, 0)], "Tag_ID long, Taggable_ID long")
+    for edit, there in ((edits.insert_pairs, True), (edits.toggle_pairs, True), (edits.delete_pairs, False)):
+        out = edits.edit_pairs(c, pairs, edit)
+        assert (50, None, False) in rows(out.taggables) and 9 in {r.Tag_ID for r in out.tags.collect()}
+        assert ((9, 50) in rows(out.pairings)) == there
+    assert rows(edits.missing_ids(c.tags, pairs, "Tag_ID")) == [(9,)]
+    assert rows(edits.services_of(c.tags.where("Tag_ID in (1, 3)"), c.tags, "Tag_ID", "Local_Tag_Service_ID")) == [(1,), (2,)]
+
+
+def test_half_a_commit_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    edits.commit({"a": spark.range(3), "b": spark.range(1)}, folder)
+    bad = spark.range(2).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception):  # noqa: B017
+        edits.commit({"a": spark.range(9), "b": bad}, folder)
+    (tmp_path / "complete" / "99999999999999999999-x").mkdir()  # a writer that was lost before its mark
+    assert edits.current(spark, folder, "a").count() == 3
+    edits.commit({"b": spark.range(5)}, folder)
+    assert (edits.current(spark, folder, "a").count(), edits.current(spark, folder, "b").count()) == (3, 5)
+
+
+def test_permissions_of_a_search(spark):
+    from gleaner.plans import query as q
+    from gleaner.plans.search import Search
+
+    c = collection(spark, PAIRS, tags=TAGS, spaces=[(1, 1), (3, 1)], services={2: 5}, applied=[(2, 7, 0, 4.0)])
+    lost = lambda node, user, *grants: rows(access.lacking(c, node, spark.createDataFrame([*grants, (99, 99, "x")], "Service_ID int, User_ID long, Permission string"), user))
+    me = access.User(7)
+    assert lost(q.Tag(1), me) == [("tag", 1, "LTS.RT")] and lost(q.Tag(1), me, (1, 7, "LTS.RT")) == []
+    assert lost(q.Lookup("solo"), me, (1, 7, "LTS.RT")) == [("tag", 2, "LTS.RT")]  # the name stands in both services
+    assert lost(q.Compare(">", 2, 1.0), me, (2, 8, "LMS.RM")) == [("metric", 2, "LMS.RM")]  # another user's grant
+    node = q.ListUnion(q.NamespaceList(1), (q.Condition("count", ">", 0, q.InMetricService(1)),))
+    assert lost(node, me) == [("metric", 1, "LMS.RM"), ("tag", 1, "LTS.RT"), ("tag", 2, "LTS.RT")]
+    assert lost(node, access.User(7, sudo=True)) == lost(node, access.User(7, frozenset({"LTS.RT", "LMS.RM"}))) == []
+    granted = spark.createDataFrame([(1, 7, "LTS.RT"), (0, 7, "LTgbS.RT")], "Service_ID int, User_ID long, Permission string")
+    assert rows(access.checked_search(Search(c), q.Tag(1), granted, me)) == [(0,), (1,)]  # 2 is in a service that isn't seen
+    with pytest.raises(access.Forbidden):
+        access.checked_search(Search(c), q.Intersect((q.Tag(1), q.HasMetric(1))), granted, me)
+
+
+def test_import_chunk(spark):
+    c = collection(spark, PAIRS, tags=TAGS, spaces=[(1, 1)])
+    schema = "name string, extension string, path string, tags array<struct<namespace:string,name:string>>, notes array<string>, urls array<string>, " + ", ".join(f"{v} long" for v in archives.DATES.values())
+    files = [("a.png", ".png", "p", [("series", "x"), (None, "y"), ("new", "x")], ["n"], ["u", "v"], 1, None, 2, None), ("b.gif", ".gif", "p", [], [], [], None, None, None, None)]
+    out, more = edits.import_chunk(c, spark.createDataFrame(files, schema), 1, 5)
+    made = {r.Taggable_ID for r in out.taggables.where("Service_ID = 5").collect()}
+    assert made == {12, 13} and out.taggables.count() == 14
+    tags = {r.Lookup_Name: r.Tag_ID for r in out.tags.where("Source_Name = 'import'").collect()}
+    assert set(tags) == {"x", "y"} and min(tags.values()) == 6
+    spaces = {(r.Tag_ID, r.Namespace_Name) for r in out.tags_namespaces.join(out.namespaces, "Namespace_ID").collect()}
+    assert spaces == {(1, "series"), (tags["x"], "series"), (tags["x"], "new")}
+    assert {p for p in rows(out.pairings)} - set(PAIRS) == {(t, i) for t in tags.values() for i in made if len(rows(more["notes"])) == 1 and i == more["notes"].first().Taggable_ID}
+    assert sorted(r.url for r in more["urls"].collect()) == ["u", "v"] and more["dates"].count() == 2
+    again, _ = edits.import_chunk(out, spark.createDataFrame(files, schema), 1, 6)
+    assert again.tags.count() == out.tags.count()
+
+
+def test_sets(spark):
+    from gleaner.functions import sets
+
+    df = spark.createDataFrame([([1, 2, 2, 3], [3, 2], {"a": 1, "b": 2}, {"b": 3, "c": 4})], "x array<int>, y array<int>, m map<string,int>, n map<string,int>")
+    got = df.select(sets.intersect_all([F.col("x"), F.col("y"), F.col("x")]).alias("i"), sets.merged([F.col("m"), F.col("n")]).alias("m"), sets.toggled(F.col("y"), F.lit(2)).alias("t"), sets.toggled(F.col("y"), F.lit(9)).alias("u"), sets.equal_sets(F.col("x"), F.col("y")).alias("e"), sets.equal_sets(F.col("y"), F.reverse("y")).alias("f")).first()
+    assert (got.i, got.m, got.t, got.u, got.e, got.f) == ([2, 3], {"a": 1, "b": 3, "c": 4}, [3], [3, 2, 9], False, True)
+
+
+def test_groups_of_equal_size(spark):
+    stored = spark.createDataFrame([(1, 100), (2, 100), (3, 200), (4, 200), (5, 300)], "File_ID long, group_id long")
+    new = spark.createDataFrame([(2, 3), (5, 4)], "File_ID_1 long, File_ID_2 long")
+    assert {g for _, g in rows(duplicates.merge_groups(stored, new))} == {200}  # of equals the largest
