@@ -143,3 +143,14 @@ def test_sql_gives_the_same(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     assert df.columns == names
     assert sorted(map(tuple, df.collect())) == sorted(answer.fetchall())
+
+
+def test_entry_hides_no_failure():
+    """Only the absence of these folders is passed over, not a module that fails inside them."""
+    import subprocess
+    import sys
+
+    root = __file__.rsplit("/", 3)[0]
+    run = lambda gone: subprocess.run([sys.executable, "-c", f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; print(len(e.queries()))"], capture_output=True, text=True, cwd=root)
+    assert "xxhash" in run("xxhash").stderr.splitlines()[-1]
+    assert int(run("gleaner.llm").stdout) == int(run("corpus_pipeline").stdout) - 10
