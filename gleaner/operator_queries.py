@@ -67,7 +67,7 @@ _star("m6_toggle_with_parents", lambda s: _pairs(edits.edit_pairs(s.collection("
 def _m7_nulls(s: Star) -> DataFrame:
     """The system's values stored twice, with one more for each."""
     rows = s.table("orders").select(F.col("o_orderkey").alias("id"), F.lit(PRICE).alias("metric"), F.lit(None).cast("long").alias("user"), F.col("o_orderkey").alias("taggable"))
-    more = rows.withColumn("id", F.lit(None).cast("long")).unionByName(rows.withColumn("id", F.lit(None).cast("long")).withColumn("taggable", -F.col("taggable")))
+    more = rows.withColumn("id", F.lit(None).cast("long")).unionByName(rows.withColumn("id", F.lit(None).cast("long")).withColumn("taggable", -1 - F.col("taggable")))
     return edits.upsert(rows, more, ["metric", "user", "taggable"], "id", "taggable").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_if(F.col("taggable") < 0).alias("new"))
 
 
