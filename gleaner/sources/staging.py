@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +35,23 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends here and lost executors cost nothing before it."""
+    """Write df as Parquet to the shared folder and read it again: lineage ends here and lost executors cost nothing before it.
+
+    While it is written, batches that go to Python hold at most about BATCH_BYTES (or one row), however long texts are,
+    unless the session names a bound of its own.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
     spark.conf.set(_CLEANUP, "true")  # the shuffles of this write serve nothing else
+    if before[_BATCH] is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)

@@ -286,3 +286,21 @@ def test_groups_of_equal_size(spark):
     stored = spark.createDataFrame([(1, 100), (2, 100), (3, 200), (4, 200), (5, 300)], "File_ID long, group_id long")
     new = spark.createDataFrame([(2, 3), (5, 4)], "File_ID_1 long, File_ID_2 long")
     assert {g for _, g in rows(duplicates.merge_groups(stored, new))} == {200}  # of equals the largest
+
+
+def test_staged_batches_are_bounded(spark):
+    import pyarrow as pa
+    from gleaner.sources import staging
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    long = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("t"))
+    got = staging.staged(long.mapInArrow(sizes, "n long, size long"), "test").collect()
+    assert sum(r.n for r in got) == 2000 and max(r.size for r in got) <= staging.BATCH_BYTES + 20_000
+    huge = spark.range(0, 2, 1, 1).select(F.repeat(F.lit("0123456789"), 600_000).alias("t"))
+    assert [r.n for r in staging.staged(huge.mapInArrow(sizes, "n long, size long"), "test").collect()] == [1, 1]  # longer than the bound
+    assert spark.conf.get(key, None) == before
