@@ -19,6 +19,9 @@ _MARKUP = re.compile(
     |<[!?/][^>]*+>""",
     re.S | re.I | re.X,
 )
+# The same once LOOSE tags of a page had quotes that didn't close: each of those costs a look at all that follows.
+_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>[^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
+LOOSE = 64
 # Elements whose text is not that of the page; of some of them, a block ends there.
 _RAW = set("script style noscript template iframe canvas title desc annotation annotation-xml textarea select".split())
 _RAW_BLOCKS = {"textarea", "select"}
@@ -141,8 +144,9 @@ def blocks(page: str, marks: bool = True) -> tuple[list[Block], Tree]:
 
     Without marks, article and main elements say nothing.
 
-    Time grows with the page: every element enters and leaves the stack once. An element of _RAW that is never closed
-    is passed over alone, or, if it is code, with what stands before the next element that isn't inline.
+    Time grows with the page: every element enters and leaves the stack once, and after LOOSE tags whose quotes don't
+    close a tag ends at the next bracket, quoted or not. An element of _RAW that is never closed is passed over alone,
+    or, if it is code, with what stands before the next element that isn't inline.
     """
     out: list[Block] = []
     tree, stack, solid = Tree(), [0], [0]  # solid: places in the stack of elements that aren't inline
@@ -174,14 +178,21 @@ def blocks(page: str, marks: bool = True) -> tuple[list[Block], Tree]:
         if is_open.get("a"):
             linked += len(raw.strip())
 
-    while m := _MARKUP.search(page, at):
+    last, loose = page.rfind(">") + 1, 0  # no tag ends after the last bracket
+    while m := (_MARKUP if loose < LOOSE else _UNQUOTED).search(page, at, last):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+        got = m.groupdict()
+        if got.get("name2"):
+            loose += 1
+            name, end, rest = got["name2"].lower(), got["end2"], got["rest2"]
+        elif got["name"]:
+            name, end, rest = got["name"].lower(), got["end"], got["rest"]
+        else:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)  # a comment that is never closed
             continue
-        end, rest = m["end"] or m["end2"], m["rest"] or m["rest2"] or ""
         if name in _RAW:
             if name in _RAW_BLOCKS:
                 close()
@@ -217,7 +228,7 @@ def blocks(page: str, marks: bool = True) -> tuple[list[Block], Tree]:
             if not inline:
                 solid.append(len(stack) - 1)
     if at < len(page):
-        add(page[at:])
+        add(page[at:].split("<!--", 1)[0])
     close()
     _inherit(out, places, tree)
     return out, tree
@@ -370,8 +381,13 @@ def minimum_cut(left: list[int], edges: list[tuple[int, int, int]]) -> list[bool
 
 
 def labels(found: list[Block], tree: Tree, weights: tuple[float, ...] = PRIOR) -> list[bool]:
-    """Which blocks are content: the source's side of a minimum cut, with the terminal costs as capacities of source and sink."""
-    return minimum_cut([c - b for c, b in (terminal_costs(f, weights) for f in found)], smoothness(found, tree))
+    """Which blocks are content: the source's side of a minimum cut, with the terminal costs as capacities of source and sink.
+
+    Where no block is, as on a page of one short line, it is those that no element around them speaks against and that are
+    mostly not links.
+    """
+    kept = minimum_cut([c - b for c, b in (terminal_costs(f, weights) for f in found)], smoothness(found, tree))
+    return kept if any(kept) else [not f.costs[1] and 2 * f.linked < len(f.text) for f in found]
 
 
 def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:

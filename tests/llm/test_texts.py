@@ -467,12 +467,27 @@ def test_paragraphs_between_links_stay():
     assert html.main_text(page) == " ".join(PARAGRAPHS * 300)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>Short.</p>", "Short."), ("no tags at all", "no tags at all"), ("<nav><p>Home</p></nav><h1>Title here</h1><p>Few words.</p><footer>Copyright</footer>", "Title here Few words."),
+    ("<nav><p>Home</p></nav><ul><li><a href=x>One</a></ul><footer>Copyright</footer>", ""),
+])
+def test_html_of_little_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_of_open_quotes_and_comments():
+    body = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    for page in ("<p title='it>" + body, "<b it's>" * 3 + body, "<a \">x</a>" * 100 + body, body + "<!-- not closed <p>", body + "<!-- not closed", body + "<p title='"):
+        assert " ".join(PARAGRAPHS) in html.main_text(page) and "not closed" not in html.main_text(page)
+    assert [b.text for b in html.blocks("<p title='a > b'>one<p title=\"a > b\">two")[0]] == ["one", "two"]
+
+
 def test_large_pages_take_linear_time():
     import time
 
     r = random.Random(5)
     line = lambda k: f"<p>{PARAGRAPHS[k % 2]}</p>" if r.random() < 0.5 else f"<li><a href=x>link {k}</a>"
-    for page in ("".join(map(line, range(40_000))), "<div>" * 30_000 + "<p>deep words</p></div>" * 30_000, "<b>" * 30_000 + "<div>x</div>" * 30_000, "<select>" * 30_000 + "<p>words", "<ul>" + "<li>x" * 50_000):
+    for page in ("".join(map(line, range(40_000))), "<div>" * 30_000 + "<p>deep words</p></div>" * 30_000, "<b>" * 30_000 + "<div>x</div>" * 30_000, "<select>" * 30_000 + "<p>words", "<a '" * 50_001 + ">", "<a '" * 50_000, "<b '><b '\">" * 30_001, "<ul>" + "<li>x" * 50_000):
         began = time.perf_counter()
         html.main_text(page)
         assert time.perf_counter() - began < 10
