@@ -16,35 +16,24 @@ from .common import kept_in_worker, staged
 
 # Letters and numbers that every Unicode version has alike reach to U+024F; texts with others go to the tokenizer whole.
 _BEYOND = re.compile("[ɐ-\U0010ffff]")
-_ODD = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]")
-
-
-def odd_spaces(text: str) -> bool:
-    """Whether text has spaces other than single ones between words and single line ends between words."""
-    return bool(_ODD.search(text)) or any(x in text for x in ("  ", " \n", "\n ", "\n\n")) or text[:1] in " \n" or text[-1:] in " \n"
-
 
 # Sequences are numbered within parts: partitions first, then, from MERGED on, the groups of leftovers of each level.
 MERGED, GROUPS = 1 << 30, 1 << 20
-LONGEST = 64
 
 
-class Ids(dict):
+class Ids:
     """Token ids of texts as little-endian 32-bit bytes, from a byte-level BPE file of the tokenizers library.
 
-    No token of such a vocabulary crosses a single space or line end between words, which belongs to the word after it.
-    So the ids of words are looked up, and only new words are encoded, by ranks read from the same file. Texts with
-    other spaces or letters are encoded whole; those that hold the string of a special token go to the tokenizer, which
-    gives that token's id. Remembers at most `most` words of at most LONGEST letters.
+    Texts are encoded whole by ranks read from that file, which is faster than the tokenizer. Texts with letters that
+    Unicode versions may know differently, and those that hold the string of a special token, go to the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    def __init__(self, path: str):
         import json
 
         import tiktoken
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
@@ -57,30 +46,15 @@ class Ids(dict):
         # Fixed value: the splitting pattern of such files.
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.ranks = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
 
     def encode(self, text: str) -> bytes:
         """By the tokenizer itself."""
         return b"".join(i.to_bytes(4, "little") for i in self.model.encode(text, add_special_tokens=False).ids)
 
-    def _known(self, text: str) -> bytes:
-        return self.ranks.encode_to_numpy(text, disallowed_special=()).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        b = self._known(word if word[:1] == "\n" else " " + word)
-        if len(word) <= LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = b
-        return b
-
     def of(self, text: str) -> bytes:
         if any(s in text for s in self.added) or not text.isascii() and _BEYOND.search(text):
             return self.encode(text)
-        if odd_spaces(text):
-            return self._known(text)
-        first, *words = text.replace("\n", " \n").split(" ")
-        return self._known(first) + b"".join(map(self.__getitem__, words))
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 class Bins:

@@ -11,7 +11,7 @@ from gleaner.llm.queries import QUERIES, tokenizer
 
 @pytest.fixture(scope="module")
 def ids():
-    return packing.Ids(tokenizer(), most=500)
+    return packing.Ids(tokenizer())
 
 
 def test_ids_are_the_tokenizers(ids):
