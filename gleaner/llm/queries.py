@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html, language, neardup, packing, secrets, sharding, sql, substrings, suffixes
+from . import alignment, decontaminate, fingerprints, html, language, neardup, negatives, packing, scoring, secrets, sharding, sql, substrings, suffixes
 from .common import table
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     """Where this machine has the vocabulary file; executors have it at the same place."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,19 @@ def op10_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_report(table(spark, sf_dir, "documents"), tokenizer(), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+
+
+def op13_slot_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(negatives.quantised(vectors), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cover_substrings": op1_cover_substrings,
     "op2_fast_sketch_neardup": op2_fast_sketch_neardup,
@@ -68,5 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_shards": op8_byte_shards,
     "op9_min_cut_html": op9_min_cut_html,
     "op10_family_svm": op10_family_svm,
+    "op11_shared_cuts": op11_shared_cuts,
+    "op12_context_trees": op12_context_trees,
+    "op13_slot_negatives": op13_slot_negatives,
 }
 SQL: dict[str, str] = dict(sql.SQL)

@@ -50,4 +50,13 @@ a AS (SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard F
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM a
 """
 
-SQL = {"op1_cover_substrings": SUBSTRINGS, "op2_fast_sketch_neardup": NEAR_DUPLICATES, "op7_suffix_collections": REPEATED_BYTES, "op8_byte_shards": SHARDS}
+NEGATIVES = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+g AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT g.*, p.id AS negative_id, p.score AS negative_score, row_number() OVER (PARTITION BY g.anchor_id, positive_id ORDER BY p.score DESC, p.id) AS r FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT p.same AND 80 * positive_score <= 100 * p.score AND p.score <= positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 5
+"""
+
+SQL = {"op1_cover_substrings": SUBSTRINGS, "op2_fast_sketch_neardup": NEAR_DUPLICATES, "op7_suffix_collections": REPEATED_BYTES, "op8_byte_shards": SHARDS, "op13_slot_negatives": NEGATIVES}
