@@ -12,16 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Comments; tags; what else is in angle brackets.
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-    |<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
-    |<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*+)(?P<rest2>[^>]*+)>
-    |<[!?/][^>]*+>""",
-    re.S | re.I | re.X,
-)
-# The same once LOOSE tags of a page had quotes that didn't close: each of those costs a look at all that follows.
-_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<rest>[^>]*+)>|<[!?/][^>]*+>", re.S | re.I)
-LOOSE = 64
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)|<[!?/][^>]*+>", re.S | re.I)
+_QUOTE_OR_END = re.compile("[>\"']")
 # Elements whose text is not that of the page; of some of them, a block ends there.
 _RAW = set("script style noscript template iframe canvas title desc annotation annotation-xml textarea select".split())
 _RAW_BLOCKS = {"textarea", "select"}
@@ -39,11 +31,11 @@ _OPEN_ENDED = set("p li dt dd tr td th option".split())
 # Costs, in hundredths: an ancestor's name or the words of its class, id or role speak for boilerplate or content.
 _BAD_TAGS = dict.fromkeys("nav footer aside form menu dialog button fieldset".split(), 700) | {"header": 350, "address": 150, "figcaption": 0}
 _BAD_WORDS = dict.fromkeys(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond reply replies disqus pagination pager toolbar search masthead complementary contentinfo".split(),
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond reply replies disqus feedback discussion legal copyright disclaimer pagination pager toolbar search masthead complementary contentinfo".split(),
     700,
 ) | {"header": 350, "meta": 100, "tags": 200}
 # These in a name of several words leave its meaning.
-_NEUTRAL = set("area bar block box container group inner item items left list outer panel primary right secondary section site widget widgets wrap wrapper".split())
+_NEUTRAL = set("guest reader readers user users visitor visitors area bar block box container group inner item items left list outer panel primary right secondary section site widget widgets wrap wrapper".split())
 HIDDEN, FADE, CONTRAST = 700, 0.95, 0.7
 _PROSE = ("p", "blockquote", "pre", "h1", "h2", "h3")
 PRIOR = (1.0, -1.0, 2.0, 0.6, 0.3, -5.0, -1.2)  # weights of `features` where no page tells others
@@ -52,6 +44,39 @@ _GOOD_TAGS = {"article": 300, "main": 200}
 _GOOD_WORDS = {"article": 200, "content": 120, "post": 100, "entry": 120, "story": 150, "main": 120, "body": 60}
 
 
+class TagEnds:
+    """Where tags of a page end: at the first bracket that no quotes hold, or, if quotes don't close, at the first of all.
+
+    What was looked for in vain is remembered: quotes from which no end is reached, and the place from which a kind of quote
+    does not come again. So no part of a page is passed over more than twice, however many quotes are left open.
+    """
+
+    def __init__(self, page: str, last: int):
+        self.page, self.last = page, last
+        self.vain: set[int] = set()
+        self.none_from: dict[str, int] = {}
+
+    def of(self, at: int) -> int:
+        """The place of the bracket that ends the tag whose name ends at `at`; there is one before `last`."""
+        passed, place = [], at
+        while (m := _QUOTE_OR_END.search(self.page, place, self.last)) and m[0] != ">":
+            open_ = m.start()
+            close = -1
+            if open_ not in self.vain and open_ < self.none_from.get(m[0], self.last):
+                close = self.page.find(m[0], open_ + 1, self.last)
+                if close < 0:
+                    self.none_from[m[0]] = open_
+            passed.append(open_)
+            if close < 0:
+                m = None
+                break
+            place = close + 1
+        if m:
+            return m.start()
+        self.vain.update(passed)
+        return self.page.find(">", at, self.last)
+
+
 class Block:
     """A block of text, how many of its letters are in links, its element, the tag of that, and what ancestors say: (content, boilerplate)."""
 
@@ -178,21 +203,18 @@ def blocks(page: str, marks: bool = True) -> tuple[list[Block], Tree]:
         if is_open.get("a"):
             linked += len(raw.strip())
 
-    last, loose = page.rfind(">") + 1, 0  # no tag ends after the last bracket
-    while m := (_MARKUP if loose < LOOSE else _UNQUOTED).search(page, at, last):
+    last = page.rfind(">") + 1  # no tag ends after the last bracket
+    tag_ends = TagEnds(page, last)
+    while m := _MARKUP.search(page, at, last):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        got = m.groupdict()
-        if got.get("name2"):
-            loose += 1
-            name, end, rest = got["name2"].lower(), got["end2"], got["rest2"]
-        elif got["name"]:
-            name, end, rest = got["name"].lower(), got["end"], got["rest"]
-        else:
+        if not m["name"]:
             if m[0].startswith("<!--") and not m[0].endswith("-->"):
                 at = len(page)  # a comment that is never closed
             continue
+        name, end, at = m["name"].lower(), m["end"], tag_ends.of(at) + 1
+        rest = page[m.end() : at - 1]
         if name in _RAW:
             if name in _RAW_BLOCKS:
                 close()
