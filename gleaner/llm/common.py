@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, all with as many underscores before them as it takes for df to have no such column (in either case of letters)."""
+    held, before = {c.lower() for c in df.columns}, ""
+    while any((before + n).lower() in held for n in names):
+        before += "_"
+    return [before + n for n in names]
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, WordHashes, kept_in_worker, staged
+from .common import Windows, WordHashes, kept_in_worker, staged, unused
 
 _words = re.compile(r"\w+")
 BITS_A_SEED = 1024  # of the filter of seeds, as long as it is not at its largest
@@ -52,14 +52,18 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int, windows: Windows) -> l
             order = np.argsort(ht, kind="stable")
             low, high = np.searchsorted(ht[order], hi, "left"), np.searchsorted(ht[order], hi, "right")
             for i, a, b in zip(at_i.tolist(), low.tolist(), high.tolist(), strict=True):
-                for t in at_t[order[a:b]].tolist():
-                    if i and t and free_i[i - 1] and free_t[t - 1] and item[i - 1] == text[t - 1]:
-                        continue  # grown from the left already
-                    n = 0
-                    while i + n < len(item) and t + n < len(text) and free_i[i + n] and free_t[t + n] and item[i + n] == text[t + n]:
-                        n += 1
-                    if n >= s:
-                        found.append((-n, i, t))
+                t = at_t[order[a:b]]
+                if i and free_i[i - 1]:  # not those grown from the left already
+                    t = t[(t == 0) | ~free_t[t - 1] | (text[t - 1] != item[i - 1])]
+                n, size = np.full(len(t), s), s
+                growing = np.arange(len(t))
+                while len(growing) and i + size < len(item) and free_i[i + size]:
+                    after = t[growing] + size
+                    growing, after = growing[after < len(text)], after[after < len(text)]
+                    growing = growing[free_t[after] & (text[after] == item[i + size])]
+                    size += 1
+                    n[growing] = size
+                found += zip((-n).tolist(), [i] * len(t), t.tolist(), strict=True)
         heapq.heapify(found)
         while found:
             n, i, t = heapq.heappop(found)
@@ -152,13 +156,46 @@ def _hit_rows(least: int, held: np.ndarray):
     return run
 
 
+def rare_places(places: np.ndarray, n: np.ndarray, words: int, least: int, share: float) -> np.ndarray:
+    """The places of an item without its most frequent, as many as cannot reach `share` of the item together.
+
+    places are all that any document shares, n how often. Whatever reaches the share has at least one place that is left, so nothing is lost,
+    and the phrases that everything holds are joined with nothing as long as an item has others.
+    """
+    order = np.lexsort((places, -n))
+    inside = np.zeros(words, bool)
+    for k, place in enumerate(places[order].tolist()):
+        inside[place : place + least] = True
+        if inside.sum() >= share * words:
+            return places[order[k:]]
+    return places[:0]  # all together don't reach it: nothing can
+
+
+def _rare_seeds(least: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, seeds = [], []
+            for key, counts, own, tokens in zip(b.column("item_key").to_pylist(), b.column("counts"), b.column("seeds"), b.column("tokens"), strict=True):
+                places, n = (x.to_numpy() for x in counts.values.flatten())
+                got = own.values.to_numpy()[rare_places(places, n, len(tokens), least, share)]
+                got = np.unique(got)
+                keys += [key] * len(got)
+                seeds.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *seeds]))], names=["item_key", "seed"])
+
+    return run
+
+
 def _tile_rows(least: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = _of_worker().windows
         for b in batches:
             at, numbers = [], []
-            for k, (item, part) in enumerate(zip(b.column("tokens"), b.column("part"), strict=True)):
+            for k, (item, part, own, held) in enumerate(zip(*(b.column(c) for c in ("tokens", "part", "seeds", "held")), strict=True)):
                 item, part = (x.values.to_numpy().view(np.uint64) for x in (item, part))
+                shared = np.flatnonzero(np.isin(own.values.to_numpy(), held.values.to_numpy()))
+                if _reach(shared, least, len(item)).sum() < share * len(item):
+                    continue  # with all shared windows
                 got = tiles(item, part, least, windows)
                 total = sum(n for *_, n in got)
                 if total >= share * len(item):
@@ -191,18 +228,13 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, least: int, id_c
     held = seed_filter(seeds.select("seed").distinct())
     hits = staged(plain.mapInArrow(_hit_rows(least, held), f"doc_id {kind}, text_key string, part array<long>, seeds array<long>").dropDuplicates(["doc_id", "text_key"]), "hits")
 
-    # Each pair's places in the item that shared seeds reach; a pair that can't reach the share with all of them goes.
-    met = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
-    met = met.groupBy("doc_id", "text_key", "item_key").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    reached = F.aggregate(
-        "places",
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
-        lambda a, p: F.struct((a["n"] + p + least - F.greatest(p, a["end"])).cast("int").alias("n"), (p + least).cast("int").alias("end")),
-    )["n"]
-    known = items.select(F.col("item_key").alias("k"), F.size("tokens").alias("words"))
-    close = met.join(known, F.col("item_key") == F.col("k")).where(reached >= share * F.col("words")).select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "item_key")
+    # A pair that reaches the share has a seed of those that `_rare_seeds` leaves.
+    often = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n"))
+    counted = seeds.join(often, "seed").groupBy("item_key").agg(F.collect_list(F.struct("place", "n")).alias("counts"))
+    rare = counted.join(items, "item_key").mapInArrow(_rare_seeds(least, share), "item_key string, seed long")
+    met = hits.select("doc_id", "text_key", F.explode("seeds").alias("seed")).join(staged(rare, "seeds"), "seed").select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), "item_key").distinct()
     same = F.col("m_id").eqNullSafe(F.col("doc_id")) & (F.col("m_key") == F.col("text_key"))
-    pairs = staged(close.join(hits, same).select("doc_id", "text_key", "part", "item_key"), "pairs").join(items.select("item_key", "item_id", "tokens"), "item_key")
+    pairs = staged(met.join(hits, same).select("doc_id", "text_key", "part", F.col("seeds").alias("held"), "item_key"), "pairs").join(items, "item_key")
     return pairs.mapInArrow(_tile_rows(least, share), f"doc_id {kind}, text_key string, item_id {item_kind}, item_words long, tiles long, tiled_words long, coverage double")
 
 
@@ -211,8 +243,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least:
 
     Seeds, the hashed windows of `least` tokens, are joined in Spark. A bitmap of the benchmark's seeds, of bounded size,
     goes with the scan of the documents; only seeds that it holds, and the tokens inside their windows, leave the scan.
-    They meet the benchmark's seeds in a join; a pair goes on if its shared windows could reach the share, and is then
-    tiled. Tiles may stand in any order, so moved passages count. The driver gets the bitmap and nothing else.
+    They meet the benchmark's seeds in a join, for which each item lays aside its most frequent ones (see rare_places): a
+    phrase in every item and every document makes no rows. A pair goes on if its shared windows could reach the share, and is
+    then tiled. Tiles may stand in any order, so moved passages count. The driver gets the bitmap and nothing else.
 
     Items of fewer than `least` tokens, null texts and null items never match; null ids are documents like others.
     Repeated rows give repeated results; empty tables give none. Other columns are ignored.
@@ -229,8 +262,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least:
     """The documents, unchanged, without those that find_leaks pairs with an item.
 
     Null and empty texts stay; of null ids, and of rows that share an id, those with a leaked text go; an empty table
-    gives no rows, and an empty benchmark takes none away.
+    gives no rows, and an empty benchmark takes none away. Columns may have any names.
     """
     pairs = _leaks(docs, benchmark, share, least, id_col, text_col, "item_id", "text")
-    gone = staged(pairs.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text_col) == F.col("__key")), "left_anti")
+    id_, key = unused(docs, "leak_id", "leak_key")
+    gone = staged(pairs.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct(), "leaks")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(id_)) & (text_key(text_col) == F.col(key)), "left_anti")

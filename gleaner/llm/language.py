@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 DIMS = 1 << 12
 # Families of closely related languages; a language that is not here is a family of its own.
 FAMILIES = {
@@ -159,10 +161,10 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
 
 
 def doubtful(texts: list[str], langs: list[str], seed: int = 0) -> list[str]:
-    """Texts in no one language, made of labelled ones: halves of two languages put together, and words of random letters."""
+    """Texts in no one language, made of whole labelled ones: as much of one language as of another put together, and words of random letters."""
     rng, by = np.random.default_rng(seed), {}
     for t, v in zip(texts, langs, strict=True):
-        by.setdefault(v, []).append(t[:600])
+        by.setdefault(v, []).append(t)
     mixed = [x[: len(y)] + " " + y[: len(x)] for a, b in itertools.combinations(sorted(by), 2) for x, y in zip(by[a], by[b], strict=False)]
     letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
     noise = [" ".join("".join(rng.choice(letters, n)) for n in rng.integers(2, 10, rng.integers(6, 100))) for _ in texts]
@@ -240,7 +242,7 @@ def reject(docs: DataFrame, per_language: int = 400, least: float | None = None)
     Unless given, least is that of doubt() on at most about a quarter of per_language held-out documents a language. With
     labels of one language only, there are no margins, and without any label there is nothing to judge by: then only
     texts without a letter go. Null texts go; null ids are judged like others; repeated rows fare alike; an empty table
-    gives no rows.
+    gives no rows; columns may have any names.
     """
     model = train(docs, per_language)
     if least is None:
@@ -249,4 +251,5 @@ def reject(docs: DataFrame, per_language: int = 400, least: float | None = None)
     cols = docs.columns
     if model is None:
         return docs.mapInArrow(_with_letters(), docs.schema)
-    return classify(docs, model, prefix="__").where((F.col("__lang_pred") != "und") & (F.col("__score") >= least)).select(*cols)
+    pred, score = unused(docs, "lang_pred", "score")
+    return classify(docs, model, prefix=pred.removesuffix("lang_pred")).where((F.col(pred) != "und") & (F.col(score) >= least)).select(*cols)

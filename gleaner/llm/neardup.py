@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Windows, WordHashes, kept_in_worker, mix64, staged
+from .common import Windows, WordHashes, kept_in_worker, mix64, staged, unused
 
 BANDS, ROWS = 40, 4  # a pair of similarity 0.75 shares a band but for a chance of (1 - 0.75^4)^40, 3 in 10 million
 BLOCK = 256  # documents of a bucket that a task compares with as many others
@@ -244,7 +244,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     return nodes.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents, unchanged, of which each near-duplicate group keeps the one of least id; null ids stay."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, unchanged, of which each near-duplicate group keeps the one of least id.
+
+    Null ids stay, as do null and empty texts; of rows that share an id all stay or go; an empty table gives no rows; columns
+    may have any names.
+    """
+    (gone,) = unused(docs, "gone")
+    lost = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(lost, F.col(id_col) == F.col(gone), "left_anti")

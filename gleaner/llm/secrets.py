@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 # The base patterns, the order of their kinds, and the least lengths.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -157,21 +157,22 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
     return s.select("doc_id", count(0), count(1), count(2), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"), "n_live", "n_example", counts.alias("counts"))
 
 
-def redact(docs: DataFrame, owner_col: str = "source", mark: str = "[secret]", **options) -> DataFrame:
+def redact(docs: DataFrame, owner_col: str = "source", mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with every span replaced by `mark`; columns stay as they are, n_chars (if there) is counted anew.
 
-    Overlapping spans are replaced as one. Documents without spans are unchanged. Spans are matched to documents by id,
-    null or not, and text.
+    Overlapping spans are replaced as one. Documents without spans, null and empty texts are unchanged. Spans are matched to
+    documents by id, null or not, and text, so repeated rows fare alike; an empty table gives no rows; columns may have any names.
     """
-    spans = secret_spans(docs, owner_col=owner_col, **options).where("size(spans) > 0")
-    hit = spans.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__found")).distinct()
-    joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key("text") == F.col("__key")), "left")
+    spans = secret_spans(docs, owner_col=owner_col, id_col=id_col, text_col=text_col, **options).where("size(spans) > 0")
+    id_, key, spans_col = unused(docs, "hit_id", "hit_key", "hit_spans")
+    hit = spans.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spans_col)).distinct()
+    joined = docs.join(hit, F.col(id_col).eqNullSafe(F.col(id_)) & (_text_key(text_col) == F.col(key)), "left")
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, found in zip(b.column("text").to_pylist(), b.column("__found").to_pylist(), strict=True):
+            for text, found in zip(b.column(text_col).to_pylist(), b.column(spans_col).to_pylist(), strict=True):
                 if found:
                     parts, at = [], 0
                     for s in found:
@@ -181,7 +182,7 @@ def redact(docs: DataFrame, owner_col: str = "source", mark: str = "[secret]", *
                     text = "".join(parts) + text[at:]
                 out.append(text)
             counts = [None if x is None else len(x) for x in out]
-            arrays = [pa.array(out, pa.string()) if c == "text" else pa.array(counts, b.column(c).type) if c == "n_chars" else b.column(c) for c in columns]
+            arrays = [pa.array(out, pa.string()) if c == text_col else pa.array(counts, b.column(c).type) if c == "n_chars" else b.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     return joined.mapInArrow(cut, docs.schema)

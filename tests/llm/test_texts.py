@@ -491,3 +491,100 @@ def test_large_pages_take_linear_time():
         began = time.perf_counter()
         html.main_text(page)
         assert time.perf_counter() - began < 10
+
+
+# --- columns whose names the stages use, and what they do with odd rows
+
+
+@pytest.mark.parametrize("stage", ["redact", "reject", "keep_first", "drop_leaks"])
+def test_stages_with_clashing_names(spark, stage):
+    from gleaner.llm import neardup
+
+    extra = "__id __key __found __gone __lang_pred __score gone _gone hit_id hit_key HIT_SPANS leak_id leak_key lang_pred SCORE".split()
+    schema = ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"{c} string" for c in extra)])
+    texts = ["the cat sat on the mat and the dog lay down there too", f"token = {KEY} and more words about it", None, "", "the cat sat on the mat and the dog lay down there too", "what is the capital city of france today my friend"]
+    ids = [0, 1, 2, None, 4, 5]
+    rows = [(i, t, "en", "s", None if t is None else len(t), *(f"{c}{k}" for c in extra)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    df = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(1, "capital city of france today my friend")], "item_id long, text string")
+    run = {"redact": secrets.redact, "reject": language.reject, "keep_first": neardup.keep_first, "drop_leaks": lambda d: decontaminate.drop_leaks(d, items)}[stage]
+    got = run(df)
+    assert got.columns == df.columns
+    lost = {"redact": set(), "reject": {2, None}, "keep_first": {4}, "drop_leaks": {5}}[stage]
+    kept = {r.doc_id: r for r in got.collect()}
+    assert set(kept) == set(ids) - lost
+    assert all(kept[i][c] == f"{c}{k}" for k, i in enumerate(ids) if i in kept for c in extra)
+    if stage == "redact":
+        assert KEY not in kept[1].text and kept[1].n_chars == len(kept[1].text)
+    assert run(df.limit(0)).collect() == []
+
+
+def test_stages_by_other_names(spark):
+    df = spark.createDataFrame([("k1", f"token = {KEY}", "me"), ("k2", "nothing", "me")], "name string, body string, source string")
+    got = {r.name: r.body for r in secrets.redact(df, id_col="name", text_col="body", repo_col="name").collect()}
+    assert KEY not in got["k1"] and got["k2"] == "nothing"
+
+
+def test_hot_seeds_join_few_rows(docs, spark):
+    """One phrase is in every item and every document; pairs are those that brute force finds all the same."""
+    r = random.Random(8)
+    hot = "which of the following statements is true"
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    items = [f"{hot} " + " ".join(word() for _ in range(r.randint(6, 14))) for _ in range(40)] + [hot]
+    texts = [" ".join([hot, *(word() for _ in range(20)), *(r.choice(items).split()[r.randint(0, 9) :] if r.random() < 0.3 else [])]) for _ in range(120)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs(texts), bench).collect()}
+    t = decontaminate.Tokens()
+    tokens = [t.of(x) for x in items]
+    want = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(tokens) if 2 * sum(n for *_, n in decontaminate.tiles(y, t.of(x), 4, t.windows)) >= len(y)}
+    assert got == want and len(want) > 120
+    # What the seeds that are left would join, against all of them.
+    windows = [t.windows.of(y, 4) for y in tokens]
+    df = {}
+    for x in texts:
+        for h in set(t.windows.of(t.of(x), 4).tolist()):
+            df[h] = df.get(h, 0) + 1
+    every = sum(df.get(h, 0) for w in windows for h in w.tolist())
+    left = 0
+    for w, y in zip(windows[:-1], tokens[:-1], strict=True):
+        places = np.array([k for k, h in enumerate(w.tolist()) if h in df], np.int64)
+        n = np.array([df[h] for h in w[places].tolist()], np.int64)
+        left += int(n[np.isin(places, decontaminate.rare_places(places, n, len(y), 4, 0.5))].sum())
+    assert left < 10 * len(texts) < every
+
+
+def test_tiles_of_repeated_words():
+    import time
+
+    t = decontaminate.Tokens()
+    began = time.perf_counter()
+    got = decontaminate.tiles(t.of("x " * 200), t.of("x " * 200_000), 4, t.windows)
+    assert got == [(0, 0, 200)] and time.perf_counter() - began < 20
+
+
+def test_quotes_are_read_by_one_rule():
+    """Against the rule itself, in the plainest way, on random tags; and in linear time."""
+    import time
+
+    def plain(page, at, last):
+        place, quote = at, None
+        while place < last:
+            c = page[place]
+            if quote is None and c == ">":
+                return place
+            if c in "\"'":
+                quote = None if quote == c else quote or c
+            place += 1
+        return page.find(">", at, last)
+
+    r = random.Random(9)
+    for _ in range(3000):
+        page = "".join(r.choices("<a>\"'x =", weights=[2, 2, 2, 3, 3, 2, 1, 1], k=r.randint(2, 40))) + ">"
+        last = page.rfind(">") + 1
+        ends = html.TagEnds(page, last)
+        for at in range(last):
+            assert ends.of(at) == plain(page, at, last), (page, at)
+    for page in ("<a \"x>" * 50_000, "<a \"'" * 50_000 + ">", "<a \"\"<b ''" * 30_000 + "\">"):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 3
