@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.staging import staged
+from .hamming import hamming, near_links  # noqa: F401
 
 EXACT = -1  # distance of exact duplicates
 DUPLICATES, ALTERNATES, FALSE_POSITIVES = 1, 2, 3  # relation types
@@ -38,11 +35,6 @@ def equal_classes(files: DataFrame, key: str = "File_Hash") -> DataFrame:
     return files.join(least, key).select("File_ID", "class_id")
 
 
-def hamming(left: list[Column], right: list[Column]) -> Column:
-    """Bits that differ between two hashes held as longs."""
-    return reduce(Column.__add__, (F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right, strict=True)))
-
-
 def average_hash(pixels: Column) -> Column:
     """A 64-bit hash, as two longs of 32 bits, of a thumbnail of 64 grey values: which are above their mean."""
     mean = F.aggregate(pixels, F.lit(0.0), lambda t, x: t + x) / 64
@@ -67,73 +59,17 @@ def descriptor_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def hamming_classes(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """What is near what, without the pairs of files: (members, links).
+    """What is near what, without the pairs of files: (members, links). Building them runs jobs: the distinct hashes are written and counted.
 
     members: File_ID, is_new, class_id (the least id of equal hashes) of every file. links: c1, c2, distance of classes
-    within the cutoff, c1 < c2, of which at least one holds a new file.
+    within the cutoff, c1 < c2, of which at least one holds a new file. A file with a null in its hash could not be
+    read and is in neither.
     """
     cols = ["File_ID", *hashes]
-    files = old.select(*cols, F.lit(False).alias("is_new")).unionByName(new.select(*cols, F.lit(True).alias("is_new"))).groupBy(cols).agg(F.max("is_new").alias("is_new"))
-    files = staged(files, "hashes")
+    files = old.select(*cols, F.lit(False).alias("is_new")).unionByName(new.select(*cols, F.lit(True).alias("is_new"))).dropna(subset=hashes)
     classes = staged(files.groupBy(hashes).agg(F.min("File_ID").alias("class_id"), F.max("is_new").alias("is_new")), "classes")
-    members = files.join(classes.drop("is_new"), hashes).select("File_ID", "is_new", "class_id")
-    bits = 32 * len(hashes)
-    near = _by_pieces if bits // (cutoff + 1) >= 6 else _by_blocks
-    return members, near(classes, hashes, cutoff, bits // (cutoff + 1) if near is _by_pieces else block)
-
-
-def _by_pieces(classes: DataFrame, hashes: list[str], cutoff: int, width: int) -> DataFrame:
-    """Hashes cut into cutoff + 1 pieces: two within the cutoff have an equal piece at the same place, and equal pieces are joined."""
-    whole = F.concat(*(F.lpad(F.conv(F.col(h).cast("string"), 10, 2), 32, "0") for h in hashes))
-    pieces = F.posexplode(F.array(*(F.substring(whole, width * k + 1, width) for k in range(cutoff + 1))))
-    side = lambda n: classes.select(F.col("class_id").alias(f"c{n}"), *(F.col(h).alias(f"{h}_{n}") for h in hashes), F.col("is_new").alias(f"new_{n}"), pieces.alias("at", "piece"))
-    met = side(1).join(side(2), ["at", "piece"]).where("c1 < c2 and (new_1 or new_2)")
-    d = hamming([F.col(f"{h}_1") for h in hashes], [F.col(f"{h}_2") for h in hashes])
-    return met.select("c1", "c2", d.cast("int").alias("distance")).where(F.col("distance") <= cutoff).distinct()
-
-
-def _by_blocks(classes: DataFrame, hashes: list[str], cutoff: int, block: int) -> DataFrame:
-    """For cutoffs that leave no equal piece: hashes dealt into blocks by their number of bits, each block about `block` rows.
-
-    Two hashes within the cutoff differ by at most as much in their number of bits, so a block meets only those of near
-    numbers; every two such blocks are compared in one task, which gives only what is within the cutoff. A hash is
-    copied once for each block that its own meets, so the work grows with the square of the distinct hashes, but neither
-    the plan nor a task grows with them.
-    """
-    ones = reduce(Column.__add__, (F.bit_count(h) for h in hashes))
-    rows = classes.withColumn("ones", ones)
-    most = 32 * len(hashes)
-    # One row for each number of bits: at most `most` + 1.
-    held = {r.ones: -(-r.n // block) for r in rows.groupBy("ones").agg(F.count("*").alias("n")).collect()}
-    counts = F.array(*(F.lit(held.get(b, 0)) for b in range(most + 1)))  # blocks of each number of bits
-    mine = F.struct(F.col("ones").alias("b"), F.pmod(F.xxhash64(*hashes), F.get(counts, F.col("ones"))).cast("int").alias("k"))
-    near = F.sequence(F.greatest(F.col("ones") - cutoff, F.lit(0)), F.least(F.col("ones") + cutoff, F.lit(most)))
-    blocks = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.get(counts, b)), lambda k: F.struct(b.alias("b"), k.alias("k")))))
-    blocks = F.filter(blocks, lambda x: x["k"] < F.get(counts, x["b"]))
-    dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(blocks)).select(
-        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("second"), "class_id", "is_new", *hashes
-    )
-    kind = classes.schema["class_id"].dataType.simpleString()
-
-    def links(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        t = pa.Table.from_batches(list(batches))
-        ids, new = t.column("class_id").to_numpy(), t.column("is_new").to_numpy()
-        bits = np.stack([t.column(h).to_numpy() for h in hashes])
-        second = t.column("second").to_numpy()
-        alone = not second.any()  # a block met with itself
-        left = np.flatnonzero(~second)
-        right = left if alone else np.flatnonzero(second)
-        for at in range(0, len(left), 256):  # strips, so that memory stays bounded
-            part = left[at : at + 256]
-            d = sum(np.bitwise_count(b[part][:, None] ^ b[right]).astype(np.int32) for b in bits)
-            x, y = np.nonzero((d <= cutoff) & (new[part][:, None] | new[right]) & ((part[:, None] < right) if alone else True))
-            if len(x):
-                a, b = ids[part[x]], ids[right[y]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[x, y])], names=["c1", "c2", "distance"])
-
-    return dealt.groupBy("i", "j").applyInArrow(links, f"c1 {kind}, c2 {kind}, distance int")
+    members = files.groupBy(cols).agg(F.max("is_new").alias("is_new")).join(classes.drop("is_new"), hashes).select("File_ID", "is_new", "class_id")
+    return members, near_links(classes, hashes, cutoff, block)
 
 
 def hamming_pairs(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, block: int = 4096) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import names, programs
-from gleaner.operators import access, counts, duplicates, edits
+from gleaner.operators import access, counts, duplicates, edits, hamming
 from gleaner.sources import archives
 from gleaner.streaming import compare
 from tests.test_search import PAIRS, TAGS, collection
@@ -85,6 +85,50 @@ def test_groups(spark):
     assert rows(duplicates.merge_groups(stored, new)) == sorted([(i, 100) for i in range(1, 6)] + [(8, -8), (9, -8)], key=repr)
 
 
+def near(hashes, cutoff, old=0):
+    d = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(x[1:], y[1:], strict=True))
+    return sorted((*sorted((x[0], y[0])), d(x, y)) for i, x in enumerate(hashes) for y in hashes[:i] if d(x, y) <= cutoff and (x[0] >= old or y[0] >= old))
+
+
+def test_hamming_by_pieces(spark):
+    """All numbers of pieces, with values of pieces that many share, against all pairs."""
+    import random
+
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(12)]
+    values = {r.getrandbits(64) for _ in range(60)} | {b ^ sum(1 << r.randrange(64) for _ in range(r.randrange(12))) for b in base for _ in range(6)}
+    values |= {(v & 0xFFFFFFFF) | (7 << 40) for v in list(values)[:40]}  # one value in the upper half
+    values = sorted(v & ((1 << 64) - 1) for v in values)
+    rows = [(i, v >> 32, v & 0xFFFFFFFF) for i, v in enumerate(values)]
+    classes = spark.createDataFrame([(*x, x[0] % 3 > 0) for x in rows], "class_id long, Hash_0 long, Hash_1 long, is_new boolean").cache()
+    for cutoff, pieces, hot in ((0, 1, 3), (3, 2, 3), (6, 5, 2), (9, 4, 3), (9, 4, 1000), (4, 5, 1)):
+        want = [x for x in near(rows, cutoff) if x[0] % 3 or x[1] % 3]
+        got = hamming.by_pieces(classes, ["Hash_0", "Hash_1"], cutoff, pieces, hot)
+        assert rows_of(got) == want, (cutoff, pieces, hot)
+        assert rows_of(hamming.by_blocks(classes, ["Hash_0", "Hash_1"], cutoff, 16)) == want
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_pieces_cost_less_than_pairs():
+    """At 100,000 even hashes and 9 of 64 bits far below 1 % of all pairs; what a hash costs hardly grows with the hashes."""
+    m, per_hash = hamming.pieces_for(100_000, 64, 9)
+    assert per_hash < 0.02 * 50_000
+    assert hamming.pieces_for(1_000_000, 64, 9)[1] < 4 * per_hash < 0.001 * 500_000 * 4 * 4
+    widths = [w for _, w in hamming.cuts(64, m)]
+    assert sum(widths) == 64 and hamming.radii(4, 9) == [2, 2, 1, 1] and hamming.radii(5, 3) == [0, 0, 0, 0, -1]
+
+
+def test_hamming_without_hashes(spark):
+    df = spark.createDataFrame([(1, 5, 7), (2, None, 7), (3, 5, None), (4, 5, 6), (5, None, None), (6, 5, 7)], "File_ID long, Hash_0 long, Hash_1 long")
+    for cutoff in (1, 9, 20):
+        assert rows_of(duplicates.hamming_pairs(df.limit(0), df, ["Hash_0", "Hash_1"], cutoff)) == [(1, 4, 1), (1, 6, 0), (4, 6, 1)]
+        assert rows_of(duplicates.hamming_pairs(df.where("File_ID < 4"), df.where("File_ID >= 4"), ["Hash_0", "Hash_1"], cutoff)) == [(1, 4, 1), (1, 6, 0), (4, 6, 1)]
+    assert duplicates.hamming_pairs(df.limit(0), df.where("Hash_0 is null"), ["Hash_0", "Hash_1"], 20).collect() == []
+
+
 def test_hamming_pairs(spark):
     import random
 
