@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dirs: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SCAN = "spark.sql.files.maxPartitionBytes"
 BATCH_BYTES = 4 << 20
 
 
@@ -34,16 +35,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, scan_bytes: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here and lost executors cost nothing before it.
 
     While it is written, batches that go to Python hold at most about BATCH_BYTES (or one row), however long texts are,
-    unless the session names a bound of its own.
+    unless the session names a bound of its own. scan_bytes: how much of its input a task reads, if not what the session says.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH)}
+    before = {k: spark.conf.get(k, None) for k in (_CLEANUP, _BATCH, _SCAN)}
     spark.conf.set(_CLEANUP, "true")  # the shuffles of this write serve nothing else
+    if scan_bytes:
+        spark.conf.set(_SCAN, str(scan_bytes))
     if before[_BATCH] is None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
     try:
