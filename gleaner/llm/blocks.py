@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .common import shuffle_parts, staged
 
 DOCS = 99  # kind of the rows that are documents; dictionaries have smaller kinds and come first
 MOST = 1 << 20
+SCAN = 48 << 20  # bytes of input for a task, if there are more than tasks need: the more text a dictionary serves, the fewer keys there are in all
+PART = 1 << 20  # characters of text looked at together
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +82,16 @@ class Places:
         return at
 
 
+def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts have about PART bytes together, or one row of more."""
+    sizes = pc.binary_length(b.column("text")).to_numpy()
+    upto, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        after = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PART, "right")))
+        yield b.slice(first, after - first)
+        first = after
+
+
 def _cut(count: Callable, most: int, id_type: pa.DataType):
     names = ["block", "kind", "key", "n", "doc_id", "text", "flag"]
 
@@ -97,8 +110,9 @@ def _cut(count: Callable, most: int, id_type: pa.DataType):
         for b in batches:
             k = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.full(k, DOCS, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), b.column("doc_id"), b.column("text"), b.column("flag")], names=names)
-            for kind, keys, n in count(b.column("text").to_pylist(), b.column("flag").to_numpy(zero_copy_only=False)):
-                dictionaries.setdefault(kind, Sums()).add(keys, n)
+            for part in parts(b):
+                for kind, keys, n in count(part.column("text").to_pylist(), part.column("flag").to_numpy(zero_copy_only=False)):
+                    dictionaries.setdefault(kind, Sums()).add(keys, n)
             if max(len(d.keys) for d in dictionaries.values()) >= most:
                 yield from ended()
                 block += 1
@@ -115,7 +129,7 @@ def in_blocks(docs: DataFrame, count: Callable, flag: Column, id_col: str = "doc
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), flag.alias("flag"))
     kind = docs.schema["doc_id"].dataType
     schema = f"block long, kind int, key long, n long, doc_id {kind.simpleString()}, text string, flag boolean"
-    return staged(docs.mapInArrow(_cut(count, most, to_arrow_type(kind)), schema), "blocks")
+    return staged(docs.mapInArrow(_cut(count, most, to_arrow_type(kind)), schema), "blocks", SCAN)
 
 
 def totals(blocks: DataFrame, kind: int) -> DataFrame:
@@ -125,7 +139,7 @@ def totals(blocks: DataFrame, kind: int) -> DataFrame:
 
 def _stream(values: list[str], use: Callable):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, held = None, {}, None
+        block, waiting, held = None, {}, None
         for b in batches:
             number, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
             edges = [0, *(np.flatnonzero((number[1:] != number[:-1]) | (kind[1:] != kind[:-1])) + 1), b.num_rows]
@@ -133,18 +147,19 @@ def _stream(values: list[str], use: Callable):
                 if hi == lo:
                     continue
                 if number[lo] != block:
-                    block, parts, held = number[lo], {}, None
+                    block, waiting, held = number[lo], {}, None
                 rows = b.slice(lo, hi - lo)
                 if kind[lo] != DOCS:
-                    parts.setdefault(int(kind[lo]), []).append([rows.column(c).to_numpy() for c in ("key", *values)])
+                    waiting.setdefault(int(kind[lo]), []).append([rows.column(c).to_numpy() for c in ("key", *values)])
                     continue
                 if held is None:  # the dictionary is whole once documents come
                     held = {}
-                    for k, pieces in parts.items():
+                    for k, pieces in waiting.items():
                         keys, *rest = (np.concatenate(x) for x in zip(*pieces, strict=True))
                         held[k] = (Places(keys), *rest)
-                    parts = {}
-                yield use(held, rows)
+                    waiting = {}
+                for part in parts(rows):
+                    yield use(held, part)
 
     return stream
 

@@ -264,10 +264,10 @@ _COLUMNS = "held_out boolean, n_tokens long, n_known long, train_tokens long, ba
 def _score(depth: int, tokens: int, distinct: int, id_type: pa.DataType):
     def score(held: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = lowered(rows.column("text").to_pylist())
-        places, _, logs = held[GRAM]
+        places, logs = held[GRAM]
         grams, first = grams_of(texts, depth)
         scores = np.add.reduceat(logs[places.of(grams)], first)
-        places, n, _ = held[WORD]
+        places, n = held[WORD]
         keys, sizes = words_of(texts)
         count = n[places.of(keys)].astype(np.int64)
         end = int(n[places.of(np.array([END_WORD]))[0]])
@@ -304,5 +304,5 @@ def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_co
     words = staged(totals(blocks, WORD), "words")
     seen = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     logs = gram_logs(totals(blocks, GRAM), depth)
-    values = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("n"), F.lit(0.0).alias("log")).unionByName(logs.select(F.lit(GRAM).alias("kind"), "key", F.lit(0.0).alias("n"), "log"))
+    values = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(GRAM).alias("kind"), "key", F.col("log").alias("value")))
     return with_values(blocks, values, _score(depth, seen.n or 0, seen.v or 0, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {_COLUMNS}")
