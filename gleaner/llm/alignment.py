@@ -8,18 +8,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import in_blocks, totals, with_values
-from .common import kept_in_worker
+from .blocks import DOCS, SCAN, parts, totals, with_values
+from .common import kept_in_worker, staged
 from .packing import _BEYOND, Ids
 
 LINK = 0
 # A space after one of these signs, which are white space to no version of Unicode, begins a token of both tokenizers.
-_SPACE = re.compile("(?<=[!-~¡-ᙿ、-퟿]) ")
-_CLEAN = re.compile("[!-~¡-ᙿ、-퟿]$")
+_BEFORE = "!-~¡-ᙿ、-퟿"
+_SPACE = re.compile(f"(?<=[{_BEFORE}]) ")
+_ODD_SPACE = re.compile(f"(?<![{_BEFORE}]) ")
+_CLEAN = re.compile(f"[{_BEFORE}]$")
 
 
 class Signs(dict):
@@ -39,7 +42,7 @@ class Tokens:
     one segment). A segment whose tokens don't give back its bytes makes its text one without tokens.
     """
 
-    def __init__(self, a_path: str, b_path: str, most: int = 1 << 21):
+    def __init__(self, a_path: str, b_path: str, most: int = 6_000_000):
         import sentencepiece
 
         a = Ids(a_path)
@@ -55,55 +58,76 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
+        """Tokens of `most` are held of both tokenizers together, then all are forgotten."""
         self.known: dict[str, int] = {}
-        self.sides = [[[np.zeros(0, np.int32)], [0]], [[np.zeros(0, np.int32)], [0]]]  # ids of the segments, and how many each has
-        self.good = [True]
-        self.held = 0
-
-    def learn(self, segment: str) -> int:
-        """Number of a segment (without its first space), which is new."""
-        data = (" " + segment).encode()
-        plain = segment.isascii() or not _BEYOND.search(segment)
-        a = self.fast.encode_ordinary(" " + segment) if plain else self.slow.encode(" " + segment, add_special_tokens=False).ids
-        b = self.b.encode(segment)
-        good = all(b"".join(map(table.__getitem__, ids)) == data for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        for (ids, sizes), new in zip(self.sides, (a, b) if good else ((), ()), strict=True):
-            ids.append(np.array(new, np.int32))
-            sizes.append(len(new))
-            self.held += len(new)
-        self.good.append(good)
-        self.known[segment] = n = len(self.good) - 1
-        return n
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]  # of all segments, one after another
+        self.sizes = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # how many each segment has
+        self.good = np.zeros(0, bool)
+
+    def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of a space and the text."""
+        plain = text.isascii() or not _BEYOND.search(text)
+        a = self.fast.encode_to_numpy(" " + text, disallowed_special=()) if plain else self.slow.encode(" " + text, add_special_tokens=False).ids
+        return np.asarray(a, np.int32), np.asarray(self.b.encode(text), np.int32)
+
+    def _rightly(self, a: np.ndarray, b: np.ndarray, data: bytes) -> bool:
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == data for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
+    def learn(self, segments: list[str]) -> None:
+        """Tokens of new segments (without their first spaces): of those that end where a token does, all at once."""
+        together = [s for s in segments if s and _CLEAN.search(s)]
+        if sum(map(len, together)) > 40 * len(together):
+            together = []  # long ones would wait for each other
+        alone = [s for s in segments if s not in set(together)] if len(together) < len(segments) else []
+        if together:
+            text = " ".join(together)
+            a, b = self._encode(text)
+            if self._rightly(a, b, (" " + text).encode()):
+                ends = np.cumsum([len(s.encode()) + 1 for s in together])
+                upto = [np.searchsorted(np.cumsum(size[ids]), ends) + 1 for ids, size in ((a, self.a_size), (b, self.b_size))]
+                self._hold(together, [a, b], [np.diff(u, prepend=0) for u in upto], np.ones(len(together), bool))
+            else:
+                alone += together
+        for s in alone:
+            a, b = self._encode(s)
+            good = self._rightly(a, b, (" " + s).encode())
+            held = (a, b) if good else (a[:0], b[:0])
+            self._hold([s], list(held), [np.array([len(x)]) for x in held], np.array([good]))
+
+    def _hold(self, segments: list[str], ids: list[np.ndarray], sizes: list[np.ndarray], good: np.ndarray) -> None:
+        self.known.update(zip(segments, range(len(self.good), len(self.good) + len(segments)), strict=True))
+        for k in (0, 1):
+            self.ids[k], self.sizes[k] = np.concatenate([self.ids[k], ids[k]]), np.concatenate([self.sizes[k], sizes[k]])
+        self.good = np.concatenate([self.good, good])
 
     def segments(self, text: str) -> list[str]:
         if self.whole:
             return [text]
-        out = text.split(" ")
-        if not all(map(_CLEAN.search, out[:-1])):  # several spaces, or other white space before one
-            out = _SPACE.split(text)
+        # Several spaces, or other white space before one: only those after a sign divide.
+        out = _SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
         if not out[-1]:  # a space at the end
             out[-2:] = [out[-2] + " "]
         return out
 
     def of(self, texts: list[str]) -> tuple:
         """Of both tokenizers (ids, byte lengths, how many each text has); texts without tokens have none."""
-        if self.held > self.most:
+        if sum(map(len, self.ids)) > self.most:
             self.forget()
-        numbers, counts = [], []
-        for text in texts:
-            own = [] if not text else [self.known[s] if s in self.known else self.learn(s) for s in self.segments(text)]
-            if not all(map(self.good.__getitem__, own)):
-                own = []
-            numbers += own
-            counts.append(len(own))
-        numbers, doc = np.array(numbers, np.int64), np.repeat(np.arange(len(texts)), counts)
+        found = [self.segments(t) if t else [] for t in texts]
+        flat = [s for own in found for s in own]
+        numbers = list(map(self.known.get, flat))
+        if None in numbers:
+            self.learn(list(dict.fromkeys(s for s, n in zip(flat, numbers, strict=True) if n is None)))
+            numbers = list(map(self.known.__getitem__, flat))
+        numbers, doc = np.array(numbers, np.int64), np.repeat(np.arange(len(texts)), list(map(len, found)))
+        bad = np.bincount(doc[~self.good[numbers]], minlength=len(texts)) > 0
+        if bad.any():
+            numbers, doc = numbers[~bad[doc]], doc[~bad[doc]]
         out = []
-        for (ids, sizes), table in zip(self.sides, (self.a_size, self.b_size), strict=True):
-            ids[:] = [np.concatenate(ids)]
-            size = np.array(sizes, np.int64)
-            first, n = (np.cumsum(size) - size)[numbers], size[numbers]
+        for ids, sizes, table in zip(self.ids, self.sizes, (self.a_size, self.b_size), strict=True):
+            first, n = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
             upto = np.cumsum(n)
-            tokens = ids[0][np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - n), n)]
+            tokens = ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - (upto - n), n)]
             out.append((tokens, table[tokens], np.bincount(doc, n, len(texts)).astype(np.int64)))
         return tuple(out)
 
@@ -199,31 +223,86 @@ def _tokens(a_path: str, b_path: str) -> Tokens:
     return kept_in_worker(("tokens", a_path, b_path), lambda: Tokens(a_path, b_path))
 
 
-def _count(a_path: str, b_path: str):
-    def count(texts: list[str], _: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        yield LINK, *np.unique(Aligned(_tokens(a_path, b_path), texts).links(), return_counts=True)
-
-    return count
-
-
 _NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+_FOUND = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
 
 
-def _report(a_path: str, b_path: str):
-    def report(held: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
-        x = Aligned(_tokens(a_path, b_path), rows.column("text").to_pylist())
-        best, total = np.zeros(len(x.n_a), np.int64), np.zeros(len(x.n_a), np.int64)
-        if x.n_links.any():
-            places, n, is_best = held[LINK]
-            at = places.of(x.links())
-            upto = np.cumsum(x.n_links)
-            for out, value in ((total, n), (best, is_best)):
-                sums = np.concatenate([[0], np.cumsum(value[at])])
-                out[:] = sums[upto] - sums[upto - x.n_links]
-        counts = (x.n_a, x.n_b, x.n_groups, x.n_links, best, total)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(x.digests())], names=_NAMES)
+def _found(x: Aligned, pairs: dict[int, int]) -> tuple[dict[str, pa.Array], np.ndarray]:
+    """The columns _FOUND of a batch of texts, and how often each pair of ids is linked; pairs are numbered in the block as they come.
 
-    return report
+    A text's pairs are ascending numbers, each as the step from the one before, with how often it has them.
+    """
+    keys, inverse = np.unique(x.links(), return_inverse=True)
+    number = np.fromiter((pairs.setdefault(k, len(pairs)) for k in keys.tolist()), np.int64, len(keys))[inverse]
+    n = np.bincount(number, minlength=len(pairs))
+    doc = np.repeat(np.arange(len(x.n_a)), x.n_links)
+    held, times = np.unique((doc << 32) | number, return_counts=True)
+    number = held & 0xFFFFFFFF
+    upto = np.cumsum(np.bincount(held >> 32, minlength=len(x.n_a)))
+    first = np.concatenate([[0], upto[:-1]])
+    steps = np.diff(number, prepend=0)  # ascending in each text, from 0 on
+    begins = first[first < upto]
+    steps[begins] = number[begins]
+    offsets = pa.array(np.concatenate([[0], upto]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (steps, times)]
+    counts = (pa.array(c.astype(np.int64)) for c in (x.n_a, x.n_b, x.n_groups, x.n_links))
+    return dict(zip(_FOUND, [*counts, pa.array(x.digests(), pa.string()), *lists], strict=True)), n
+
+
+_ROW = {"block": "long", "kind": "int", "key": "long", "n": "long", "at": "int", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "pairs": "array<int>", "times": "array<int>"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
+def _link(a_path: str, b_path: str, most: int, id_type: pa.DataType):
+    """Rows of documents, with what _found says, and of the pairs of each block: (block, kind, key, n, at)."""
+    types = {"doc_id": id_type} | {c: _ARROW[t] for c, t in _ROW.items()}
+
+    def rows(size: int, block: int, kind: int, given: dict) -> pa.RecordBatch:
+        given = given | {"block": pa.array(np.full(size, block)), "kind": pa.array(np.full(size, kind, np.int32))}
+        return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(size, t) for c, t in types.items()], names=list(types))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens(a_path, b_path)
+        block, pairs, total = TaskContext.get().partitionId() << 32, {}, np.zeros(0, np.int64)
+        for b in batches:
+            for part in parts(b):
+                columns, n = _found(Aligned(tokens, part.column("text").to_pylist()), pairs)
+                yield rows(part.num_rows, block, DOCS, {"doc_id": part.column("doc_id")} | columns)
+                total = np.pad(total, (0, len(pairs) - len(total))) + np.pad(n, (0, len(pairs) - len(n)))
+                if len(pairs) >= most:
+                    yield from ended(block, pairs, total)
+                    block, pairs, total = block + 1, {}, np.zeros(0, np.int64)
+        yield from ended(block, pairs, total)
+
+    def ended(block: int, pairs: dict[int, int], total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        for i in range(0, len(keys), 50_000):
+            some = keys[i : i + 50_000]
+            yield rows(len(some), block, LINK, {"key": pa.array(some), "n": pa.array(total[i : i + len(some)]), "at": pa.array(np.arange(i, i + len(some), dtype=np.int32))})
+
+    return link
+
+
+def _in_order(at: np.ndarray, n: np.ndarray, is_best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(at)
+    return n[order], is_best[order]
+
+
+def _report(held: dict, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    lists, times = (rows.column(c) for c in ("pairs", "times"))
+    upto = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    steps, often = (x.flatten().to_numpy().astype(np.int64) for x in (lists, times))
+    sums = [np.zeros(rows.num_rows, np.int64)] * 2
+    if len(steps):
+        walked = np.cumsum(steps)
+        before = np.concatenate([[0], walked])[upto[:-1]]  # each text's numbers begin anew
+        number = walked - np.repeat(before, np.diff(upto))
+        sums = []
+        for value in held[LINK]:
+            run = np.concatenate([[0], np.cumsum(value[number] * often)])
+            sums.append(run[upto[1:]] - run[upto[:-1]])
+    total, best = sums
+    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(best), pa.array(total), rows.column("groups_sha256")], names=_NAMES)
 
 
 def _groups(a_path: str, b_path: str):
@@ -262,15 +341,18 @@ def link_counts(links: DataFrame) -> DataFrame:
 def link_report(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 1 << 19) -> DataFrame:
     """How each text's tokens by two tokenizers group and link, against the counts of linked id pairs over all documents.
 
-    Tokens are linked where their bytes overlap; see align for the groups. Pairs of ids are counted in block dictionaries (see
-    blocks), summed over the corpus and brought back to the blocks that have them. Null and empty texts, and those whose
+    Tokens are linked where their bytes overlap; see align for the groups. Texts are encoded once; each then carries which
+    pairs of ids it links, by their numbers in the dictionary of its block (see blocks). Pairs are summed over the corpus and their counts
+    brought back to the blocks that have them. Null and empty texts, and those whose
     tokens don't give back their bytes, have zeros and '' and add nothing to counts. Repeated rows count as often as they
     occur; an empty table gives no rows; other columns are ignored.
 
     Returns doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
     """
-    blocks = in_blocks(docs, _count(a_path, b_path), F.lit(True), id_col, text_col, most)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"{c} {t}" for c, t in _ROW.items())
+    blocks = staged(docs.mapInArrow(_link(a_path, b_path, most, to_arrow_type(kind)), schema), "blocks", SCAN)
     values = link_counts(totals(blocks, LINK)).select(F.lit(LINK).alias("kind"), "key", "n", "is_best")
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    columns = ", ".join(f"{c} long" for c in _NAMES[1:-1])
-    return with_values(blocks, values, _report(a_path, b_path), f"doc_id {kind}, {columns}, groups_sha256 string")
+    out = ", ".join(f"{c} long" for c in _NAMES[1:-1])
+    return with_values(blocks, values, _in_order, _report, f"doc_id {kind.simpleString()}, {out}, groups_sha256 string", ("at",), ("doc_id", *_FOUND))

@@ -137,7 +137,7 @@ def totals(blocks: DataFrame, kind: int) -> DataFrame:
     return blocks.where(F.col("kind") == kind).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _stream(values: list[str], use: Callable):
+def _stream(columns: list[str], prepare: Callable, use: Callable):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, waiting, held = None, {}, None
         for b in batches:
@@ -150,28 +150,25 @@ def _stream(values: list[str], use: Callable):
                     block, waiting, held = number[lo], {}, None
                 rows = b.slice(lo, hi - lo)
                 if kind[lo] != DOCS:
-                    waiting.setdefault(int(kind[lo]), []).append([rows.column(c).to_numpy() for c in ("key", *values)])
+                    waiting.setdefault(int(kind[lo]), []).append([rows.column(c).to_numpy() for c in columns])
                     continue
                 if held is None:  # the dictionary is whole once documents come
-                    held = {}
-                    for k, pieces in waiting.items():
-                        keys, *rest = (np.concatenate(x) for x in zip(*pieces, strict=True))
-                        held[k] = (Places(keys), *rest)
+                    held = {k: prepare(*(np.concatenate(x) for x in zip(*pieces, strict=True))) for k, pieces in waiting.items()}
                     waiting = {}
-                for part in parts(rows):
-                    yield use(held, part)
+                yield from use(held, rows)
 
     return stream
 
 
-def with_values(blocks: DataFrame, values: DataFrame, use: Callable, schema: str) -> DataFrame:
-    """use(dictionaries, documents) for every batch of documents, staged; dictionaries[kind] are (Places, array of each value).
+def with_values(blocks: DataFrame, values: DataFrame, prepare: Callable, use: Callable, schema: str, words: tuple[str, ...] = ("key",), docs: tuple[str, ...] = ("doc_id", "text", "flag")) -> DataFrame:
+    """What use(dictionaries, documents) gives for every batch of documents, staged.
 
-    values: (kind, key, and further columns, one row a key). Every batch sees the whole dictionary of its block.
+    values: (kind, key, and further columns, one row a key). dictionaries[kind] is prepare(columns of `words`, then of the values) of the
+    whole dictionary of the batch's block; the documents have the columns `docs`.
     """
     spark = blocks.sparkSession
-    names = [c for c in values.columns if c not in ("kind", "key")]
-    words = blocks.where(F.col("kind") != DOCS).select("block", "kind", "key").join(values.hint("merge"), ["kind", "key"])
-    docs = blocks.where(F.col("kind") == DOCS).select("block", "kind", "doc_id", "text", "flag")
-    both = words.unionByName(docs, allowMissingColumns=True).repartition(shuffle_parts(spark), "block").sortWithinPartitions("block", "kind")
-    return staged(both.mapInArrow(_stream(names, use), schema), "valued")
+    names = [*words, *(c for c in values.columns if c not in ("kind", "key"))]
+    found = blocks.where(F.col("kind") != DOCS).select("block", "kind", *dict.fromkeys(["key", *words])).join(values.hint("merge"), ["kind", "key"]).select("block", "kind", *names)
+    both = found.unionByName(blocks.where(F.col("kind") == DOCS).select("block", "kind", *docs), allowMissingColumns=True)
+    both = both.repartition(shuffle_parts(spark), "block").sortWithinPartitions("block", "kind")
+    return staged(both.mapInArrow(_stream(names, prepare, use), schema), "valued")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import MOST, in_blocks, totals, with_values
+from .blocks import MOST, Places, in_blocks, parts, totals, with_values
 from .common import WordHashes, kept_in_worker, shuffle_parts, staged
 
 DEPTH, TOP = 5, 2  # bytes of context; levels whose nodes meet across tasks
@@ -202,9 +202,9 @@ def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     depth 1 and the root, at most 256 * 255 and 255 whatever the corpus, are weighed in the driver.
     """
     spark, near = grams.sparkSession, 8 * (depth + 1 - TOP)
-    parts, low = shuffle_parts(spark), (1 << (8 * TOP)) - 1
+    tasks, low = shuffle_parts(spark), (1 << (8 * TOP)) - 1
     grams = staged(grams, "grams")
-    dealt = grams.withColumn("pair", F.shiftright("key", near)).repartition(parts, "pair").sortWithinPartitions("pair", "key").select("key", "n")
+    dealt = grams.withColumn("pair", F.shiftright("key", near)).repartition(tasks, "pair").sortWithinPartitions("pair", "key").select("key", "n")
     kind = "node long, bit int, n0 long, n1 long"
     sums = dealt.mapInArrow(_sums(depth), f"{kind}, below double").groupBy("node", "bit").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
     nodes = staged(sums.mapInArrow(_weights, f"{kind}, both double, share double"), "nodes")
@@ -212,7 +212,7 @@ def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     top = _top(first.collect())
     pairs = nodes.select(F.col("node").bitwiseAND(low).alias("pair"), "node", "bit", "n0", "n1", "share")
     both = pairs.unionByName(grams.withColumn("pair", F.shiftright("key", near)), allowMissingColumns=True)
-    return both.repartition(parts, "pair").sortWithinPartitions("pair", F.col("bit").isNull(), "key").mapInArrow(_logs(depth, top), "key long, log double")
+    return both.repartition(tasks, "pair").sortWithinPartitions("pair", F.col("bit").isNull(), "key").mapInArrow(_logs(depth, top), "key long, log double")
 
 
 def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
@@ -262,7 +262,7 @@ _COLUMNS = "held_out boolean, n_tokens long, n_known long, train_tokens long, ba
 
 
 def _score(depth: int, tokens: int, distinct: int, id_type: pa.DataType):
-    def score(held: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def part(held: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = lowered(rows.column("text").to_pylist())
         places, logs = held[GRAM]
         grams, first = grams_of(texts, depth)
@@ -278,6 +278,10 @@ def _score(depth: int, tokens: int, distinct: int, id_type: pa.DataType):
         columns = [rows.column("doc_id"), pa.array(held_out), pa.array(sizes + 1), pa.array(known), pa.array(np.full(len(texts), tokens)), pa.array(base), pa.array(scores)]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
+    def score(held: dict, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for some in parts(rows):
+            yield part(held, some)
+
     return score
 
 
@@ -305,4 +309,4 @@ def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_co
     seen = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     logs = gram_logs(totals(blocks, GRAM), depth)
     values = words.select(F.lit(WORD).alias("kind"), "key", F.col("n").cast("double").alias("value")).unionByName(logs.select(F.lit(GRAM).alias("kind"), "key", F.col("log").alias("value")))
-    return with_values(blocks, values, _score(depth, seen.n or 0, seen.v or 0, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {_COLUMNS}")
+    return with_values(blocks, values, lambda keys, value: (Places(keys), value), _score(depth, seen.n or 0, seen.v or 0, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, {_COLUMNS}")
