@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .functions import names, programs, sets
 from .operators import access, duplicates, edits
 from .plans import query as q
+from .plans.bitmaps import BitmapSearch
 from .plans.collection import NAMESPACES, PRICE, QUANTITY, TRASH_EVERY, Star
 from .plans.search import Search
-from .queries import _APPLIED, _AS, _FOUND, _SP, F_, FLAGSHIP, RETURNED, SQL, URGENT, N, T, U, _flagship, _has, _pairs, _star, _with, search
+from .queries import _APPLIED, _AS, _FOUND, _SP, F_, FLAGSHIP, RETURNED, SEARCHES, SQL, URGENT, N, T, U, _flagship, _has, _pairs, _star, _with, search
 from .queries import I as AND
 from .sources import archives
 from .sources.staging import new_path
@@ -35,6 +36,18 @@ _star("s8_point_list", lambda s: s.tags("status", "brand").where(F.col("Tag_ID")
 _star("s9_services", lambda s: s.collection("status", "brand").tags.select("Local_Tag_Service_ID").distinct(), _with("status", "brand") + 'SELECT DISTINCT CAST(CASE WHEN tag < 103000 THEN 1 ELSE 2 END AS INTEGER) AS "Local_Tag_Service_ID" FROM p')
 _star("p9_wanted_fields", lambda s: access.wanted(s.taggables(), ["Taggable_ID", "Service_ID"]), 'SELECT o_orderkey AS "Taggable_ID", CAST(o_orderkey % 3 AS INTEGER) AS "Service_ID" FROM orders')
 
+# The same searches, and counts, from posting lists of bits.
+
+
+def _bitmap(name: str) -> None:
+    node, spaces, options = SEARCHES[name]
+    _star(f"{name}_bitmap", lambda s: BitmapSearch(s.collection(*spaces), **options).run(node), SQL[name])
+
+
+for _name in "o1_union o2_intersect o3_complement o4_difference o5_xor o7_nested o8_constants s1_universe s2_empty s3_tag_scan s4_literal_list p2_lookup_in_service p5_metric_gt p6_with_trash p7_service_scope c_combined c_complement".split():
+    _bitmap(_name)
+_star("o8_cardinality_bitmap", lambda s: BitmapSearch(s.collection(*_SP)).count(N(U(T(F_), T(URGENT)))), SQL["o8_cardinality"])
+
 # Facts and edits.
 _FACTS = f"SELECT DISTINCT x AS \"Lookup_Name\", id AS \"Taggable_ID\" FROM (SELECT 'system:has local metric:' || metric AS x, id FROM ({_APPLIED}) UNION ALL SELECT 'system:has metric from local metric service:' || metric, id FROM ({_APPLIED}))"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.bitmaps import counts_of
 from ..plans.collection import Collection
 
 
@@ -13,13 +14,13 @@ def group_counts(groups: DataFrame, pairings: DataFrame, found: DataFrame | None
 
     groups: group_id, Tag_ID. found: Taggable_ID; None counts over all pairings.
     """
-    return _counted(groups.select("group_id", "Tag_ID").distinct(), ["group_id"], pairings, found)
+    counts = counts_of(groups.select(F.col("group_id").alias("gid"), "Tag_ID"), pairings, found)
+    return _with_counts(groups.select("group_id").distinct(), "group_id", counts)
 
 
-def _counted(groups: DataFrame, keys: list[str], pairings: DataFrame, found: DataFrame | None) -> DataFrame:
-    """groups (keys, Tag_ID, ...) by their keys with the count of distinct taggables; every table is read once."""
-    held = pairings if found is None else pairings.join(found, "Taggable_ID", "left_semi")
-    return groups.join(held, "Tag_ID", "left").groupBy(keys).agg(F.count_distinct("Taggable_ID").alias("count"))
+def _with_counts(groups: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """groups with the counts of those that have one, 0 for the others."""
+    return groups.join(counts, F.col(key) == F.col("gid"), "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))).drop("gid")
 
 
 def tag_groups(c: Collection, services: list[int] | None = None) -> DataFrame:
@@ -35,12 +36,11 @@ def tag_groups(c: Collection, services: list[int] | None = None) -> DataFrame:
     return named.groupBy("Namespaces", "Lookup_Name").agg(F.array_sort(F.collect_set("Tag_ID")).alias("tag_ids")).select("Namespaces", "Lookup_Name", shown.alias("Display_Name"), "tag_ids")
 
 
-_GROUP = ["Namespaces", "Lookup_Name", "Display_Name", "tag_ids"]
-
-
 def service_counts(c: Collection, services: list[int] | None, found: DataFrame | None = None) -> DataFrame:
-    """Tag groups of services with the count of the taggables found that carry them."""
-    return _counted(tag_groups(c, services).withColumn("Tag_ID", F.explode("tag_ids")), _GROUP, c.pairings, found)
+    """Tag groups of services with the count of the taggables found that carry them. A group is known by its least tag, as a tag is in one group."""
+    groups = tag_groups(c, services).withColumn("least", F.get("tag_ids", F.lit(0)))
+    counts = counts_of(groups.select(F.col("least").alias("gid"), F.explode("tag_ids").alias("Tag_ID")), c.pairings, found)
+    return _with_counts(groups, "least", counts).drop("least")
 
 
 def namespace_counts(c: Collection, namespace_id: int, found: DataFrame | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def tags_of(ids: DataFrame, pairings: DataFrame, tags: DataFrame | None = None)
 def groups_of(ids: DataFrame, c: Collection, services: list[int]) -> DataFrame:
     """(Taggable_ID, groups): display names of the distinct tag groups of each id within services, sorted."""
     groups = tag_groups(c, services).select("Display_Name", F.explode("tag_ids").alias("Tag_ID"))
-    held = c.pairings.join(ids, "Taggable_ID", "left_semi").join(groups, "Tag_ID").groupBy("Taggable_ID").agg(F.array_sort(F.collect_set("Display_Name")).alias("groups"))
+    held = c.pairings.join(ids.select("Taggable_ID").distinct(), "Taggable_ID").join(groups, "Tag_ID").groupBy("Taggable_ID").agg(F.array_sort(F.collect_set("Display_Name")).alias("groups"))
     return ids.select("Taggable_ID").distinct().join(held, "Taggable_ID", "left").select("Taggable_ID", F.coalesce("groups", F.array().cast("array<string>")).alias("groups"))
 
 

@@ -14,6 +14,7 @@ from .plans.collection import FIRST_TAG, NAMESPACES, PRICE, QUANTITY, TRASH_EVER
 from .plans.search import Search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SEARCHES: dict[str, tuple] = {}  # (query, namespaces, options) of those registered as searches
 SQL: dict[str, str] = {}
 
 F_, O_ = FIRST_TAG["status"] + ord("F"), FIRST_TAG["status"] + ord("O")
@@ -60,6 +61,7 @@ def search(name: str, node: q.Node, spaces: tuple[str, ...], where: str, univers
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return Search(Star(spark, sf_dir).collection(*spaces), user=user, **options).run(node)
 
+    SEARCHES[name] = (node, spaces, {"user": user} | options)
     register(name, run, _with(*spaces, **(more or {})) + f"SELECT id AS \"Taggable_ID\" FROM {universe} WHERE {where}")
 
 
