@@ -14,8 +14,8 @@ def intersect_all(arrays: list[Column]) -> Column:
 
 
 def merged(maps: list[Column]) -> Column:
-    """All keys of the maps; of a key that several have, the value of the last."""
-    return reduce(lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x)), maps)
+    """All keys of the maps; of a key that several have, the value of the last, even if that is null."""
+    return reduce(lambda a, b: F.map_zip_with(a, b, lambda k, x, y: F.when(F.map_contains_key(b, k), y).otherwise(x)), maps)
 
 
 def toggled(values: Column, x: Column) -> Column:

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import names, programs, sets
-from .operators import access, duplicates, edits
+from .operators import access, duplicates, edits, imports, stored
 from .plans import query as q
-from .plans.bitmaps import BitmapSearch
+from .plans.bitmaps import BitmapSearch, counts_of
 from .plans.collection import NAMESPACES, PRICE, QUANTITY, TRASH_EVERY, Star
 from .plans.search import Search
 from .queries import _APPLIED, _AS, _FOUND, _SP, F_, FLAGSHIP, RETURNED, SEARCHES, SQL, URGENT, N, T, U, _flagship, _has, _pairs, _star, _with, search
 from .queries import I as AND
 from .sources import archives
-from .sources.staging import new_path
+from .sources.staging import new_path, staged
 
 # Searches built from what was typed, selected and enumerated.
 
@@ -107,6 +108,48 @@ def _m12(s: Star) -> DataFrame:
 
 _star("m12_import", _m12, "SELECT p_brand AS \"Lookup_Name\", 'brand' AS namespace, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT p_type, '', count(*) FROM part GROUP BY 1")
 _star("m12_import_dates", lambda s: edits.import_chunk(s.collection("status"), _sidecars(s), 9, 5)[1]["dates"].agg(F.count("*").alias("n"), F.count_distinct("Taggable_ID").alias("ids"), F.min("Taggable_ID").alias("low"), F.sum("Taggable_Created_Date").alias("total")), "SELECT count(*) AS n, count(*) AS ids, (SELECT max(o_orderkey) + 1 FROM orders) AS low, sum(p_size) AS total FROM part")
+
+
+def _importables(s: Star) -> DataFrame:
+    """Parts as files of two services: a hash, an extension, a tag with a namespace, a metric, an address, a note and dates; every tenth row twice."""
+    p = s.table("part").withColumn("twice", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    tag = lambda c, space: F.struct(F.lit(9).alias("Local_Tag_Service_ID"), F.col(c).alias("Lookup_Name"), F.lit("parts").alias("Source_Name"), F.col(c).alias("Display_Name"), F.array(*map(F.lit, space)).cast("array<string>").alias("Namespaces"))
+    return p.select(
+        F.sha2(F.col("p_partkey").cast("string"), 256).alias("File_Hash"), F.lit(".JPEG").alias("File_Extension"), F.col("p_name").alias("Taggable_Name"), (5 + F.col("p_partkey") % 2).cast("int").alias("Service_ID"),
+        F.array(tag("p_brand", ["brand"]), tag("p_type", [])).alias("Tags"),
+        F.array(F.struct(F.lit(PRICE).alias("Local_Metric_ID"), F.lit(1).cast("long").alias("User_ID"), F.col("p_retailprice").cast("double").alias("Applied_Value"))).alias("Metrics"),
+        F.array(F.struct(F.concat(F.lit("http://parts/"), F.col("p_partkey").cast("string")).alias("url"), F.when(F.col("p_partkey") % 2 == 0, "page").alias("association"))).alias("URLs"),
+        F.array(F.struct(F.lit("made").alias("association"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("note"))).alias("Notes"), *(F.col("p_size").cast("long").alias(d) for d in imports.DATES),
+    )
+
+
+def _imported(s: Star) -> imports.Archive:
+    """Imported twice: the second time changes nothing."""
+    once = imports.import_files(imports.Archive.of(s.collection("status")), _importables(s))
+    return imports.import_files(once, _importables(s))
+
+
+def _import_sizes(s: Star) -> DataFrame:
+    a = _imported(s)
+    held = {"files": a.files, "taggable_files": a.taggable_files, "notes": a.notes, "dates": a.dates, "taggables": a.collection.taggables.where("Service_ID >= 5"), "brands": a.collection.tags.where("Local_Tag_Service_ID = 9"), "applied": a.collection.applied_metrics.join(a.taggable_files, "Taggable_ID", "left_semi")}
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k, df in held.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _import_facts(s: Star) -> DataFrame:
+    """Names of system tags, up to what tells files apart, with how many imported taggables have them."""
+    a = _imported(s)
+    mine = a.collection.tags.where(F.col("Source_Name") == names.SYSTEM_SOURCE).select("Tag_ID", F.regexp_replace("Lookup_Name", "(hash:|parts/)[0-9a-f]+|(value:|metric:).*", "$1$2").alias("fact"))
+    return a.collection.pairings.join(a.taggable_files, "Taggable_ID", "left_semi").join(mine, "Tag_ID").groupBy("fact").agg(F.count("*").alias("n"))
+
+
+_star("m12_import_twice", _import_sizes, """SELECT unnest(['files', 'taggable_files', 'notes', 'dates', 'taggables', 'applied']) AS what, (SELECT count(*) FROM part) AS n UNION ALL SELECT 'brands', (SELECT count(DISTINCT p_brand) + count(DISTINCT p_type) FROM part)""")
+_star("m12_import_facts", _import_facts, """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 2 = 0) AS even FROM part)
+SELECT 'system:has file hash:' AS fact, n FROM n UNION ALL SELECT 'system:has file extension:.jpg', n FROM n UNION ALL SELECT 'system:has url:http://parts/', n FROM n UNION ALL SELECT 'system:has url with association:http://parts/ with' || chr(1) || ' page', even FROM n
+UNION ALL SELECT 'system:in local taggable service:5', even FROM n WHERE even > 0 UNION ALL SELECT 'system:in local taggable service:6', n - even FROM n WHERE n > even
+UNION ALL SELECT 'system:has local metric:', n FROM n UNION ALL SELECT 'system:applied metric:', n FROM n UNION ALL SELECT 'system:has metric from local metric service:1', n FROM n""")
+
+
 def _shapes() -> Column:
     return F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(":"), "p_name")).otherwise(F.concat_ws(":", "p_type", "p_name", F.lit("x")))
 
@@ -226,6 +269,51 @@ _star("f6_now", lambda s: s.table("region").select("r_regionkey", (F.abs(names.n
 _star("f7_lines", lambda s: s.table("documents").select("doc_id", F.array_join(archives.lines(F.col("text")), "|").alias("x")).select("doc_id", F.md5("x").alias("lines")), "SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(x)), '|')) AS lines FROM documents")
 _star("f8_dates", lambda s: s.table("part").select("p_partkey", archives.epoch(F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit(" -")).otherwise(F.lit("at ")), F.col("p_size").cast("string"), F.lit("\n"))).alias("date")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(-p_size AS BIGINT) END AS date FROM part")
 
+# Pairings in buckets, and counts that follow edits.
+
+
+def _some(s: Star) -> DataFrame:
+    """Pairs to edit with: those of status F whose order's number is odd, and as many that no one has."""
+    odd = s.pairings("status").where((F.col("Tag_ID") == F_) & (F.col("Taggable_ID") % 2 == 1))
+    return odd.unionByName(odd.withColumn("Tag_ID", F.lit(7).cast("long")))
+
+
+_KINDS = {
+    "insert": 'SELECT tag AS "Tag_ID", id AS "Taggable_ID" FROM p UNION SELECT * FROM e',
+    "delete": 'SELECT tag AS "Tag_ID", id AS "Taggable_ID" FROM p EXCEPT SELECT * FROM e',
+    "toggle": '(SELECT tag AS "Tag_ID", id AS "Taggable_ID" FROM p EXCEPT SELECT * FROM e) UNION ALL (SELECT * FROM e EXCEPT SELECT tag, id FROM p)',
+}
+_EDIT = {"e": f"SELECT tag, id FROM p WHERE tag = {F_} AND id % 2 = 1 UNION ALL SELECT 7, id FROM p WHERE tag = {F_} AND id % 2 = 1"}
+
+
+def _bucketed(kind: str) -> Callable[[Star], DataFrame]:
+    def run(s: Star) -> DataFrame:
+        table = stored.Bucketed(s.spark, new_path(s.spark, "pairings"), 32).create(s.pairings("status", "priority"))
+        table.edit(_some(s), kind)
+        return table.read()
+
+    return run
+
+
+for _kind, _sql in _KINDS.items():
+    _star(f"m_{_kind}_in_buckets", _bucketed(_kind), _with(*_SP, **_EDIT) + _sql)
+
+
+def _kept_counts(s: Star) -> DataFrame:
+    """Counts of two groups after an insert, a delete and a toggle, none of which counts anew."""
+    groups = s.spark.createDataFrame([("done", F_), ("done", 7), ("urgent", URGENT)], "gid string, Tag_ID long")
+    table = stored.Bucketed(s.spark, new_path(s.spark, "pairings"), 32).create(s.pairings("status", "priority"))
+    held, counts = stored.multiplicities(groups, table.read()), counts_of(groups, table.read())
+    held, counts = staged(held, "held"), staged(counts, "counts")
+    for kind, pairs in (("insert", _some(s)), ("delete", s.pairings("status").where("Taggable_ID % 3 = 0")), ("toggle", s.pairings("priority").where("Taggable_ID % 5 = 0"))):
+        held, changes = stored.count_changes(held, groups, table.edit(pairs, kind))
+        held, counts = staged(held, "held"), stored.add_counts(counts, changes)
+    return counts.select(F.col("gid").alias("group_id"), "count")
+
+
+_star("a_kept_counts", _kept_counts, _with(*_SP, **_EDIT) + f"""SELECT 'done' AS group_id, count(DISTINCT id) AS count FROM (SELECT tag, id FROM p WHERE tag = {F_} AND id % 3 <> 0 UNION SELECT 7, id FROM e)
+UNION ALL SELECT 'urgent', count(*) FROM p WHERE tag = {URGENT} AND id % 5 <> 0""")
+
 # Permissions and cursors.
 _NAMED = AND(T(F_), T(RETURNED), q.Compare(">", QUANTITY, 10.0), q.HasMetric(PRICE))
 
@@ -247,6 +335,18 @@ def _checked(s: Star) -> DataFrame:
 
 
 _star("u1_checked_search", _checked, _with(*_SP, found=_FOUND) + 'SELECT id AS "Taggable_ID" FROM found WHERE id % 3 IN (0, 2)')
+def _refusals(s: Star) -> DataFrame:
+    """May nation 3's user read the tags and taggables of some orders, write metrics, and import?"""
+    c = s.collection("status", "flag")
+    request = access.Request(tags=c.tags.select("Tag_ID").unionByName(s.spark.createDataFrame([(5,)], "Tag_ID long")), taggables=c.taggables.where("Taggable_ID % 10 = 1").select("Taggable_ID"), files=s.table("part").select(F.col("p_partkey").alias("File_ID")))
+    granted = s.table("region").select((F.col("r_regionkey") % 3).cast("int").alias("Service_ID"), F.lit(3).cast("long").alias("User_ID"), F.when(F.col("r_regionkey") < 2, access.READ_TAGS).otherwise(access.READ_TAGGABLES).alias("Permission"))
+    of_parts = s.table("lineitem").where("l_partkey % 7 <> 0").select(F.col("l_partkey").alias("File_ID"), F.col("l_orderkey").alias("Taggable_ID"))
+    return access.refusals(c, request, [access.READ_TAGS, access.READ_TAGGABLES, access.APPLY_METRIC, "A.Import"], granted, access.User(3), of_parts)
+
+
+# Tags may be read in services 0 and 1, taggables in 2, 0 and 1 (regions 2, 3 and 4).
+_star("u1_refusals", _refusals, _with("status", "flag", more="SELECT p_partkey AS f, count(o_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_partkey % 7 <> 0 LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY 1") + """SELECT CAST(NULL AS VARCHAR) AS scope, 'admin' AS kind, 'A.Import' AS id, 'refused' AS reason
+UNION ALL SELECT 'tag', 'Tag_ID', '5', 'missing' UNION ALL SELECT 'tag', 'service', '2', 'refused' UNION ALL SELECT 'metric', 'scope', 'metric', 'unchecked' UNION ALL SELECT 'taggable', 'File_ID', CAST(f AS VARCHAR), 'missing' FROM more WHERE n = 0""")
 _star("u4_sudo", lambda s: access.visible_services(s.table("nation").select(F.col("n_nationkey").alias("Service_ID")), _grants(s), access.User(7, sudo=True), [access.READ_TAGS]), 'SELECT n_nationkey AS "Service_ID" FROM nation')
 _star("u6_reselect", lambda s: (c := access.Cursors()).get(c.reselect(c.add(_flagship(s, *_SP)[1]), s.taggables().where("Service_ID = 1"), "Taggable_ID")), _with(*_SP, found=_FOUND) + 'SELECT id AS "Taggable_ID" FROM found WHERE id % 3 = 1')
 _star("j12_outside", lambda s: access.outside_ids(s.taggables().where("Service_ID = 1"), _flagship(s, *_SP)[1], "Taggable_ID"), _with(*_SP, found=_FOUND) + 'SELECT id AS "Taggable_ID" FROM u WHERE id % 3 = 1 AND id NOT IN (SELECT id FROM found)')

@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,12 @@ ADMIN = {
 }
 
 
+# The kind of service whose objects a permission is about; administrative ones are about none.
+SCOPES = {"LTS": "tag", "LTgbS": "taggable", "LMS": "metric", "LDS": "downloader"}
+CATALOGUE = {p: SCOPES[p.split(".")[0]] for p in (CREATE_TAGS, READ_TAGS, APPLY_TAGS, DELETE_TAGS, CREATE_TAGGABLES, READ_TAGGABLES, UPDATE_TAGGABLES, TRASH_TAGGABLES, CREATE_METRIC, READ_METRIC, UPDATE_METRIC, DELETE_METRIC, APPLY_METRIC, CREATE_PARSER)}
+CATALOGUE |= dict.fromkeys(ADMIN)
+
+
 @dataclass(frozen=True)
 class User:
     user_id: int
@@ -107,6 +114,78 @@ def checked_search(search: Search, node: q.Node, granted: DataFrame, user: User)
     return search.run(node).join(visible_taggables(c.taggables, seen).select("Taggable_ID"), "Taggable_ID", "left_semi")
 
 
+@dataclass
+class Request:
+    """What a request is about: the services and objects that it names, each a DataFrame of ids; None names none.
+
+    tag_services, taggable_services, metric_services, downloader_services: Service_ID. tags: Tag_ID. taggables: Taggable_ID. metrics: Local_Metric_ID. files: File_ID.
+    """
+
+    tag_services: DataFrame | None = None
+    taggable_services: DataFrame | None = None
+    metric_services: DataFrame | None = None
+    downloader_services: DataFrame | None = None
+    tags: DataFrame | None = None
+    taggables: DataFrame | None = None
+    metrics: DataFrame | None = None
+    files: DataFrame | None = None
+
+
+MISSING, REFUSED, UNCHECKED = "missing", "refused", "unchecked"
+
+
+def refusals(c: Collection, request: Request, required: list[str], granted: DataFrame, user: User, taggable_files: DataFrame | None = None) -> DataFrame:
+    """(scope, kind, id, reason) of everything that speaks against a request; none if it may go on.
+
+    For each scope that the required permissions are about, the services named, and those of the tags, taggables or metrics named, must each
+    give the user all permissions of the scope, unless the user has them for all services. Files are readable by one of their taggables: a file
+    without any taggable of a service that gives all of them is refused. Objects that aren't there are missing. A scope of which the request
+    names nothing is unchecked, which refuses it too. Administrative permissions must be the user's own (kind `admin`).
+
+    granted: Service_ID, User_ID, Permission. taggable_files: File_ID, Taggable_ID.
+    """
+    spark = granted.sparkSession
+    by_scope: dict[str, list[str]] = {}
+    out = [spark.createDataFrame([(None, "admin", p, REFUSED) for p in user.needs([p for p in required if CATALOGUE[p] is None])], "scope string, kind string, id string, reason string")]
+    for p in required:
+        if CATALOGUE[p]:
+            by_scope.setdefault(CATALOGUE[p], []).append(p)
+    objects = {
+        "tag": (request.tag_services, request.tags, "Tag_ID", lambda: c.tags.select("Tag_ID", F.col("Local_Tag_Service_ID").alias("Service_ID"))),
+        "taggable": (request.taggable_services, request.taggables, "Taggable_ID", lambda: c.taggables.select("Taggable_ID", "Service_ID")),
+        "metric": (request.metric_services, request.metrics, "Local_Metric_ID", lambda: c.metrics.select("Local_Metric_ID", F.col("Local_Metric_Service_ID").alias("Service_ID"))),
+        "downloader": (request.downloader_services, None, "", lambda: None),
+    }
+    told = lambda df, scope, kind, key, reason: df.select(F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.lit(reason).alias("reason"))
+    for scope, permissions in by_scope.items():
+        services, ids, key, table = objects[scope]
+        files = request.files if scope == "taggable" else None
+        if services is None and ids is None and files is None:
+            out.append(spark.createDataFrame([(scope, "scope", scope, UNCHECKED)], "scope string, kind string, id string, reason string"))
+            continue
+        named = None if services is None else services.select(F.col("Service_ID").cast("long").alias("Service_ID"))
+        if ids is not None:
+            held = ids.select(key).distinct().join(table(), key, "left")
+            out.append(told(held.where("Service_ID is null"), scope, key, key, MISSING))
+            theirs = held.where("Service_ID is not null").select(F.col("Service_ID").cast("long").alias("Service_ID"))
+            named = theirs if named is None else named.unionByName(theirs)
+        if named is not None:
+            named = named.distinct()
+            out.append(told(named.join(visible_services(named, granted, user, permissions), "Service_ID", "left_anti"), scope, "service", "Service_ID", REFUSED))
+        if files is not None:
+            of_files = files.select("File_ID").distinct().join(taggable_files.select("File_ID", "Taggable_ID"), "File_ID", "left").join(c.taggables.select("Taggable_ID", "Service_ID"), "Taggable_ID", "left")
+            given = visible_services(c.taggables.select("Service_ID").distinct(), granted, user, permissions).select(F.col("Service_ID").alias("given"))
+            judged = of_files.join(given, F.col("Service_ID") == F.col("given"), "left").groupBy("File_ID").agg(F.count("Service_ID").alias("n"), F.count("given").alias("readable"))
+            out += [told(judged.where("n = 0"), scope, "File_ID", "File_ID", MISSING), told(judged.where("n > 0 and readable = 0"), scope, "File_ID", "File_ID", REFUSED)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def allow(*args, **options) -> None:
+    """Raises Forbidden if refusals() finds anything."""
+    if (r := refusals(*args, **options).first()) is not None:
+        raise Forbidden(f"{r.reason}: {r.kind} {r.id}")
+
+
 def visible_taggables(taggables: DataFrame, services: DataFrame) -> DataFrame:
     return taggables.join(services, "Service_ID", "left_semi")
 

@@ -193,13 +193,14 @@ def update_rows(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def import_chunk(c: Collection, sidecars: DataFrame, service: int, taggable_service: int) -> tuple[Collection, dict[str, DataFrame]]:
     """The collection with what sidecars (as read_sidecars gives them) bring, and their notes, urls and dates by taggable.
 
-    Taggables and tags get ids by upserts (tags by service, name and source); namespaces of one tag are put together.
+    Taggables and tags get ids by upserts (tags by service, name and source); namespaces of one tag are put together. A taggable is
+    known by its file's name if c.taggables has a column `name`, as it has after an import: the same sidecars again change nothing.
     """
     made = import_tables(sidecars, service)
-    known = c.taggables.withColumn("name", F.lit(None).cast("string"))
+    known = c.taggables if "name" in c.taggables.columns else c.taggables.withColumn("name", F.lit(None).cast("string"))
     fresh = made["taggables"].select(F.lit(None).cast("long").alias("Taggable_ID"), F.lit(taggable_service).alias("Service_ID"), F.lit(False).alias("In_Trash"), "name")
-    taggables = staged(upsert(known, fresh, ["name"], "Taggable_ID", "name"), "taggables")
-    ids = taggables.where("name is not null").select("name", "Taggable_ID")
+    taggables = staged(upsert(known.select("Taggable_ID", "Service_ID", "In_Trash", "name"), fresh, ["name"], "Taggable_ID", "name"), "taggables")
+    ids = taggables.join(made["taggables"].select("name").distinct(), "name").select("name", "Taggable_ID")
     new = made["tags"].select(F.lit(None).cast("long").alias("Tag_ID"), F.col("Local_Tag_Service_ID"), "Lookup_Name", F.lit("import").alias("Source_Name"), F.col("Lookup_Name").alias("Display_Name"))
     tags = staged(upsert(c.tags, new, ["Local_Tag_Service_ID", "Lookup_Name", "Source_Name"], "Tag_ID", "Lookup_Name"), "tags")
     mine = tags.where((F.col("Local_Tag_Service_ID") == service) & (F.col("Source_Name") == "import")).select("Tag_ID", "Lookup_Name")
@@ -208,7 +209,7 @@ def import_chunk(c: Collection, sidecars: DataFrame, service: int, taggable_serv
     namespaces = staged(upsert(c.namespaces, unknown, ["Namespace_Name"], "Namespace_ID", "Namespace_Name").withColumn("Namespace_ID", F.col("Namespace_ID").cast("int")), "namespaces")
     spaces = spaces.join(namespaces, "Namespace_Name").select("Tag_ID", "Namespace_ID")
     pairs = made["pairs"].withColumnRenamed("tag", "Lookup_Name").join(mine, "Lookup_Name").join(ids, "name").select(PAIR)
-    c = c.with_(taggables=taggables.drop("name"), tags=tags, namespaces=namespaces, tags_namespaces=c.tags_namespaces.unionByName(spaces).distinct(), pairings=insert_pairs(c.pairings, pairs))
+    c = c.with_(taggables=taggables, tags=tags, namespaces=namespaces, tags_namespaces=c.tags_namespaces.unionByName(spaces).distinct(), pairings=insert_pairs(c.pairings, pairs))
     by_id = {k: made[k].join(ids, "name").drop("name") for k in ("notes", "urls")}
     return c, by_id | {"dates": made["taggables"].join(ids, "name").drop("name", "extension")}
 
