@@ -195,6 +195,17 @@ _star("s12_backup_layout", _backup_counts, f"""SELECT 0 AS "Type", 3 AS n, 0 AS
 UNION ALL SELECT 4, count(*), 2 * count(*), (SELECT count(*) FROM ({_APPLIED})) FROM orders""")
 _star("s11_backup_files", lambda s: _backup(s).where(F.col("Type") == archives.FILE).select("File_ID", F.array_join(F.transform("Tags", lambda t: F.concat_ws(":", F.get(t["Namespaces"], F.lit(0)), t["Lookup_Name"])), ",").alias("tags")), "SELECT o_orderkey AS \"File_ID\", 'priority:' || o_orderpriority || ',status:' || o_orderstatus AS tags FROM orders")
 
+
+
+def _export(s: Star) -> DataFrame:
+    """Line items as one array with delimiters, written in ranges and read by its delimiters."""
+    folder = new_path(s.spark, "export")
+    archives.write_export(s.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity")), ["l_orderkey", "l_linenumber"], folder)
+    return archives.read_export(s.spark, folder, "l_orderkey long, l_linenumber int, l_quantity double")
+
+
+_star("s12_export", _export, "SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem")
+
 # Files and sets.
 _star("g1_pixel_hash", lambda s: s.table("documents").select("doc_id", duplicates.pixel_hash(F.col("text").cast("binary"), 1 + F.col("doc_id") % 2).alias("pixels")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS pixels FROM documents")
 
@@ -211,6 +222,18 @@ _star("g13_exact_verdicts", _exact_verdicts, """SELECT 'duplicates-with-same-qua
 LEFT JOIN labels x ON x.doc_id = a.doc_id LEFT JOIN labels y ON y.doc_id = b.doc_id WHERE NOT coalesce(x.quality = y.quality, false)""")
 
 
+def _shares(s: Star) -> DataFrame:
+    """Labels as images, their embeddings as descriptors."""
+    d = s.table("embeddings").select(F.col("label").alias("image"), F.col("vec_id").alias("at"), F.col("embedding").alias("vector"))
+    labels = s.table("embeddings").select("label").distinct()
+    pairs = labels.select(F.col("label").alias("a"), F.explode(F.sequence(F.col("label") + 1, F.col("label") + 3)).alias("b"))
+    return duplicates.descriptor_shares(d, pairs, block=32, ratio=0.95).select("a", "b", F.round("share", 9).alias("share"))
+
+
+_star("g4_descriptor_shares", _shares, """WITH e AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT x.label AS a, y.label AS b, x.vec_id AS k, list_distance(x.v, y.v) AS d FROM e x JOIN e y ON y.label BETWEEN x.label + 1 AND x.label + 3),
+t AS (SELECT a, b, k, min(d) AS d1, list_sort(list(d))[2] AS d2 FROM d GROUP BY a, b, k) SELECT a, b, round(avg(CASE WHEN d1 > 0.95 * d2 THEN 1.0 ELSE 0.0 END), 9) AS share FROM t WHERE d2 IS NOT NULL GROUP BY a, b""")
+
+
 def _o9(s: Star) -> DataFrame:
     words, more = F.split("p_name", " "), F.split(F.concat_ws(" ", "p_type", "p_name"), " ")
     merged = sets.merged([F.create_map(F.lit("a"), F.col("p_size").cast("long"), F.lit("b"), F.lit(1).cast("long")), F.create_map(F.lit("b"), F.col("p_partkey"))])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -58,6 +61,39 @@ def descriptor_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def descriptor_shares(descriptors: DataFrame, pairs: DataFrame, block: int = 256, ratio: float = 0.7) -> DataFrame:
+    """(a, b, share) for pairs (a, b) of images: as descriptor_distance, of images with any number of descriptors.
+
+    descriptors: image, at (tells an image's apart), vector (array of numbers, all of one length). Those of an image are dealt into blocks, every block of a
+    meets every block of b, and gives the two nearest of each of a's descriptors; the least two of all blocks are its two nearest. So a
+    task holds two blocks, and as many rows are shuffled as a has descriptors for each block of b. Pairs with an image that has no
+    descriptor, or of which b has but one, have no row. Nulls are left out.
+    """
+    whole = descriptors.select("image", "at", F.col("vector").cast("array<double>").alias("vector")).dropna()
+    counts = whole.groupBy("image").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    packed = whole.join(counts, "image").groupBy("image", F.pmod(F.xxhash64("at"), "blocks").alias("block")).agg(F.collect_list(F.struct("at", "vector")).alias("held"))
+    side = lambda n: packed.select(F.col("image").alias(n), F.col("held").alias(f"held_{n}"))
+    met = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    kinds = {c: met.schema[c].dataType.simpleString() for c in ("a", "b")} | {"at": whole.schema["at"].dataType.simpleString()}
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(f"held_{n}")[row].values.flatten() for n in ("a", "b")]
+                x, y = (v.flatten().to_numpy().reshape(len(at), -1) for at, v in sides)
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+                two = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1) if d.shape[1] > 1 else np.hstack([d, np.full_like(d, np.inf)])
+                n, at = len(x), sides[0][0]
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array([row] * n)), batch.column("b").take(pa.array([row] * n)), at, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b", "at", "first", "second"])
+
+    found = met.mapInArrow(nearest, f"a {kinds['a']}, b {kinds['b']}, at {kinds['at']}, first double, second double")
+    two = F.slice(F.array_sort(F.flatten(F.collect_list(F.array("first", "second")))), 1, 2)
+    each = found.groupBy("a", "b", "at").agg(two.alias("two")).select("a", "b", F.get("two", F.lit(0)).alias("d1"), F.get("two", F.lit(1)).alias("d2")).where(F.col("d2") < float("inf"))
+    return each.groupBy("a", "b").agg(F.avg((F.col("d1") > ratio * F.col("d2")).cast("double")).alias("share"))
+
+
 def hamming_classes(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """What is near what, without the pairs of files: (members, links). Building them runs jobs: the distinct hashes are written and counted.
 
@@ -127,14 +163,22 @@ def closure(pairs: DataFrame) -> DataFrame:
 
 
 def merge_groups(stored: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stored groups (File_ID, group_id) with new pairs: groups that come together keep the id of the one with most stored members, of equals the largest id; new groups take their least file's id, negated."""
-    ties = stored.select(F.col("File_ID").alias("File_ID_1"), F.col("File_ID").alias("File_ID_2"))
-    least = stored.groupBy("group_id").agg(F.min("File_ID").alias("File_ID_1"))
-    ties = ties.unionByName(stored.join(least, "group_id").select("File_ID_1", F.col("File_ID").alias("File_ID_2")))
-    together = closure(pairs.select("File_ID_1", "File_ID_2").unionByName(ties)).withColumnRenamed("group_id", "c")
-    sizes = stored.groupBy("group_id").agg(F.count("*").alias("n"))
-    named = together.join(stored, "File_ID").join(sizes, "group_id").groupBy("c").agg(F.max_by("group_id", F.struct("n", "group_id")).alias("named"))
-    return together.join(named, "c", "left").select("File_ID", F.coalesce("named", -F.col("c")).alias("group_id"))
+    """Stored groups (File_ID, group_id) with new pairs: groups that come together keep the id of the one with most stored members, of equals the largest id; new groups take their least file's id, negated.
+
+    A stored group is one node of the graph, so the closure runs over the new pairs alone, whatever is stored; only groups
+    that they name are counted, and members of others are not touched by any round.
+    """
+    node = lambda k: F.coalesce(2 * F.col(f"g{k}") + 1, 2 * F.col(f"File_ID_{k}")).alias(f"File_ID_{k}")  # noqa: E731  groups odd, files even
+    held = [stored.select(F.col("File_ID").alias(f"File_ID_{k}"), F.col("group_id").alias(f"g{k}")) for k in (1, 2)]
+    met = pairs.select("File_ID_1", "File_ID_2").distinct().join(held[0], "File_ID_1", "left").join(held[1], "File_ID_2", "left").select(node(1), node(2)).where("File_ID_1 <> File_ID_2").distinct()
+    found = closure(met).select(F.col("File_ID").alias("node"), F.col("group_id").alias("c"))
+    groups = found.where("node % 2 <> 0").select(((F.col("node") - 1) / 2).cast("long").alias("group_id"), "c")
+    sizes = stored.join(groups, "group_id").groupBy("group_id", "c").agg(F.count("*").alias("n"))
+    named = sizes.groupBy("c").agg(F.max_by("group_id", F.struct("n", "group_id")).alias("named"))
+    renamed = groups.join(named, "c").where("group_id <> named").select("group_id", "named")
+    old = stored.join(renamed, "group_id", "left").select("File_ID", F.coalesce("named", "group_id").alias("group_id"))
+    files = found.where("node % 2 = 0").join(named, "c", "left")
+    return old.unionByName(files.select((F.col("node") / 2).cast("long").alias("File_ID"), F.coalesce("named", (-F.col("c") / 2).cast("long")).alias("group_id")))
 
 
 def implied(pairs: DataFrame, groups: DataFrame) -> DataFrame:

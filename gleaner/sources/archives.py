@@ -33,23 +33,48 @@ def split_tag(c: Column) -> Column:
     return F.struct(F.when(at > 1, F.substr(c, F.lit(1), at - 1)).alias("namespace"), F.when(at > 1, F.substr(c, at + 1)).otherwise(c).alias("name"))
 
 
+_KIND = r"\.(" + "|".join(SIDECARS) + r")\.txt$"
+
+
 def read_sidecars(spark: SparkSession, folder: str, check: bool = True) -> DataFrame:
-    """A row for each media file of an unpacked archive with what its sidecars say.
+    """A row for each media file of an unpacked archive with what its sidecars say (see _sidecars).
 
-    Columns: name, extension, path, tags (array of namespace, name), notes, urls, and four dates in epoch seconds.
-    Thumbnails are left out, as are sidecars without a media file. Sidecars are read as text, media files only listed.
+    Sidecars are read as text, media files only listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    pattern = "*.{" + ",".join(SIDECARS) + "}.txt"
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    return _sidecars(files, texts.select(F.col("_metadata.file_path").alias("path"), "value"), check)
+
+
+def read_archive(spark: SparkSession, paths: str | list[str], check: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
+    """As read_sidecars, of a zip file that is not unpacked, or of one cut into volumes (.zip.001, .zip.002, ...).
+
+    The archive must be on a file system that all machines mount. Its directory tells what each task reads: about task_bytes of
+    packed sidecars. Media files are listed from the directory, never unpacked.
+    """
+    from .zips import ZipSource
+
+    spark.dataSource.register(ZipSource)
+    paths = [paths] if isinstance(paths, str) else paths
+    entries = spark.read.format("zip").option("paths", "\n".join(paths)).option("unpack", _KIND).option("taskBytes", str(task_bytes)).load()
+    return _sidecars(entries.select("path"), entries.where("content is not null").select("path", F.decode("content", "utf-8").alias("value")), check)
+
+
+def _sidecars(files: DataFrame, texts: DataFrame, check: bool) -> DataFrame:
+    """files (path) and the texts (path, value) of sidecars as rows of media files: name, extension, path, tags (array of
+    namespace, name), notes, urls, and four dates in epoch seconds.
+
+    Thumbnails are left out, as are sidecars without a media file.
+    """
     base = F.element_at(F.split("path", "/"), -1)
-    kind = F.regexp_extract("base", r"\.(" + "|".join(SIDECARS) + r")\.txt$", 1)
+    kind = F.regexp_extract("base", _KIND, 1)
     listed = files.select("path", base.alias("base")).where(~F.col("base").rlike(THUMBNAILS)).withColumn("kind", kind)
     media = listed.where("kind = ''")
     if check and not (twice := media.groupBy("base").count().where("count > 1")).isEmpty():
         raise DuplicateName(twice.first().base)
-    pattern = "*.{" + ",".join(SIDECARS) + "}.txt"
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    texts = texts.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("base"), "value").withColumn("kind", kind)
-    name = F.regexp_replace("base", r"\.(" + "|".join(SIDECARS) + r")\.txt$", "")
+    texts = texts.select(base.alias("base"), "value").withColumn("kind", kind)
+    name = F.regexp_replace("base", _KIND, "")
     sides = texts.select(name.alias("name"), "kind", "value").groupBy("name").pivot("kind", SIDECARS).agg(F.first("value"))
     joined = media.select(F.col("base").alias("name"), "path").join(sides, "name", "left")
     none = F.array().cast("array<string>")
@@ -88,9 +113,35 @@ def backup_items(taggable_services: DataFrame, tag_services: DataFrame, metric_s
     return [typed(taggable_services, TAGGABLE_SERVICE), typed(tag_services, TAG_SERVICE), typed(metric_services, METRIC_SERVICE), typed(metrics, METRIC), typed(held, FILE)]
 
 
-def delimited(items: Column) -> Column:
-    """Aggregate: rows of values (JSON items) as the one array that an export of a few items is, with delimiters between them."""
-    return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(items)), f',"{DELIMITER}",'), F.lit("]"))
+_BETWEEN = f',"{DELIMITER}",'
+
+
+def write_export(items: DataFrame, order: list[str], folder: str) -> None:
+    """Items as the one array that an export is, with delimiters between them: the files of begin, items and end, in order of their names, one after another.
+
+    `order` tells items apart. Ranges of it are written in parallel, so an export of any size has no task that sees all of it; every item
+    but the first brings the delimiter before it.
+    """
+    spark = items.sparkSession
+    least = items.agg(F.min(F.struct(*order)).alias("first")).first()["first"]  # one row
+    held = F.to_json(F.struct(*items.columns))
+    first = F.lit(True)
+    for c in order:
+        first = first & F.col(c).eqNullSafe(F.lit(None if least is None else least[c]))
+    rows = items.select(*order, F.when(first, held).otherwise(F.concat(F.lit(_BETWEEN), held)).alias("value"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(f"{folder}/items")
+    for name, sign in (("begin", "["), ("end", "]")):
+        spark.createDataFrame([(sign,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+
+
+def read_export(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Items of an export, be it one file or those that write_export leaves: delimiters end records, so one large file is read by many tasks.
+
+    The brackets around all items, white space and what is empty are left out.
+    """
+    text = spark.read.option("recursiveFileLookup", "true").option("lineSep", _BETWEEN).text(path)
+    item = F.regexp_replace(F.regexp_replace("value", r"^\s*\[?\s*", ""), r"\s*\]?\s*$", "")
+    return text.select(item.alias("item")).where("item <> ''").select(F.from_json("item", schema).alias("i")).select("i.*")
 
 
 def backup_lines(items: DataFrame) -> DataFrame:
@@ -105,9 +156,9 @@ def write_backup(parts: list[DataFrame], folder: str) -> None:
 
 
 def read_backup(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Items of a backup: lines as written here, or a line that is a JSON array whose items stand between delimiters."""
+    """Items of a backup as write_backup leaves it, one a line; a line may also be a whole array with delimiters, which one task reads (see read_export for large ones)."""
     text = spark.read.option("recursiveFileLookup", "true").text(path)
     body = F.trim("value")
-    inside = F.split(F.regexp_replace(body, r"^\[|\]$", ""), f',"{DELIMITER}",')
+    inside = F.split(F.regexp_replace(body, r"^\[|\]$", ""), _BETWEEN)
     items = text.select(F.explode(F.when(body.startswith("["), inside).otherwise(F.array(body))).alias("item")).where("trim(item) <> ''")
     return items.select(F.from_json("item", schema).alias("i")).select("i.*")
