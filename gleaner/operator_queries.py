@@ -16,8 +16,9 @@ from .plans.collection import NAMESPACES, PRICE, QUANTITY, TRASH_EVERY, Star
 from .plans.search import Search
 from .queries import _APPLIED, _AS, _FOUND, _SP, F_, FLAGSHIP, RETURNED, SEARCHES, SQL, URGENT, N, T, U, _flagship, _has, _pairs, _star, _with, search
 from .queries import I as AND
-from .sources import archives
+from .sources import archives, lookups
 from .sources.staging import new_path, staged
+from .streaming import compare
 
 # Searches built from what was typed, selected and enumerated.
 
@@ -49,6 +50,19 @@ for _name in "o1_union o2_intersect o3_complement o4_difference o5_xor o7_nested
     _bitmap(_name)
 _star("o8_cardinality_bitmap", lambda s: BitmapSearch(s.collection(*_SP)).count(N(U(T(F_), T(URGENT)))), SQL["o8_cardinality"])
 
+# Lookups in a sorted table of tags: the files that can hold what is asked for are read.
+_TAG = "Tag_ID long, Lookup_Name string"
+
+
+def _sorted_tags(s: Star) -> str:
+    folder = new_path(s.spark, "tags")
+    lookups.write_sorted(s.tags("part", "brand").select("Tag_ID", "Lookup_Name"), "Lookup_Name", folder)
+    return folder
+
+
+_star("p2_pruned_lookup", lambda s: lookups.lookup(s.spark, _sorted_tags(s), _TAG, "Lookup_Name", ["17", "Brand#12", "no such tag"]), _with("part", "brand") + """SELECT DISTINCT tag AS "Tag_ID", lookup AS "Lookup_Name" FROM p WHERE lookup IN ('17', 'Brand#12')""")
+_star("p10_pruned_prefix", lambda s: lookups.beginning(s.spark, _sorted_tags(s), _TAG, "Lookup_Name", "12"), _with("part", "brand") + """SELECT DISTINCT tag AS "Tag_ID", lookup AS "Lookup_Name" FROM p WHERE starts_with(lookup, '12')""")
+
 # Facts and edits.
 _FACTS = f"SELECT DISTINCT x AS \"Lookup_Name\", id AS \"Taggable_ID\" FROM (SELECT 'system:has local metric:' || metric AS x, id FROM ({_APPLIED}) UNION ALL SELECT 'system:has metric from local metric service:' || metric, id FROM ({_APPLIED}))"
 
@@ -161,6 +175,15 @@ def _m13(s: Star) -> DataFrame:
 
 
 _star("m13_split_tags", _m13, "SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN p_type END AS namespace, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN ':' || p_name ELSE p_name || ':x' END AS tag FROM part")
+def _notes(s: Star) -> DataFrame:
+    """Parts with a note get a second one, and the tag that says that they have notes."""
+    old = s.table("part").select(F.col("p_partkey").alias("Taggable_ID"), F.col("p_name").alias("note"))
+    new = s.table("part").where("p_size > 25").select(F.col("p_partkey").alias("Taggable_ID"), F.col("p_type").alias("note"))
+    notes, pairings = edits.add_notes(old, new, s.pairings("status").limit(0), 8)
+    return notes.groupBy("Taggable_ID").agg(F.array_join(F.array_sort(F.collect_list("note")), "|").alias("notes")).join(pairings, "Taggable_ID", "left").select("Taggable_ID", "notes", F.col("Tag_ID").isNotNull().alias("tagged"))
+
+
+_star("m14_more_notes", _notes, """SELECT p_partkey AS "Taggable_ID", CASE WHEN p_size > 25 THEN array_to_string(list_sort([p_name, p_type]), '|') ELSE p_name END AS notes, p_size > 25 AS tagged FROM part""")
 _star("m15_delete_taggable_service", lambda s: _pairs(edits.delete_taggable_service(s.collection("status", "flag"), 1).pairings), _with("status", "flag") + f"SELECT {_AS} FROM p WHERE id % 3 <> 1")
 _star("m15_delete_metric_service", lambda s: edits.delete_metric_service(s.collection("status"), 2).applied_metrics.select("Local_Metric_ID", "Taggable_ID"), f'SELECT {PRICE} AS "Local_Metric_ID", o_orderkey AS "Taggable_ID" FROM orders')
 _star("m15_delete_children", lambda s: edits.delete_children(s.table("nation").withColumnRenamed("n_nationkey", "k"), s.table("supplier").select("s_suppkey", F.col("s_nationkey").alias("k")), "n_regionkey = 1", "k")[1].select("s_suppkey"), "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -210,6 +233,18 @@ _star("s12_export", _export, "SELECT l_orderkey, CAST(l_linenumber AS INTEGER) A
 _star("g1_pixel_hash", lambda s: s.table("documents").select("doc_id", duplicates.pixel_hash(F.col("text").cast("binary"), 1 + F.col("doc_id") % 2).alias("pixels")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS pixels FROM documents")
 
 
+def _arriving(s: Star) -> DataFrame:
+    """Documents that arrive as files of a folder: the least id of every hash, kept as state of a stream."""
+    arriving, out, check = (new_path(s.spark, n) for n in ("arriving", "classes", "progress"))
+    files = s.files().select("File_ID", "File_Hash")
+    files.repartition(3).write.parquet(arriving)
+    compare.class_stream(s.spark, arriving, "File_ID long, File_Hash string", out, check, files_each=2)
+    return compare.classes(s.spark, out)
+
+
+_star("g1_arriving_classes", _arriving, 'SELECT sha256(text) AS "File_Hash", min(doc_id) AS class_id FROM documents WHERE text IS NOT NULL GROUP BY 1')
+
+
 def _exact_verdicts(s: Star) -> DataFrame:
     """Exact pairs; documents of one quality label count as one group."""
     groups = s.table("labels").select(F.col("doc_id").alias("File_ID"), F.col("quality").cast("long").alias("group_id"))
