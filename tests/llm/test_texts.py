@@ -588,3 +588,50 @@ def test_quotes_are_read_by_one_rule():
         began = time.perf_counter()
         html.main_text(page)
         assert time.perf_counter() - began < 3
+
+
+# --- the linear machines of operator 10, against another solver and plain votes
+
+
+def newton(x, y, c):
+    """Least ||w||^2 / 2 + c * sum of squared hinges, by Newton steps on the rows that are too near."""
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(float)
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        near = 1 - y * (x @ w) > 0
+        grad = w - 2 * c * x[near].T @ (y[near] * (1 - y[near] * (x[near] @ w)))
+        step = np.linalg.solve(np.eye(len(w)) + 2 * c * x[near].T @ x[near], grad)
+        w = w - step
+        if np.abs(step).max() < 1e-12:
+            break
+    return w
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.3])
+def test_svm_against_another_solver(noise):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x @ r.normal(size=12) + noise * r.normal(size=200) > 0.1, 1.0, -1.0)
+    got, want = language.svm(x, y), newton(x, y, 1.0)
+    assert np.linalg.norm(got - want) < 0.01 * np.linalg.norm(want)
+    ones = np.hstack([x, np.ones((200, 1))])
+    told = np.sign(ones @ got) == np.sign(ones @ want)
+    assert told[np.abs(ones @ want) > 0.02].all()
+
+
+def test_votes_are_counted():
+    """Inside a family the language that wins most duels, in plain Python."""
+    r = random.Random(4)
+    langs = ["de", "nl", "sv", "da"]
+    assert len({language._FAMILY[v] for v in langs}) == 1
+    stems = {v: ["".join(r.choices("abcdefgh", k=4)) for _ in range(6)] for v in langs}
+    text = lambda v: " ".join(r.choices(stems[v], k=20) + r.choices(sum(stems.values(), []), k=8))
+    model = language.Model(language.vectors([text(v) for v in langs for _ in range(12)]), [v for v in langs for _ in range(12)])
+    x = language.vectors([text(r.choice(langs)) for _ in range(40)])
+    got, _ = model.predict(x)
+    for row, pred in zip(np.hstack([x, np.ones((len(x), 1), np.float32)]), got, strict=True):
+        wins = dict.fromkeys(langs, 0)
+        for (a, b), w in model.pairs.items():
+            wins[a if row @ w > 0 else b] += 1
+        assert wins[pred] == max(wins.values())
