@@ -635,3 +635,14 @@ def test_votes_are_counted():
         for (a, b), w in model.pairs.items():
             wins[a if row @ w > 0 else b] += 1
         assert wins[pred] == max(wins.values())
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-feedback", "visitor-discussion", "legal"])
+@pytest.mark.parametrize("element", ["article", "div"])
+def test_comments_and_notices_by_compound_names(name, element):
+    """Of names of several words, those for people say nothing; words that only look alike say nothing either."""
+    main = "<h1>Title of it</h1>" + "<p>This is a sentence of the article about many things. It has another one, too.</p>" * 4
+    more = "<p>I think that this is a really great article, thanks for writing it. I agree with every word.</p>" * 3
+    page = f"<body><{element}>{main}</{element}><section class='{name}'>{more}</section><div class='has-sidebar'><p>No boilerplate but a proper paragraph of the text, as long as others.</p></div></body>"
+    got = html.main_text(page)
+    assert "agree" not in got and got.count("another one") == 4 and "No boilerplate" in got
