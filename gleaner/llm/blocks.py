@@ -8,6 +8,7 @@ A block ends when its dictionary has `most` keys, so a task's memory holds that
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import shuffle_parts, staged
 
@@ -92,8 +92,20 @@ def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = after
 
 
-def _cut(count: Callable, most: int, id_type: pa.DataType):
-    names = ["block", "kind", "key", "n", "doc_id", "text", "flag"]
+def packed(rows: pa.RecordBatch) -> bytes:
+    """Rows as Arrow's own format, compressed: texts are shuffled as small as they are stored."""
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(rows)
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(data)
+
+
+def _cut(count: Callable, most: int):
+    names = ["block", "kind", "key", "n", "packed"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, dictionaries = TaskContext.get().partitionId() << 32, {}
@@ -104,16 +116,15 @@ def _cut(count: Callable, most: int, id_type: pa.DataType):
                 for i in range(0, len(held.keys), 50_000):
                     keys, n = held.keys[i : i + 50_000], held.n[i : i + 50_000]
                     k = len(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.full(k, kind, np.int32)), pa.array(keys), pa.array(n), pa.nulls(k, id_type), pa.nulls(k, pa.string()), pa.nulls(k, pa.bool_())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.full(k, kind, np.int32)), pa.array(keys), pa.array(n), pa.nulls(k, pa.binary())], names=names)
             dictionaries.clear()
 
         for b in batches:
-            k = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.full(k, DOCS, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), b.column("doc_id"), b.column("text"), b.column("flag")], names=names)
             for part in parts(b):
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([DOCS], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([packed(part)])], names=names)
                 for kind, keys, n in count(part.column("text").to_pylist(), part.column("flag").to_numpy(zero_copy_only=False)):
                     dictionaries.setdefault(kind, Sums()).add(keys, n)
-            if max(len(d.keys) for d in dictionaries.values()) >= most:
+            if max((len(d.keys) for d in dictionaries.values()), default=0) >= most:
                 yield from ended()
                 block += 1
         yield from ended()
@@ -122,14 +133,12 @@ def _cut(count: Callable, most: int, id_type: pa.DataType):
 
 
 def in_blocks(docs: DataFrame, count: Callable, flag: Column, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """The documents with the numbers of their blocks, and the blocks' dictionaries: (block, kind, key, n, doc_id, text, flag), staged.
+    """The documents, some in a row (see packed), with the numbers of their blocks, and the blocks' dictionaries: (block, kind, key, n, packed), staged.
 
     count(texts, flags) gives (kind, keys, n) of a batch of documents, keys distinct or not; a key of n 0 is in the dictionary too.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), flag.alias("flag"))
-    kind = docs.schema["doc_id"].dataType
-    schema = f"block long, kind int, key long, n long, doc_id {kind.simpleString()}, text string, flag boolean"
-    return staged(docs.mapInArrow(_cut(count, most, to_arrow_type(kind)), schema), "blocks", SCAN)
+    return staged(docs.mapInArrow(_cut(count, most), "block long, kind int, key long, n long, packed binary"), "blocks", SCAN)
 
 
 def totals(blocks: DataFrame, kind: int) -> DataFrame:
@@ -160,7 +169,7 @@ def _stream(columns: list[str], prepare: Callable, use: Callable):
     return stream
 
 
-def with_values(blocks: DataFrame, values: DataFrame, prepare: Callable, use: Callable, schema: str, words: tuple[str, ...] = ("key",), docs: tuple[str, ...] = ("doc_id", "text", "flag")) -> DataFrame:
+def with_values(blocks: DataFrame, values: DataFrame, prepare: Callable, use: Callable, schema: str, words: tuple[str, ...] = ("key",), docs: tuple[str, ...] = ("packed",)) -> DataFrame:
     """What use(dictionaries, documents) gives for every batch of documents, staged.
 
     values: (kind, key, and further columns, one row a key). dictionaries[kind] is prepare(columns of `words`, then of the values) of the

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import MOST, Places, in_blocks, parts, totals, with_values
+from .blocks import MOST, Places, in_blocks, totals, unpacked, with_values
 from .common import WordHashes, kept_in_worker, shuffle_parts, staged
 
 DEPTH, TOP = 5, 2  # bytes of context; levels whose nodes meet across tasks
@@ -279,8 +279,9 @@ def _score(depth: int, tokens: int, distinct: int, id_type: pa.DataType):
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def score(held: dict, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for some in parts(rows):
-            yield part(held, some)
+        for data in rows.column("packed").to_pylist():
+            for some in unpacked(data):
+                yield part(held, some)
 
     return score
 
@@ -304,7 +305,7 @@ def score_texts(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_co
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     blocks = in_blocks(docs, _count(depth), F.coalesce(learns, F.lit(True)), id_col, text_col, most)
-    id_type = blocks.schema["doc_id"].dataType
+    id_type = docs.schema[id_col].dataType
     words = staged(totals(blocks, WORD), "words")
     seen = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     logs = gram_logs(totals(blocks, GRAM), depth)
