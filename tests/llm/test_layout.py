@@ -127,17 +127,18 @@ def test_pipeline(spark, sf_dir, ids):
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
-@pytest.mark.parametrize("name", ["op1_cover_substrings", "op2_fast_sketch_neardup", "op7_suffix_collections", "op8_byte_shards"])
+@pytest.mark.parametrize("name", ["op1_cover_substrings", "op2_fast_sketch_neardup", "op7_suffix_collections", "op8_byte_shards", "op13_slot_negatives"])
 def test_sql_gives_the_same(spark, sf_dir, name):
     import duckdb
 
     from gleaner.llm.queries import SQL
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     answer = con.execute(SQL[name])
     names = [d[0] for d in answer.description]
     df = QUERIES[name](spark, sf_dir)
