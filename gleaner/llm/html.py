@@ -422,7 +422,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Main text of every page: blocks, the costs of a linear classifier that is fitted on the pages (see learn), and the minimum cut.
 
     Null or empty html gives an empty text; broken markup is read as far as it goes; repeated rows give repeated
-    results; null ids and urls are passed through; other columns are ignored.
+    results; null ids and urls are passed through; an empty table gives no rows; other columns are ignored.
 
     Returns page_id, url, text, n_chars.
     """

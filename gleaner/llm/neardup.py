@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     agree in less than SURE_BELOW with about as much; that is all that can be missed.
 
     Documents without words have an empty set and stay alone. Rows that share an id are one document for linking and
-    give a row each. A null id stays alone, with a null component. Other columns are ignored.
+    give a row each. A null id stays alone, with a null component. An empty table gives no rows. Other columns are ignored.
 
     Returns doc_id, n_shingles, component_id, kept.
     """

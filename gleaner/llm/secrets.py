@@ -109,7 +109,7 @@ def secret_spans(
     Bare strings become spans of kind `owned` if they are live; base spans stay whatever their count.
 
     Null or empty text has no spans. A null owner or repository is unknown: each text stands for one of its own. Repeated
-    rows give repeated results. Other columns are ignored.
+    rows give repeated results; an empty table gives no rows. Other columns are ignored.
 
     Returns doc_id, text_key (null without candidates), base and spans (arrays of start, rank, end), n_live, n_example, and
     values (array of start, rank, end, n_owners, n_repos of every candidate).
@@ -150,7 +150,11 @@ def spans_text(col: str):
 
 
 def secret_report(docs: DataFrame, **options) -> DataFrame:
-    """The digest of secret_spans: counts by kind, checksum of the base spans, all spans as text, and start:owners:repositories of every candidate."""
+    """The digest of secret_spans: counts by kind, checksum of the base spans, all spans as text, and start:owners:repositories of every candidate.
+
+    Null and empty texts have zeros, the checksum of nothing and no spans; a row for every row, so repeated rows come as often as they occur; spans that begin together
+    are ordered by kind; an empty table gives no rows.
+    """
     s = secret_spans(docs, **options)
     count = lambda k: F.size(F.filter("base", lambda x: x["rank"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     counts = F.array_join(F.transform("values", lambda v: F.concat_ws(":", *(v[k].cast("string") for k in ("start", "n_owners", "n_repos")))), ",")

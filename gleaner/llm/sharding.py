@@ -16,6 +16,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     goes to the shard that holds its middle byte, so a shard misses its target by half a document at each end.
 
     Null text has size 1 and checksum 0; null ids come first; repeated ids are ordered by checksum and size.
+    Ids that are no numbers are all of one range, which one task numbers.
     A document larger than a target leaves the shards that it spans empty; an empty table gives no rows. Other
     columns are ignored.
 

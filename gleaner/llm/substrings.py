@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     Words are runs of other than ASCII white space, unchanged. Documents with fewer words lose none. Null text has no
     words. Rows of one id never remove from each other; a null id loses and removes nothing; repeated rows give
-    repeated results. Other columns are ignored.
+    repeated results; an empty table gives no rows. Other columns are ignored.
 
     Returns doc_id, n_words, n_removed, kept_sha256; with_text adds kept, the kept words of documents that lose some but not all.
     """

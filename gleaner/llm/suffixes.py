@@ -341,8 +341,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, bucket: int = 2_00
     while they are larger, at most until the context is a whole window.
 
     Texts are UTF-8 bytes; null is empty; a null id loses and removes nothing; rows that share an id count as one
-    document, in which a string that starts at a smaller place comes first; repeated rows give repeated results. Other
-    columns are ignored.
+    document, in which a string that starts at a smaller place comes first; repeated rows give repeated results; an empty
+    table gives no rows. Other columns are ignored.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds kept, the kept bytes of documents that lose some.
     """
