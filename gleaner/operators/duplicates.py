@@ -112,12 +112,13 @@ def hamming_pairs(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int
     """(File_ID_1, File_ID_2, distance) of new files with old and with each other, distance at most cutoff, each pair once.
 
     Equal hashes are one class; near classes are found by hamming_classes, whose result grows with the files, and are
-    spelled out as pairs of files here. A file in old and new is new.
+    spelled out as pairs of files here. A file in old and new is new. Links are many more than their hashes' size lets Spark
+    expect, so they are merged with the files, never broadcast.
     """
     members, links = hamming_classes(old, new, hashes, cutoff, block)
     side = lambda n: members.select(F.col("class_id").alias(f"c{n}"), F.col("File_ID").alias(f"f{n}"), F.col("is_new").alias(f"new_{n}"))
     pair = [F.least("f1", "f2").alias("File_ID_1"), F.greatest("f1", "f2").alias("File_ID_2"), "distance"]
-    apart = links.join(side(1), "c1").join(side(2), "c2").where("new_1 or new_2").select(*pair)
+    apart = links.hint("merge").join(side(1), "c1").hint("merge").join(side(2), "c2").where("new_1 or new_2").select(*pair)
     same = side(1).join(side(2), (F.col("c1") == F.col("c2")) & (F.col("f1") < F.col("f2"))).where("new_1 or new_2").select(F.col("f1").alias("File_ID_1"), F.col("f2").alias("File_ID_2"), F.lit(0).alias("distance"))
     return apart.unionByName(same)
 
@@ -148,9 +149,9 @@ def closure(pairs: DataFrame) -> DataFrame:
     Each round every file takes the least group of itself and its neighbours and then that group's own group; groups
     travel twice as far each round. Rounds are written to the shared folder, so that neither plan nor recovery grows.
     """
-    both = pairs.select(F.col("File_ID_1").alias("a"), F.col("File_ID_2").alias("b")).unionByName(pairs.select(F.col("File_ID_2").alias("a"), F.col("File_ID_1").alias("b"))).distinct()
-
-    both = staged(both, "closure")
+    end = lambda k: F.col(f"File_ID_{k}")
+    ways = F.array(F.struct(end(1).alias("a"), end(2).alias("b")), F.struct(end(2).alias("a"), end(1).alias("b")))
+    both = staged(pairs.select(F.inline(ways)).distinct(), "closure")
     groups = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("g")), "closure")
     while True:
         near = both.join(groups.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))

@@ -17,6 +17,7 @@ WORD = 32  # bits that a column of a hash holds, as a long
 HOT = 1024  # classes with one value of a piece, from which on they are told apart by their other bits as well
 COMPARED = 200  # pairs that a block compares in the time that a join takes for a row
 MOST_PROBES = 1 << 17  # of a hash
+MOST_TASKS = 10_000  # that blocks are dealt to
 
 
 def hamming(left: list[Column], right: list[Column]) -> Column:
@@ -149,13 +150,15 @@ def by_blocks(classes: DataFrame, hashes: list[str], cutoff: int, block: int) ->
     Two hashes within the cutoff differ by at most as much in their number of bits, so a block meets only those of near
     numbers; every two such blocks are compared in one task, which gives only what is within the cutoff. A hash is
     copied once for each block that its own meets, so the work grows with the square of the distinct hashes, but neither
-    the plan nor a task grows with them.
+    the plan nor a task grows with them: there are as many tasks as the comparisons ask for, not as the bytes of the blocks do.
     """
     ones = reduce(Column.__add__, (F.bit_count(h) for h in hashes))
     rows = classes.withColumn("ones", ones)
     most = WORD * len(hashes)
     # One row for each number of bits: at most `most` + 1.
-    held = {r.ones: -(-r.n // block) for r in rows.groupBy("ones").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.ones: r.n for r in rows.groupBy("ones").agg(F.count("*").alias("n")).collect()}
+    held = {b: -(-n // block) for b, n in sizes.items()}
+    compared = sum(n * m for b, n in sizes.items() for c, m in sizes.items() if b <= c <= b + cutoff)
     counts = F.array(*(F.lit(held.get(b, 0)) for b in range(most + 1)))  # blocks of each number of bits
     mine = F.struct(F.col("ones").alias("b"), F.pmod(F.xxhash64(*hashes), F.get(counts, F.col("ones"))).cast("int").alias("k"))
     near = F.sequence(F.greatest(F.col("ones") - cutoff, F.lit(0)), F.least(F.col("ones") + cutoff, F.lit(most)))
@@ -184,4 +187,5 @@ def by_blocks(classes: DataFrame, hashes: list[str], cutoff: int, block: int) ->
                 a, b = ids[part[x]], ids[right[y]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d[x, y])], names=["c1", "c2", "distance"])
 
+    dealt = dealt.repartition(min(MOST_TASKS, compared // (4 * block**2) + 1), "i", "j")
     return dealt.groupBy("i", "j").applyInArrow(links, f"c1 {kind}, c2 {kind}, distance int")

@@ -348,3 +348,15 @@ def test_staged_batches_are_bounded(spark):
     huge = spark.range(0, 2, 1, 1).select(F.repeat(F.lit("0123456789"), 600_000).alias("t"))
     assert [r.n for r in staging.staged(huge.mapInArrow(sizes, "n long, size long"), "test").collect()] == [1, 1]  # longer than the bound
     assert spark.conf.get(key, None) == before
+
+
+def test_links_are_not_broadcast(spark):
+    """Links are many more than Spark expects from the size of the hashes."""
+    df = spark.range(300).select(F.col("id").alias("File_ID"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("Hash_0"), F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF).alias("Hash_1"))
+    plan = duplicates.hamming_pairs(df.limit(0), df, ["Hash_0", "Hash_1"], 20)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2
+
+
+def test_blocks_have_tasks_by_comparisons(spark):
+    classes = spark.range(300).select(F.col("id").alias("class_id"), F.lit(True).alias("is_new"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("Hash_0"), F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF).alias("Hash_1"))
+    assert hamming.by_blocks(classes, ["Hash_0", "Hash_1"], 20, 16).rdd.getNumPartitions() > 30
