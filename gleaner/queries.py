@@ -273,7 +273,9 @@ def _groups(s: Star) -> DataFrame:
 
 
 def _falses(s: Star) -> DataFrame:
-    return s.table("embeddings").select(F.col("vec_id").alias("File_ID_2"), (F.col("vec_id") - 1).alias("File_ID_1"))
+    """Each embedding or document and the one before it."""
+    ids = s.table("embeddings").select(F.col("vec_id").alias("id")).unionByName(s.table("documents").select(F.col("doc_id").alias("id"))).distinct()
+    return ids.select(F.col("id").alias("File_ID_2"), (F.col("id") - 1).alias("File_ID_1"))
 
 
 _CHECKED = "(SELECT label FROM embeddings WHERE vec_id = a) = (SELECT label FROM embeddings WHERE vec_id = b) OR b = a + 1"

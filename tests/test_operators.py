@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import names, programs
+from gleaner import queries
 from gleaner.operators import access, counts, duplicates, edits, hamming
 from gleaner.sources import archives
 from gleaner.streaming import compare
@@ -360,3 +361,10 @@ def test_links_are_not_broadcast(spark):
 def test_blocks_have_tasks_by_comparisons(spark):
     classes = spark.range(300).select(F.col("id").alias("class_id"), F.lit(True).alias("is_new"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("Hash_0"), F.xxhash64("id", F.lit(1)).bitwiseAND(0xFFFFFFFF).alias("Hash_1"))
     assert hamming.by_blocks(classes, ["Hash_0", "Hash_1"], 20, 16).rdd.getNumPartitions() > 30
+
+
+def test_counters_of_documents_beyond_the_embeddings(spark, tmp_path):
+    """Equal documents whose ids follow each other count as checked, whether or not there are embeddings of those ids."""
+    spark.createDataFrame([(1, "x"), (2, "y"), (8, "same"), (9, "same"), (20, "same")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0] * 64, 0), (1, [-1.0] * 64, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in queries.QUERIES["a11_dup_counters"](spark, str(tmp_path)).collect()] == [(3, 0, 1, 0)]
