@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..plans.collection import Collection
+from ..plans.collection import Collection, with_metrics
 from ..sources.archives import import_tables
 from ..sources.staging import staged
 
@@ -111,9 +111,14 @@ def apply_metric(applied: DataFrame, values: DataFrame) -> DataFrame:
     return old.join(keys, same, "left_anti").unionByName(values)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key before they are made distinct or counted: where nearly every row is a group of its own, a task that did so before the shuffle would hold all it reads."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def metric_facts(applied: DataFrame, metrics: DataFrame) -> DataFrame:
     """(Lookup_Name, Taggable_ID) of the system tags that applied values stand for: the value, that there is one of the metric, and of its service."""
-    known = applied.join(metrics.select("Local_Metric_ID", "Local_Metric_Service_ID"), "Local_Metric_ID")
+    known = with_metrics(dealt(applied, "Taggable_ID"), metrics, "Local_Metric_Service_ID")
     facts = F.array(
         names.of_applied(F.col("Applied_Value"), F.col("Local_Metric_ID"), F.col("User_ID")), names.of_metric(F.col("Local_Metric_ID")), names.of_metric_service(F.col("Local_Metric_Service_ID"))
     )
@@ -224,7 +229,7 @@ def key_audit(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """(table, key, n) of every key that should be unique and isn't."""
     out = None
     for name, (df, keys) in tables.items():
-        one = df.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("table"), F.concat_ws(",", *(F.col(k).cast("string") for k in keys)).alias("key"), "n")
+        one = dealt(df.select(keys), *keys).groupBy(keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("table"), F.concat_ws(",", *(F.col(k).cast("string") for k in keys)).alias("key"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -44,6 +44,11 @@ class Collection:
         return Collection(**(self._held | tables))
 
 
+def with_metrics(applied: DataFrame, metrics: DataFrame, *columns: str) -> DataFrame:
+    """Applied values with columns of their metrics. Metrics are few and each has many values, so they go to the values: shuffled, all values of a metric would be one task's."""
+    return applied.join(F.broadcast(metrics.select("Local_Metric_ID", *columns)), "Local_Metric_ID")
+
+
 def _tag_ids() -> dict[str, Column]:
     """The tag id of a row's value in each namespace: an offset plus a number that the value holds."""
     first = lambda c: F.ascii(c)

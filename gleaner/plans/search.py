@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import query as q
 from ..sources.staging import staged
-from .collection import Collection
+from .collection import Collection, with_metrics
 
 _OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "=": operator.eq, "<>": operator.ne}
 
@@ -162,7 +162,7 @@ class Search:
         if measured:
             applied = c.applied_metrics
             if any(isinstance(n, q.InMetricService) for n in measured):
-                applied = applied.join(c.metrics.select("Local_Metric_ID", "Local_Metric_Service_ID"), "Local_Metric_ID")
+                applied = with_metrics(applied, c.metrics, "Local_Metric_Service_ID")
             hits = F.array_compact(F.array(*(F.when(self._meets(n), i) for n, i in measured.items())))
             parts.append(applied.select("Taggable_ID", F.explode(hits).alias("leaf")))
         for n, i in lists.items():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import names, programs
 from .operators import access, counts, duplicates, edits
 from .plans import query as q
-from .plans.collection import FIRST_TAG, NAMESPACES, PRICE, QUANTITY, TRASH_EVERY, Star
+from .plans.collection import FIRST_TAG, NAMESPACES, PRICE, QUANTITY, TRASH_EVERY, Star, with_metrics
 from .plans.search import Search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -382,7 +382,7 @@ _star("f1_extension", lambda s: s.table("part").select("p_partkey", names.of_ext
 _star("f2_names", lambda s: s.applied_metrics().where("Local_Metric_ID = 2").select("Taggable_ID", names.of_applied(F.col("Applied_Value"), F.col("Local_Metric_ID"), F.col("User_ID")).alias("name")), f"WITH m AS ({_APPLIED}) SELECT id AS \"Taggable_ID\", 'system:applied metric:' || CAST(CAST(v AS BIGINT) AS VARCHAR) || ' on 2 with user 0' AS name FROM m WHERE metric = 2")
 _star("f4_hash_path", lambda s: s.files().select("File_ID", names.storage_path(F.col("File_Hash"), F.concat("File_Hash", F.lit(".txt"))).alias("path")), "SELECT doc_id AS \"File_ID\", substr(sha256(text), 1, 2) || '/' || substr(sha256(text), 3, 2) || '/' || sha256(text) || '.txt' AS path FROM documents")
 _star("f9_metric_validity", lambda s: s.applied_metrics().select("Local_Metric_ID", names.valid_metric(F.lit(0.0), F.lit(45.0), F.lit(2), F.col("Applied_Value")).alias("ok")).groupBy("Local_Metric_ID", "ok").agg(F.count("*").alias("n")), f'WITH m AS ({_APPLIED}) SELECT metric AS "Local_Metric_ID", v >= 0 AND v <= 45 AS ok, count(*) AS n FROM m GROUP BY 1, 2')
-_star("j1_service_join", lambda s: s.metrics().join(s.applied_metrics(), "Local_Metric_ID").groupBy("Local_Metric_Service_ID", "Local_Metric_Name").agg(F.count("*").alias("n")), f"""WITH m AS ({_APPLIED}) SELECT metric AS "Local_Metric_Service_ID", CASE metric WHEN 1 THEN 'total price' ELSE 'largest quantity' END AS "Local_Metric_Name", count(*) AS n FROM m GROUP BY 1, 2""")
+_star("j1_service_join", lambda s: with_metrics(s.applied_metrics(), s.metrics(), "Local_Metric_Service_ID", "Local_Metric_Name").groupBy("Local_Metric_Service_ID", "Local_Metric_Name").agg(F.count("*").alias("n")), f"""WITH m AS ({_APPLIED}) SELECT metric AS "Local_Metric_Service_ID", CASE metric WHEN 1 THEN 'total price' ELSE 'largest quantity' END AS "Local_Metric_Name", count(*) AS n FROM m GROUP BY 1, 2""")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

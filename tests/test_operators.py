@@ -368,3 +368,30 @@ def test_counters_of_documents_beyond_the_embeddings(spark, tmp_path):
     spark.createDataFrame([(1, "x"), (2, "y"), (8, "same"), (9, "same"), (20, "same")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, [1.0] * 64, 0), (1, [-1.0] * 64, 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert [tuple(r) for r in queries.QUERIES["a11_dup_counters"](spark, str(tmp_path)).collect()] == [(3, 0, 1, 0)]
+
+
+def test_metrics_go_to_their_values(spark):
+    """Values are not gathered by metric: all of one would be one task's."""
+    applied = spark.range(10_000_000).select((F.col("id") % 2 + 1).cast("int").alias("Local_Metric_ID"), F.lit(0).cast("long").alias("User_ID"), F.col("id").alias("Taggable_ID"), F.lit(2.0).alias("Applied_Value"))
+    metrics = spark.createDataFrame([(1, 7), (2, 7)], "Local_Metric_ID int, Local_Metric_Service_ID int")
+    assert "BroadcastHashJoin" in edits.metric_facts(applied, metrics)._jdf.queryExecution().sparkPlan().toString()
+    assert edits.metric_facts(applied.limit(10), metrics).count() == 30
+
+
+def test_facts_and_keys_are_dealt_before_they_are_counted(spark):
+    """Nearly every row is a group of its own, so none is gathered in the task that reads it."""
+    df = spark.range(100).select((F.col("id") % 99).alias("k"), F.lit("x").alias("v"))
+    audit = edits.key_audit({"t": (df, ["k"])})
+    assert "RepartitionByExpression" in audit._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in audit.collect()] == [("t", "0", 2)]
+
+
+def test_strips_of_descriptors(spark, monkeypatch):
+    """Images of many strips give what they give as one, and a task's output has a row for a descriptor and a strip, not for every block."""
+    rows = [(i, k, [float((i * 7 + k * 13) % 11), float((i * 3 + k * k) % 17), float(k % 5)]) for i in (1, 2, 3) for k in range(20 * i)]
+    d = spark.createDataFrame(rows, "image long, at long, vector array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (3, 2)], "a long, b long")
+    of = lambda **how: {(r.a, r.b): round(r.share, 9) for r in duplicates.descriptor_shares(d, pairs, **how).collect()}
+    whole = of()
+    monkeypatch.setattr(duplicates, "STRIP", 8)
+    assert len(whole) == 3 and of(block=2) == whole == of(block=64)
