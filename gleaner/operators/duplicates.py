@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from ..sources.staging import staged
 from .hamming import hamming, near_links  # noqa: F401
 
+STRIP = 8192  # descriptors that meet as many others in one task
 EXACT = -1  # distance of exact duplicates
 DUPLICATES, ALTERNATES, FALSE_POSITIVES = 1, 2, 3  # relation types
 
@@ -64,31 +65,45 @@ def descriptor_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 def descriptor_shares(descriptors: DataFrame, pairs: DataFrame, block: int = 256, ratio: float = 0.7) -> DataFrame:
     """(a, b, share) for pairs (a, b) of images: as descriptor_distance, of images with any number of descriptors.
 
-    descriptors: image, at (tells an image's apart), vector (array of numbers, all of one length). Those of an image are dealt into blocks, every block of a
-    meets every block of b, and gives the two nearest of each of a's descriptors; the least two of all blocks are its two nearest. So a
-    task holds two blocks, and as many rows are shuffled as a has descriptors for each block of b. Pairs with an image that has no
-    descriptor, or of which b has but one, have no row. Nulls are left out.
+    descriptors: image, at (tells an image's apart), vector (array of numbers, all of one length). Those of an image are dealt into blocks, blocks
+    into strips of STRIP descriptors, and every strip of a meets every strip of b, which gives the two nearest of each of a's
+    descriptors; the least two of all strips are its two nearest. So a task holds two strips, whatever an image has, and as many rows are
+    shuffled as a has descriptors for each strip of b. The comparisons grow with the product of a's and b's descriptors. Pairs with an image
+    that has no descriptor, or of which b has but one, have no row. Nulls are left out.
     """
     whole = descriptors.select("image", "at", F.col("vector").cast("array<double>").alias("vector")).dropna()
     counts = whole.groupBy("image").agg(F.ceil(F.count("*") / block).alias("blocks"))
     packed = whole.join(counts, "image").groupBy("image", F.pmod(F.xxhash64("at"), "blocks").alias("block")).agg(F.collect_list(F.struct("at", "vector")).alias("held"))
-    side = lambda n: packed.select(F.col("image").alias(n), F.col("held").alias(f"held_{n}"))
-    met = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    kinds = {c: met.schema[c].dataType.simpleString() for c in ("a", "b")} | {"at": whole.schema["at"].dataType.simpleString()}
+    strips = lambda n: counts.select(F.col("image").alias(n), F.ceil(F.col("blocks") * block / STRIP).alias(f"strips_{n}"))
+    wanted = pairs.select("a", "b").distinct().join(strips("a"), "a").join(strips("b"), "b")
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(n: str, other: str) -> DataFrame:
+        mine, every = F.pmod("block", f"strips_{n}").alias(f"strip_{n}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"strips_{other}") - 1)).alias(f"strip_{other}")
+        rows = packed.join(wanted.withColumn("image", F.col(n)), "image").select("a", "b", "block", "held", mine, every)
+        return rows.select("a", "b", "strip_a", "strip_b", F.lit(n == "b").alias("second"), "held")
+
+    both = side("a", "b").unionByName(side("b", "a"))
+    kinds = {c: both.schema[c].dataType.simpleString() for c in ("a", "b")} | {"at": whole.schema["at"].dataType.simpleString()}
+
+    def nearest(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
-            for row in range(batch.num_rows):
-                sides = [batch.column(f"held_{n}")[row].values.flatten() for n in ("a", "b")]
-                x, y = (v.flatten().to_numpy().reshape(len(at), -1) for at, v in sides)
+        t = pa.Table.from_batches(list(batches))
+        held = [[h.values.flatten() for h, s in zip(t.column("held"), t.column("second").to_pylist(), strict=True) if s is want] for want in (False, True)]
+        if not held[0] or not held[1]:
+            return
+        vectors = lambda at, v: v.flatten().to_numpy().reshape(len(at), -1)
+        y = np.concatenate([vectors(at, v) for at, v in held[1]])
+        for ats, v in held[0]:
+            xs = vectors(ats, v)
+            for i in range(0, len(xs), 256):  # rows at a time, so that memory stays bounded
+                x, at = xs[i : i + 256], ats[i : i + 256]
                 d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
                 two = np.sort(np.partition(d, 1, axis=1)[:, :2], axis=1) if d.shape[1] > 1 else np.hstack([d, np.full_like(d, np.inf)])
-                n, at = len(x), sides[0][0]
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array([row] * n)), batch.column("b").take(pa.array([row] * n)), at, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b", "at", "first", "second"])
+                a, b = (pa.array([k.as_py()] * len(x), k.type) for k in key[:2])
+                yield pa.RecordBatch.from_arrays([a, b, at, pa.array(two[:, 0]), pa.array(two[:, 1])], names=["a", "b", "at", "first", "second"])
 
-    found = met.mapInArrow(nearest, f"a {kinds['a']}, b {kinds['b']}, at {kinds['at']}, first double, second double")
+    found = both.groupBy("a", "b", "strip_a", "strip_b").applyInArrow(nearest, f"a {kinds['a']}, b {kinds['b']}, at {kinds['at']}, first double, second double")
     two = F.slice(F.array_sort(F.flatten(F.collect_list(F.array("first", "second")))), 1, 2)
     each = found.groupBy("a", "b", "at").agg(two.alias("two")).select("a", "b", F.get("two", F.lit(0)).alias("d1"), F.get("two", F.lit(1)).alias("d2")).where(F.col("d2") < float("inf"))
     return each.groupBy("a", "b").agg(F.avg((F.col("d1") > ratio * F.col("d2")).cast("double")).alias("share"))
