@@ -41,23 +41,12 @@ def pairs(spark: SparkSession, state: str) -> DataFrame:
 def class_stream(spark: SparkSession, arriving: str, schema: str, out: str, checkpoint: str, key: str = "File_Hash", files_each: int = 10) -> int:
     """Exact classes of files that keep arriving: the least id of every hash is kept as keyed state; returns the number of batches.
 
-    A bounded run over what has arrived since the last. A hash whose least id changes is written with it, under the batch's
+    A bounded run over what has arrived since the last. A hash that a batch brings is written with its least id so far, under the batch's
     number, so that a batch that is run again overwrites its own rows. State holds one id a hash, partitioned by hash and restored from the checkpoint; no
     earlier file is read again. Nulls in the hash are left out.
     """
-    import pandas as pd
-
-    hash_type = spark.createDataFrame([], schema).schema[key].dataType.simpleString()
-
-    def least(hashes: tuple, frames, state):
-        known = state.get[0] if state.exists else None
-        low = min(int(f["File_ID"].min()) for f in frames)
-        if known is None or low < known:
-            state.update((low,))
-            yield pd.DataFrame({key: [hashes[0]], "class_id": [low]})
-
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(arriving).where(F.col(key).isNotNull()).select(key, "File_ID")
-    changed = stream.groupBy(key).applyInPandasWithState(least, f"{key} {hash_type}, class_id long", "class_id long", "update", "NoTimeout")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(arriving).where(F.col(key).isNotNull())
+    changed = stream.groupBy(key).agg(F.min("File_ID").cast("long").alias("class_id"))
     query = (
         changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")).start()

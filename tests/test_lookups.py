@@ -56,3 +56,16 @@ def test_classes_of_arriving_files(spark, tmp_path):
         assert rows(compare.classes(spark, where("out"))) == again
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_arriving_classes_run_no_python_for_a_hash(spark, tmp_path, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", None)
+    place = lambda n: f"{tmp_path}/{n}"
+    schema = "File_ID long, File_Hash string"
+    spark.createDataFrame([(3, "x"), (2, "x"), (5, None), (4, "y")], schema).coalesce(1).write.parquet(place("in"))
+    compare.class_stream(spark, place("in"), schema, place("out"), place("check"))
+    spark.createDataFrame([(1, "x"), (6, "y")], schema).coalesce(1).write.mode("append").parquet(place("in"))
+    compare.class_stream(spark, place("in"), schema, place("out"), place("check"))
+    assert {tuple(r) for r in compare.classes(spark, place("out")).collect()} == {("x", 1), ("y", 4)}
