@@ -119,7 +119,7 @@ def hamming_classes(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: i
     cols = ["File_ID", *hashes]
     files = old.select(*cols, F.lit(False).alias("is_new")).unionByName(new.select(*cols, F.lit(True).alias("is_new"))).dropna(subset=hashes)
     classes = staged(files.groupBy(hashes).agg(F.min("File_ID").alias("class_id"), F.max("is_new").alias("is_new")), "classes")
-    members = files.groupBy(cols).agg(F.max("is_new").alias("is_new")).join(classes.drop("is_new"), hashes).select("File_ID", "is_new", "class_id")
+    members = files.groupBy(cols).agg(F.max("is_new").alias("is_new")).hint("merge").join(classes.drop("is_new"), hashes).select("File_ID", "is_new", "class_id")
     return members, near_links(classes, hashes, cutoff, block)
 
 
@@ -128,13 +128,14 @@ def hamming_pairs(old: DataFrame, new: DataFrame, hashes: list[str], cutoff: int
 
     Equal hashes are one class; near classes are found by hamming_classes, whose result grows with the files, and are
     spelled out as pairs of files here. A file in old and new is new. Links are many more than their hashes' size lets Spark
-    expect, so they are merged with the files, never broadcast.
+    expect, so they are merged with the files, never broadcast; nor are the files, whose compressed size on disk says little of what they take in memory.
     """
     members, links = hamming_classes(old, new, hashes, cutoff, block)
+    members = staged(members, "members")  # stands in four places
     side = lambda n: members.select(F.col("class_id").alias(f"c{n}"), F.col("File_ID").alias(f"f{n}"), F.col("is_new").alias(f"new_{n}"))
     pair = [F.least("f1", "f2").alias("File_ID_1"), F.greatest("f1", "f2").alias("File_ID_2"), "distance"]
     apart = links.hint("merge").join(side(1), "c1").hint("merge").join(side(2), "c2").where("new_1 or new_2").select(*pair)
-    same = side(1).join(side(2), (F.col("c1") == F.col("c2")) & (F.col("f1") < F.col("f2"))).where("new_1 or new_2").select(F.col("f1").alias("File_ID_1"), F.col("f2").alias("File_ID_2"), F.lit(0).alias("distance"))
+    same = side(1).hint("merge").join(side(2), (F.col("c1") == F.col("c2")) & (F.col("f1") < F.col("f2"))).where("new_1 or new_2").select(F.col("f1").alias("File_ID_1"), F.col("f2").alias("File_ID_2"), F.lit(0).alias("distance"))
     return apart.unionByName(same)
 
 
@@ -162,17 +163,18 @@ def closure(pairs: DataFrame) -> DataFrame:
     """(File_ID, group_id): groups of files that relations join, named by their least id.
 
     Each round every file takes the least group of itself and its neighbours and then that group's own group; groups
-    travel twice as far each round. Rounds are written to the shared folder, so that neither plan nor recovery grows.
+    travel twice as far each round. Rounds are written to the shared folder, so that neither plan nor recovery grows; they are merged, as a
+    file of groups that is small enough to be broadcast may be many times as large in the driver's memory.
     """
     end = lambda k: F.col(f"File_ID_{k}")
     ways = F.array(F.struct(end(1).alias("a"), end(2).alias("b")), F.struct(end(2).alias("a"), end(1).alias("b")))
     both = staged(pairs.select(F.inline(ways)).distinct(), "closure")
     groups = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("g")), "closure")
     while True:
-        near = both.join(groups.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))
-        low = groups.join(near, "a").select("a", "g", F.least("g", "h").alias("low"))
+        near = both.hint("merge").join(groups.select(F.col("a").alias("b"), F.col("g").alias("h")), "b").groupBy("a").agg(F.min("h").alias("h"))
+        low = groups.hint("merge").join(near, "a").select("a", "g", F.least("g", "h").alias("low"))
         far = groups.select(F.col("a").alias("low"), F.col("g").alias("next"))
-        after = staged(low.join(far, "low").select("a", F.least("low", "next").alias("new"), "g"), "closure")
+        after = staged(low.hint("merge").join(far, "low").select("a", F.least("low", "next").alias("new"), "g"), "closure")
         groups = after.select("a", F.col("new").alias("g"))
         if after.where("new < g").isEmpty():
             return groups.select(F.col("a").alias("File_ID"), F.col("g").alias("group_id"))
@@ -186,10 +188,10 @@ def merge_groups(stored: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     node = lambda k: F.coalesce(2 * F.col(f"g{k}") + 1, 2 * F.col(f"File_ID_{k}")).alias(f"File_ID_{k}")  # noqa: E731  groups odd, files even
     held = [stored.select(F.col("File_ID").alias(f"File_ID_{k}"), F.col("group_id").alias(f"g{k}")) for k in (1, 2)]
-    met = pairs.select("File_ID_1", "File_ID_2").distinct().join(held[0], "File_ID_1", "left").join(held[1], "File_ID_2", "left").select(node(1), node(2)).where("File_ID_1 <> File_ID_2").distinct()
+    met = pairs.select("File_ID_1", "File_ID_2").distinct().hint("merge").join(held[0], "File_ID_1", "left").hint("merge").join(held[1], "File_ID_2", "left").select(node(1), node(2)).where("File_ID_1 <> File_ID_2").distinct()
     found = closure(met).select(F.col("File_ID").alias("node"), F.col("group_id").alias("c"))
     groups = found.where("node % 2 <> 0").select(((F.col("node") - 1) / 2).cast("long").alias("group_id"), "c")
-    sizes = stored.join(groups, "group_id").groupBy("group_id", "c").agg(F.count("*").alias("n"))
+    sizes = stored.groupBy("group_id").agg(F.count("*").alias("n")).join(groups, "group_id")
     named = sizes.groupBy("c").agg(F.max_by("group_id", F.struct("n", "group_id")).alias("named"))
     renamed = groups.join(named, "c").where("group_id <> named").select("group_id", "named")
     old = stored.join(renamed, "group_id", "left").select("File_ID", F.coalesce("named", "group_id").alias("group_id"))
@@ -198,9 +200,9 @@ def merge_groups(stored: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def implied(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs that already lie in one group."""
+    """Pairs that already lie in one group. Groups grow with the files and are merged with the pairs, never broadcast."""
     g1, g2 = (groups.select(F.col("File_ID").alias(f"File_ID_{k}"), F.col("group_id").alias(f"g{k}")) for k in (1, 2))
-    return pairs.join(g1, "File_ID_1").join(g2, "File_ID_2").where("g1 = g2").drop("g1", "g2")
+    return pairs.hint("merge").join(g1, "File_ID_1").hint("merge").join(g2, "File_ID_2").where("g1 = g2").drop("g1", "g2")
 
 
 def trash_larger(pairs: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -395,3 +395,27 @@ def test_strips_of_descriptors(spark, monkeypatch):
     whole = of()
     monkeypatch.setattr(duplicates, "STRIP", 8)
     assert len(whole) == 3 and of(block=2) == whole == of(block=64)
+
+
+def _broadcasts(df) -> int:
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_files_and_groups_are_not_broadcast(spark):
+    """Files of few bytes on disk, as those of sorted ids, may be large in the driver's memory."""
+    from gleaner.sources import staging
+
+    h = lambda k: F.xxhash64("id", F.lit(k)).bitwiseAND(0xFFFFFFFF).alias(f"Hash_{k}")
+    df = spark.range(300).select(F.col("id").alias("File_ID"), h(0), h(1))
+    groups = staging.staged(spark.range(300).select(F.col("id").alias("File_ID"), (F.col("id") % 7).alias("group_id")), "test")
+    pairs = duplicates.hamming_pairs(df.limit(0), df, ["Hash_0", "Hash_1"], 20)
+    assert _broadcasts(pairs) == 0 and _broadcasts(duplicates.implied(pairs, groups)) == 0
+    assert _broadcasts(duplicates.hamming_classes(df.limit(0), df, ["Hash_0", "Hash_1"], 20)[0]) == 0
+
+
+def test_rounds_of_a_closure_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], duplicates.staged
+    monkeypatch.setattr(duplicates, "staged", lambda df, label: (plans.append(df), write(df, label))[1])
+    pairs = spark.range(50).select(F.col("id").alias("File_ID_1"), (F.col("id") + 1).alias("File_ID_2"))
+    assert {r.group_id for r in duplicates.closure(pairs).collect()} == {0}
+    assert len(plans) > 3 and not any(map(_broadcasts, plans))
