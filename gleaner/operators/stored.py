@@ -6,9 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
-from .edits import PAIR, delete_pairs, insert_pairs, toggle_pairs
+from .edits import PAIR
 
-EDITS = {"insert": insert_pairs, "delete": delete_pairs, "toggle": toggle_pairs}
+# SQL conditions on pairs that were met (see _met): which of those given change, and which are there afterwards.
+CHANGED = {"insert": "not there", "delete": "there", "toggle": "n % 2 = 1"}
+AFTER = {"insert": "true", "delete": "there and n = 0", "toggle": "there <> (n % 2 = 1)"}
+
+
+def _met(pairings: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
+    """(Tag_ID, Taggable_ID, n, there): every pair stored or given, how often it is given and whether it is stored; one aggregation tells both what an edit changes and what is there after it."""
+    given = pairs.select(*PAIR, F.lit(1).alias("n"), F.lit(False).alias("there"))
+    if kind == "delete":
+        given = given.dropna(subset=PAIR)  # a null equals nothing that could be deleted
+    both = given.unionByName(pairings.select(*PAIR, F.lit(0).alias("n"), F.lit(True).alias("there")))
+    return both.groupBy(PAIR).agg(F.sum("n").alias("n"), F.max("there").alias("there"))
+
+
+def _change(met: DataFrame, kind: str) -> DataFrame:
+    return met.where("n > 0").where(CHANGED[kind]).select(*PAIR, F.when(F.col("there"), -1).otherwise(1).alias("change"))
 
 
 def effect(pairings: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
@@ -16,10 +31,7 @@ def effect(pairings: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
 
     Pairs that an insert finds, or a delete doesn't, change nothing; a toggle counts pairs given an odd number of times.
     """
-    given = pairs.groupBy(PAIR).agg(F.count("*").alias("n"))
-    there = given.join(pairings.select(*PAIR, F.lit(True).alias("there")).distinct(), PAIR, "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    wanted = {"insert": ~F.col("there"), "delete": F.col("there"), "toggle": F.col("n") % 2 == 1}[kind]
-    return there.where(wanted).select(*PAIR, F.when(F.col("there"), -1).otherwise(1).alias("change"))
+    return _change(_met(pairings, pairs, kind), kind)
 
 
 class Bucketed:
@@ -64,16 +76,16 @@ class Bucketed:
         touched = pairs.select(self._bucket().alias("bucket")).distinct()
         numbers = sorted(r.bucket for r in touched.collect())  # at most as many as there are buckets
         before = self.read(numbers)
-        change = staged(effect(before, pairs, kind), "effect")
+        met = staged(_met(before, pairs, kind), "edited")  # what is read must not be what is being replaced
         if numbers:
-            after = staged(EDITS[kind](before, pairs), "buckets")  # what is read must not be what is being replaced
-            self._write(after, "overwrite", touched)
-        return change
+            self._write(met.where(AFTER[kind]), "overwrite", touched)
+        return _change(met, kind)
 
 
 def multiplicities(groups: DataFrame, pairings: DataFrame) -> DataFrame:
     """(gid, Taggable_ID, n): how many tags of a group (gid, Tag_ID) a taggable carries; none without."""
-    return pairings.distinct().join(groups.select("gid", "Tag_ID").distinct(), "Tag_ID").groupBy("gid", "Taggable_ID").agg(F.count("*").alias("n"))
+    held = pairings.join(groups.select("gid", "Tag_ID").distinct(), "Tag_ID").select("gid", "Tag_ID", "Taggable_ID").distinct()
+    return held.groupBy("gid", "Taggable_ID").agg(F.count("*").alias("n"))
 
 
 def count_changes(held: DataFrame, groups: DataFrame, change: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -146,3 +146,16 @@ def test_kept_counts_equal_full_counts(spark):
         held, kept = held.cache(), stored.add_counts(kept, changes).cache()
         assert rows(kept) == rows(bitmaps.counts_of(groups, pairs(spark, now))), (k, kind)
         assert rows(held) == rows(stored.multiplicities(groups, pairs(spark, now)))
+
+
+def test_an_edit_aggregates_once(spark, tmp_path, monkeypatch):
+    """What an edit changes and what is there after it come from one table; a stored pair with a null is met like others."""
+    written, write = [], stored.staged
+    monkeypatch.setattr(stored, "staged", lambda df, label: (written.append(label), write(df, label))[1])
+    make = lambda rows: spark.createDataFrame(rows, "Tag_ID long, Taggable_ID long")
+    table = stored.Bucketed(spark, f"file://{tmp_path}/pairs", 4).create(make([(1, 1), (2, 2), (3, None)]))
+    change = table.edit(make([(1, 1), (3, None), (4, 4), (4, 4)]), "insert")
+    assert [tuple(r) for r in change.collect()] == [(4, 4, 1)] and written == ["edit", "edited"]
+    assert sorted(map(tuple, table.read().collect())) == [(1, 1), (2, 2), (3, None), (4, 4)]
+    table.edit(make([(1, 1), (3, None), (9, 9)]), "delete")
+    assert sorted(map(tuple, table.read().collect())) == [(2, 2), (3, None), (4, 4)]
