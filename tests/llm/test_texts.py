@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, fingerprints, html, language, secrets
 from gleaner.llm.common import Windows
@@ -646,3 +647,48 @@ def test_comments_and_notices_by_compound_names(name, element):
     page = f"<body><{element}>{main}</{element}><section class='{name}'>{more}</section><div class='has-sidebar'><p>No boilerplate but a proper paragraph of the text, as long as others.</p></div></body>"
     got = html.main_text(page)
     assert "agree" not in got and got.count("another one") == 4 and "No boilerplate" in got
+
+
+def test_every_labelled_document_is_learned_from(docs):
+    """Two languages of 30 vocabularies each, far more documents than a chunk: what only few documents say is known, rare languages are in every chunk."""
+    r = random.Random(7)
+    words = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for _ in range(60)]
+    texts = [" ".join(r.choices(words[k % 60], k=30)) for k in range(1200)] + ["ωμεγα αλφα βητα"] * 3
+    langs = ["en" if k % 60 < 30 else "de" for k in range(1200)] + ["el"] * 3
+    d = docs(texts, langs=langs)
+    dealt, chunk = language.in_chunks(d, 64, F.col("doc_id") >= 0)
+    rows = dealt.select("doc_id", "lang", chunk).collect()
+    assert {x.doc_id for x in rows} == set(map(str, range(1203)))
+    of = {}
+    for x in rows:
+        of.setdefault(x.chunk, []).append(x.lang)
+    assert len(of) == 19 and all({"en", "de"} <= set(v) and len(v) < 128 for v in of.values()) and sum("el" in v for v in of.values()) == 19
+    got = {x.doc_id: x.lang_pred for x in language.identify(d, 64).collect()}
+    assert sum(got[k] == langs[k] for k in range(1200)) >= 0.97 * 1200
+    model = language.train(d, 64)
+    assert model.langs == ["de", "el", "en"] and all(w.any() for w in model.root)
+    one = language.train(d, 64).root
+    assert (one == language.train(d.repartition(7), 64).root).all()  # no order of rows or sums shows
+
+
+def test_floor_is_set_on_every_held_out_document(docs):
+    import zlib
+
+    r = random.Random(9)
+    kinds = {"en": "the of and with that", "fr": "le la et pour une"}
+    texts, langs = [" ".join(r.choices(v.split(), k=30)) for v in kinds.values() for _ in range(200)], [v for v in kinds for _ in range(200)]
+    d = docs(texts, langs=langs)
+    rows, chunk = language.in_chunks(d, 20, language.held_out(F.col("doc_id")))
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sorted(int(x.doc_id) for x in rows.select("doc_id", chunk).collect()) == held and len(held) > 60
+    model = language.train(d)
+    counts = language.tried(model, [texts[k] for k in held], [langs[k] for k in held])
+    assert counts[0] + counts[1] >= 2 * len(held)  # each text is told rightly or not, and words of random letters as many
+    assert language.LIMITS[0] <= language.doubt(d, model, 20) < 1
+
+
+def test_pressed_counts_lose_nothing():
+    texts = ["a", "the cat sat on the mat", "é" * 70_000, "of the " * 60]
+    counts = [language.unpressed(language.pressed(c)) for c in language.gram_counts(texts)]
+    assert all((a == b).all() for a, b in zip(counts, language.gram_counts(texts), strict=True))
+    assert np.allclose(language.scaled(counts, len(texts)), language.vectors(texts), atol=1e-7)
