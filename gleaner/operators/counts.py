@@ -12,7 +12,7 @@ from ..plans.collection import Collection
 def group_counts(groups: DataFrame, pairings: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(group_id, count): distinct taggables of the search result that carry any tag of the group; 0 for none.
 
-    groups: group_id, Tag_ID. found: Taggable_ID; None counts over all pairings.
+    groups: group_id, Tag_ID. pairings: repeated or not (a collection's pairing_rows save making them distinct). found: Taggable_ID; None counts over all pairings.
     """
     counts = counts_of(groups.select(F.col("group_id").alias("gid"), "Tag_ID"), pairings, found)
     return _with_counts(groups.select("group_id").distinct(), "group_id", counts)
@@ -39,7 +39,7 @@ def tag_groups(c: Collection, services: list[int] | None = None) -> DataFrame:
 def service_counts(c: Collection, services: list[int] | None, found: DataFrame | None = None) -> DataFrame:
     """Tag groups of services with the count of the taggables found that carry them. A group is known by its least tag, as a tag is in one group."""
     groups = tag_groups(c, services).withColumn("least", F.get("tag_ids", F.lit(0)))
-    counts = counts_of(groups.select(F.col("least").alias("gid"), F.explode("tag_ids").alias("Tag_ID")), c.pairings, found)
+    counts = counts_of(groups.select(F.col("least").alias("gid"), F.explode("tag_ids").alias("Tag_ID")), c.pairing_rows, found)
     return _with_counts(groups, "least", counts).drop("least")
 
 

@@ -49,11 +49,11 @@ def size_of(words: DataFrame) -> DataFrame:
 def counts_of(groups: DataFrame, pairings: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(gid, count) of groups (gid, Tag_ID): distinct taggables, of those found if given, that carry any tag of the group; groups of none are left out.
 
-    Pairs become bits of their group before they are shuffled, so a tag on everything sends a 64th of its pairs at most, and
-    the pairings' side of the join can be split. What was found meets words, not pairs, and is computed once.
+    Pairs, repeated or not, become bits of their tag before they are shuffled, so a tag on everything sends a 64th of its pairs at most, and
+    no task holds pairs to make them distinct. What was found meets words, not pairs, and is computed once.
     """
-    held = pairings.join(groups.select("gid", "Tag_ID").distinct(), "Tag_ID")
-    words = held.groupBy("gid", word_of(F.col("Taggable_ID")).alias("word")).agg(F.bit_or(bit_of(F.col("Taggable_ID"))).alias("bits"))
+    held = postings(pairings).join(groups.select("gid", "Tag_ID").distinct(), "Tag_ID")
+    words = held.groupBy("gid", "word").agg(F.bit_or("bits").alias("bits"))
     if found is not None:
         among = words_of(found).withColumnRenamed("bits", "among")
         words = words.join(among, "word").select("gid", F.col("bits").bitwiseAND(F.col("among")).alias("bits"))
@@ -105,7 +105,7 @@ class BitmapSearch(Search):
 
     def _leaf_words(self, leaves: dict[q.Node, int]) -> DataFrame:
         """(word, b0, b1, ...), null where a leaf has nothing."""
-        posted = self.posted if self.posted is not None else postings(self.collection.pairings)
+        posted = self.posted if self.posted is not None else postings(self.collection.pairing_rows)
         rows = []
         number = lambda of, kind: F.create_map(*(F.lit(x).cast(k) for kv in of.items() for x, k in zip(kv, (kind, "int"), strict=True)))
         tags = {n.tag_id: i for n, i in leaves.items() if isinstance(n, q.Tag)}

@@ -22,14 +22,14 @@ class Collection:
 
     taggables: Taggable_ID, Service_ID, In_Trash. tags: Tag_ID, Local_Tag_Service_ID, Lookup_Name, Source_Name,
     Display_Name. namespaces: Namespace_ID, Namespace_Name. tags_namespaces: Tag_ID, Namespace_ID. pairings: Tag_ID,
-    Taggable_ID (a set). metrics: Local_Metric_ID, Local_Metric_Service_ID, Local_Metric_Name. applied_metrics:
+    Taggable_ID (a set). pairing_rows: the same, where pairs may stand more than once; for what doesn't mind. metrics: Local_Metric_ID, Local_Metric_Service_ID, Local_Metric_Name. applied_metrics:
     Local_Metric_ID, User_ID (null: the system), Taggable_ID, Applied_Value.
     """
 
-    def __init__(self, taggables: Table, tags: Table, namespaces: Table, tags_namespaces: Table, pairings: Table, metrics: Table, applied_metrics: Table):
+    def __init__(self, taggables: Table, tags: Table, namespaces: Table, tags_namespaces: Table, pairings: Table, metrics: Table, applied_metrics: Table, pairing_rows: Table | None = None):
         self._held = {
             "taggables": taggables, "tags": tags, "namespaces": namespaces, "tags_namespaces": tags_namespaces, "pairings": pairings, "metrics": metrics,
-            "applied_metrics": applied_metrics,
+            "applied_metrics": applied_metrics, "pairing_rows": pairings if pairing_rows is None else pairing_rows,
         }
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -41,7 +41,8 @@ class Collection:
         return held[name]
 
     def with_(self, **tables: Table) -> Collection:
-        return Collection(**(self._held | tables))
+        rows = {"pairing_rows": tables["pairings"]} if "pairings" in tables else {}  # those of other pairings are out of date
+        return Collection(**(self._held | rows | tables))
 
 
 def with_metrics(applied: DataFrame, metrics: DataFrame, *columns: str) -> DataFrame:
@@ -93,13 +94,13 @@ class Star:
         items, parts = self.table("lineitem").select("l_orderkey", "l_partkey"), self.table("part").select("p_partkey", "p_brand")
         return items.join(parts, F.col("l_partkey") == F.col("p_partkey")), "p_brand", "l_orderkey"
 
-    def pairings(self, *namespaces: str) -> DataFrame:
-        """Distinct pairs of tag and taggable; of some namespaces only, if named. Orders hold their own values once, so only the others are made distinct."""
+    def pairings(self, *namespaces: str, repeated: bool = False) -> DataFrame:
+        """Distinct pairs of tag and taggable, or repeated ones; of some namespaces only, if named. Orders hold their own values once, so only the others are made distinct."""
         out = None
         for ns in namespaces or NAMESPACES:
             rows, _, order = self._rows(ns)
             one = rows.select(_tag_ids()[ns].cast("long").alias("Tag_ID"), F.col(order).alias("Taggable_ID"))
-            one = one.distinct() if ns in ("flag", "brand", "part") else one
+            one = one.distinct() if ns in ("flag", "brand", "part") and not repeated else one
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -126,7 +127,7 @@ class Star:
     def collection(self, *namespaces: str) -> Collection:
         return Collection(
             self.taggables, lambda: self.tags(*namespaces).drop("Namespace_ID"), self.namespaces, lambda: self.tags(*namespaces).select("Tag_ID", "Namespace_ID"),
-            lambda: self.pairings(*namespaces), self.metrics, self.applied_metrics,
+            lambda: self.pairings(*namespaces), self.metrics, self.applied_metrics, lambda: self.pairings(*namespaces, repeated=True),
         )
 
     def files(self) -> DataFrame:

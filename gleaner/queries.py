@@ -139,14 +139,14 @@ def _a1(s: Star) -> DataFrame:
     c, found = _flagship(s, *_SP, "segment", "flag", "brand")
     groups = c.tags_namespaces.select(F.col("Namespace_ID").cast("string").alias("group_id"), "Tag_ID")
     one = c.tags.select(F.concat(F.lit("tag "), F.col("Tag_ID").cast("string")).alias("group_id"), "Tag_ID").where("Tag_ID >= 104000")
-    return counts.group_counts(groups.unionByName(one), c.pairings, found)
+    return counts.group_counts(groups.unionByName(one), c.pairing_rows, found)
 
 
 _star("a1_group_counts", _a1, _with(*_SP, "segment", "flag", "brand", found=_FOUND) + """
 SELECT g AS group_id, count(DISTINCT CASE WHEN id IN (SELECT id FROM found) THEN id END) AS count
 FROM (SELECT CASE WHEN tag < 101000 THEN '1' WHEN tag < 102000 THEN '2' WHEN tag < 103000 THEN '3' WHEN tag < 104000 THEN '4' ELSE '5' END AS g, id FROM p
 UNION ALL SELECT 'tag ' || CAST(tag AS VARCHAR), id FROM p WHERE tag >= 104000) GROUP BY g""")
-_star("a1_all_counts", lambda s: counts.group_counts((c := s.collection("brand", "segment")).tags.select(F.col("Tag_ID").alias("group_id"), "Tag_ID"), c.pairings), _with("segment", "brand") + "SELECT tag AS group_id, count(DISTINCT id) AS count FROM p GROUP BY tag")
+_star("a1_all_counts", lambda s: counts.group_counts((c := s.collection("brand", "segment")).tags.select(F.col("Tag_ID").alias("group_id"), "Tag_ID"), c.pairing_rows), _with("segment", "brand") + "SELECT tag AS group_id, count(DISTINCT id) AS count FROM p GROUP BY tag")
 _star("a2_tag_groups", lambda s: counts.tag_groups(s.collection()).select(F.array_join("Namespaces", ",").alias("namespaces"), "Lookup_Name", "Display_Name", F.array_join("tag_ids", ",").alias("tag_ids")), """
 SELECT ns AS namespaces, lookup AS "Lookup_Name", ns || ':' || lookup AS "Display_Name", CAST(tag AS VARCHAR) AS tag_ids FROM (
 SELECT DISTINCT 'status' AS ns, o_orderstatus AS lookup, 100000 + ascii(o_orderstatus) AS tag FROM orders

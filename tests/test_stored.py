@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import counts, stored
 from gleaner.plans import bitmaps
 from gleaner.plans import query as q
+from gleaner.plans.collection import Star
 from tests.test_search import PAIRS, collection
 
 PAIR = "Tag_ID long, Taggable_ID long"
@@ -159,3 +161,17 @@ def test_an_edit_aggregates_once(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, table.read().collect())) == [(1, 1), (2, 2), (3, None), (4, 4)]
     table.edit(make([(1, 1), (3, None), (9, 9)]), "delete")
     assert sorted(map(tuple, table.read().collect())) == [(2, 2), (3, None), (4, 4)]
+
+
+def test_counts_make_no_pairs_distinct(spark, sf_dir):
+    """Nor does an edit of the pairings leave the rows of before."""
+    c = Star(spark, sf_dir).collection("flag", "brand")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [Tag_ID" in plan(c.pairings)
+    groups = c.tags.select(F.col("Tag_ID").alias("group_id"), "Tag_ID")
+    for df in (counts.service_counts(c, None), counts.group_counts(groups, c.pairing_rows)):
+        assert not [line for line in plan(df).splitlines() if re.search(r"Aggregate \[Tag_ID#\d+L, (Taggable_ID|l_orderkey)#", line)]
+    assert rows(counts.group_counts(groups, c.pairing_rows)) == rows(counts.group_counts(groups, c.pairings))
+    assert c.pairing_rows.count() > c.pairings.count() == c.pairing_rows.distinct().count()
+    few = c.pairings.limit(3).cache()
+    assert c.with_(pairings=few).pairing_rows is few
