@@ -125,8 +125,8 @@ _star("m12_import_dates", lambda s: edits.import_chunk(s.collection("status"), _
 
 
 def _importables(s: Star) -> DataFrame:
-    """Parts as files of two services: a hash, an extension, a tag with a namespace, a metric, an address, a note and dates; every tenth row twice."""
-    p = s.table("part").withColumn("twice", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    """Parts as files of two services: a hash, an extension, a tag with a namespace, a metric, an address, a note and dates; every tenth row twice. They are many times as large as the parts, whose file may be one task's."""
+    p = s.table("part").repartition(4 * s.spark.sparkContext.defaultParallelism, "p_partkey").withColumn("twice", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     tag = lambda c, space: F.struct(F.lit(9).alias("Local_Tag_Service_ID"), F.col(c).alias("Lookup_Name"), F.lit("parts").alias("Source_Name"), F.col(c).alias("Display_Name"), F.array(*map(F.lit, space)).cast("array<string>").alias("Namespaces"))
     return p.select(
         F.sha2(F.col("p_partkey").cast("string"), 256).alias("File_Hash"), F.lit(".JPEG").alias("File_Extension"), F.col("p_name").alias("Taggable_Name"), (5 + F.col("p_partkey") % 2).cast("int").alias("Service_ID"),

@@ -85,21 +85,30 @@ def toggle_pairs(pairings: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy(PAIR).agg(F.sum("n").alias("n")).where("n % 2 = 1").select(PAIR)
 
 
-def upsert(known: DataFrame, new: DataFrame, keys: list[str], id_col: str, order: str) -> DataFrame:
-    """known with the rows of new whose keys aren't there (null is a key like others); of rows with equal keys the last in order; ids go on from the largest.
+def upsert(known: DataFrame, new: DataFrame, keys: list[str], id_col: str, order: str | None = None, fill: dict[str, str] | None = None, among: str = "true") -> DataFrame:
+    """known with the rows of new whose keys aren't there (null is a key like others); of rows with equal keys the last in order, or
+    without an order the largest value of each column; fill: columns whose nulls then take another's value;
+    among: which rows of known can have a key of new. Ids go on from the largest.
 
-    Ids are numbered inside ranges of the key and shifted by the ranges' totals, so no task sees all new rows.
+    One aggregation of stored and given rows tells what is there. What isn't is written, numbered inside its partitions as it lies, and
+    shifted by the partitions' totals: no task sees all new rows and none is sorted for its id.
     """
-    spark = known.sparkSession
-    last = new.groupBy(keys).agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
-    held = known.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
-    fresh = last.join(held, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti")
-    top = known.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    fresh = fresh.withColumn("__b", bucket)
+    others = [c for c in new.columns if c not in (*keys, id_col)]
+    both = new.select(*keys, *others, F.lit(False).alias("__held")).unionByName(known.where(among).select(*keys, F.lit(True).alias("__held")), allowMissingColumns=True)
+    if order is None:
+        values = [F.max(c).alias(c) for c in others]
+    else:
+        values = [F.max_by(F.struct(*others), F.struct(~F.col("__held"), F.col(order))).alias("__r")] if others else []
+    fresh = both.groupBy(keys).agg(F.max("__held").alias("__held"), *values).where(~F.col("__held"))
+    fresh = fresh.select(*keys, *others) if order is None else fresh.select(*keys, *(F.col("__r")[c].alias(c) for c in others))
+    for c, other in (fill or {}).items():
+        fresh = fresh.withColumn(c, F.coalesce(c, other))
+    fresh = staged(fresh.withColumn("__at", F.monotonically_increasing_id()), "fresh")  # the partition, above 33 bits of the row in it
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = fresh.groupBy("__b").agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))  # a row for each bucket
-    numbered = fresh.drop(id_col).join(F.broadcast(shift), "__b").withColumn(id_col, F.lit(top) + F.col("__shift") + F.row_number().over(Window.partitionBy("__b").orderBy(*keys)))
+    shift = fresh.groupBy(part.alias("__b")).agg(F.count("*").alias("__n")).select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))  # a row for each partition
+    top = known.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    numbered = fresh.withColumn("__b", part).join(F.broadcast(shift), "__b").withColumn(id_col, F.lit(top) + F.col("__shift") + row + 1)
     return known.unionByName(numbered.select(*known.columns))
 
 
@@ -116,13 +125,18 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def metric_facts(applied: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(Lookup_Name, Taggable_ID) of the system tags that applied values stand for: the value, that there is one of the metric, and of its service."""
-    known = with_metrics(dealt(applied, "Taggable_ID"), metrics, "Local_Metric_Service_ID")
+def metric_names(applied: DataFrame, metrics: DataFrame) -> DataFrame:
+    """As metric_facts, each as often as a value says it."""
+    known = with_metrics(applied, metrics, "Local_Metric_Service_ID")
     facts = F.array(
         names.of_applied(F.col("Applied_Value"), F.col("Local_Metric_ID"), F.col("User_ID")), names.of_metric(F.col("Local_Metric_ID")), names.of_metric_service(F.col("Local_Metric_Service_ID"))
     )
-    return known.select(F.explode(facts).alias("Lookup_Name"), "Taggable_ID").distinct()
+    return known.select(F.explode(facts).alias("Lookup_Name"), "Taggable_ID")
+
+
+def metric_facts(applied: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(Lookup_Name, Taggable_ID) of the system tags that applied values stand for: the value, that there is one of the metric, and of its service."""
+    return metric_names(dealt(applied, "Taggable_ID"), metrics).distinct()
 
 
 def system_pairs(facts: DataFrame, tags: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import operator_queries
 from gleaner.functions import sets
 from gleaner.operators import access, edits, imports
+from gleaner.plans.collection import Star
 from tests.test_search import PAIRS, collection
 
 
@@ -60,6 +62,37 @@ def test_import_and_import_again(spark):
     assert rows(none.collection.pairings) == rows(a.collection.pairings)
 
 
+def test_tag_ids_shuffle_no_names(spark, monkeypatch):
+    """Tags that differ by where a null stands are told apart, by hashes and, where hashes are equal, by names."""
+    tags = [(1, 2, None, "a"), (2, 2, "a", None), (3, None, "a", "a"), (4, 2, "a", "a")]
+    tags = spark.createDataFrame(tags, "Tag_ID long, Local_Tag_Service_ID int, Lookup_Name string, Source_Name string")
+    said = tags.select(*imports.TAG_KEY, (F.col("Tag_ID") + 10).alias("Taggable_ID"))
+    by_hash = imports.with_tag_ids(said.withColumn("h", imports.key_hash()), tags)
+    shuffled = [line for line in by_hash._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in line]
+    assert shuffled and not any("Lookup_Name" in line for line in shuffled)
+    monkeypatch.setattr(imports, "key_hash", lambda: F.lit(7).cast("long"))
+    by_name = imports.with_tag_ids(said.withColumn("h", imports.key_hash()), tags)
+    pairs = [(k, k + 10) for k in range(1, 5)]
+    assert rows(by_hash.select("Tag_ID", "Taggable_ID")) == rows(by_name.select("Tag_ID", "Taggable_ID")) == pairs
+
+
+def test_upsert_of_null_names(spark):
+    known = spark.createDataFrame([(5, 1, "a", "A")], "id long, service int, name string, shown string")
+    new = spark.createDataFrame([(None, 1, "a", "B"), (None, 2, None, "C"), (None, 1, None, "D"), (None, 1, None, "E")], known.schema)
+    for order in ("name", "shown", None):
+        out = rows(edits.upsert(known, new, ["service", "name"], "id", order).select("service", "name", "shown"))
+        assert len(out) == 3 and {x[:2] for x in out} == {(1, "a"), (2, None), (1, None)} and (2, None, "C") in out and (1, "a", "A") in out, order
+    ids = [r.id for r in edits.upsert(known, new, ["service", "name"], "id").collect()]
+    assert sorted(ids) == [5, 6, 7]
+    filled = edits.upsert(known, spark.createDataFrame([(None, 3, "z", None), (None, 3, "y", "Y")], known.schema), ["service", "name"], "id", fill={"shown": "name"})
+    assert {r.shown for r in filled.collect()} == {"A", "z", "Y"}
+
+
+def test_importables_are_dealt(spark, sf_dir):
+    """Parts are a small file and grow when they are made importable: more tasks than the file has parts."""
+    assert operator_queries._importables(Star(spark, sf_dir)).rdd.getNumPartitions() > Star(spark, sf_dir).table("part").rdd.getNumPartitions()
+
+
 def test_sidecars_twice(spark):
     schema = "name string, extension string, path string, tags array<struct<namespace:string,name:string>>, notes array<string>, urls array<string>, Taggable_Created_Date long, Taggable_Deleted_Date long, Taggable_Last_Modified_Date long, Taggable_Last_Viewed_Date long"
     side = spark.createDataFrame([("a.png", ".png", "", [("s", "x"), (None, "y")], ["n"], [], 1, None, None, None), ("b.png", ".png", "", [], [], ["u"], None, None, None, None)], schema)
